@@ -7,9 +7,10 @@ Documents are sets of distinct n-word shingles; two link when
    digest with the set's size; equal sets are one class from here on) and a
    count sketch of shingle frequency. The sketch has a fixed size and only
    fixes an order (rare shingles first): any order gives the same links.
-2. Each class posts its prefix, the shingles of which one at least is shared
-   by any linking class. Postings are sorted by shingle and size and scanned
-   as a stream; runs of several classes are what may link.
+2. Each class posts its prefix, so long that linking classes share at least
+   `floor_shared` shingles of it. Postings are sorted by shingle and size and
+   scanned as a stream; classes that share too few with all others together
+   are out, what remains in runs of several classes may link.
 3. Every class in such a run is compared once, with the pivot it shares most
    runs with. That settles large groups of near copies in linear work.
 4. Runs whose classes are still in several parts are searched: index shards
@@ -49,7 +50,13 @@ def needed(a: int, b: int, percent: int) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Of any k >= percent % of n members the first max(1, 4 %) of n are in a prefix of this size, whatever the order."""
+    return n - -(-percent * n // 100) + max(1, n // 25)
+
+
+def floor_shared(n: str, percent: int) -> str:
+    """SQL for the prefix members that a set of n shares with every set it links with: what the smallest such set has to show."""
+    return f"greatest(1, (({percent} * {n} + 99) div 100) div 25)"
 
 
 def digest(s: np.ndarray) -> int:
@@ -323,7 +330,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     posted = texts.mapInArrow(_post(words, percent, order), "token long, class long, n int")
     runs = posted.repartition(parts, "token").sortWithinPartitions("token", "n", "class").mapInArrow(_runs(percent), "token long, class long, n int, pivot long, pivot_n int")
-    runs = save(runs, "runs")
+    runs = save(runs.select("token", "class", "n"), "runs")
+    enough = runs.groupBy("class", "n").count().where(f"count >= {floor_shared('n', percent)}")
+    runs = runs.join(enough.select("class", "n"), ["class", "n"], "left_semi").select("token", "class", "n")
+    runs = save(runs.repartition(parts, "token").sortWithinPartitions("token", "n", "class").mapInArrow(_runs(percent), "token long, class long, n int, pivot long, pivot_n int"), "runs")
 
     tied = runs.where("class <> pivot and pivot_n * 100 >= n * %d" % percent).groupBy("class", "pivot").count()
     best = save(tied.groupBy("class").agg(F.min(F.struct(-F.col("count"), "pivot")).alias("x")).select("class", F.col("x.pivot").alias("pivot")), "pivots")
@@ -345,14 +355,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stars = save(grouped.mapInArrow(_verify(percent), "a long, b long"), "stars")
 
     roots = components(stars, "a", "b")
-    open_runs = runs.select("token", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", F.coalesce("component", "class").alias("root"))
+    open_runs = runs.select("token", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("root"))
     mixed = open_runs.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     open_runs = save(open_runs.join(mixed, "token", "left_semi"), "open")
     wanted = open_runs.select("class", "root").distinct()
     shards = max(1, -(-wanted.count() // SHARD))
     shard = F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")
     held = open_runs.groupBy("token", shard.alias("shard")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    routes = open_runs.join(held, "token").where("low <> root or high <> root").select("class", "root", "shard").distinct()
+    met = open_runs.join(held, "token").where("low <> root or high <> root").groupBy("class", "n", "root", "shard").count()
+    routes = met.where(f"count >= {floor_shared('n', percent)}").select("class", "root", "shard")
     needs = wanted.select("class", "root", shard.alias("shard"), F.lit(0).alias("routed")).unionByName(routes.withColumn("routed", F.lit(1)))
     searched = needs.join(sets.select("class", "members"), "class").select("shard", "routed", "class", "root", "members")
     found = save(searched.repartition(parts, "shard").sortWithinPartitions("shard", "routed").mapInArrow(_search(percent), "a long, b long"), "links")
