@@ -220,11 +220,11 @@ def _search(words: int):
     return run
 
 
-def _cut(words: int, anchor: int):
+def _cut(words: int, anchor: int, as_is: bool):
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_numpy() if len(table) else np.zeros(0, np.int64)
-        by = pc.sort_indices(told["content"]) if len(told) else None
-        told = told.take(by) if by is not None else told
+        if len(told):
+            told = told.take(pa.array(np.argsort(told["content"].to_numpy().view(np.uint64))))
         content = told["content"].to_numpy().view(np.uint64)
         lists = told["first"].combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
@@ -246,22 +246,27 @@ def _cut(words: int, anchor: int):
             gone = np.cumsum(covered)[:-1] > 0
             for r in range(len(f.first) - 1):
                 a, b = f.first[r], f.first[r + 1]
-                own = data[at[lo + r] : at[lo + r + 1]].tobytes().split()
+                own = data[at[lo + r] : at[lo + r + 1]].tobytes()
                 cut = int(gone[a:b].sum())
                 n_words.append(int(b - a))
                 n_removed.append(cut)
-                kept.append(b" ".join([x for x, g in zip(own, gone[a:b].tolist()) if not g] if cut else own))
+                if cut:
+                    own = b" ".join(x for x, g in zip(own.split(), gone[a:b].tolist()) if not g)
+                elif not as_is:
+                    own = b" ".join(own.split())
+                kept.append(own)
         out = {"doc_id": table["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
         return pa.table(out | {"rest": table["rest"]})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 13, anchor: int = 6) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 13, anchor: int = 6, as_is: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, rest) for every row of docs.
 
     kept is the text without the words that a repeated window covers, its
-    words joined by one space; rest is a struct of all columns of docs.text
+    words joined by one space; with as_is a text that loses nothing keeps its
+    own white space. rest is a struct of all columns of docs.text
     and doc_id aside, under their own names. Windows are judged on the input.
     Null and empty texts have no words; a row with a null doc_id is neither
     before nor after another and keeps all words; rows that share a doc_id
@@ -286,7 +291,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     told = fragments.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_search(words), "bucket int, content long, first array<long>")
     told = told.repartition(parts, "bucket").groupBy("bucket")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), dealt.schema["rest"]])
-    return by_bucket.cogroup(told).applyInArrow(_cut(words, anchor), schema)
+    return by_bucket.cogroup(told).applyInArrow(_cut(words, anchor, as_is), schema)
 
 
 def _known(f):
