@@ -1,23 +1,61 @@
-"""A training-data pipeline over the documents table."""
+"""A training-data pipeline over the documents table: reject, deduplicate, cut, mix, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before
+kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import jaccard, mixing, packing, substring, toxicity
+from paperloom.llm.store import save, table
+from paperloom.session import ship
+
 
-from paperloom.llm import jaccard
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.3 go."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
     return jaccard.keep_one(docs)
 
 
-STAGES = [("ngram_jaccard", near_copies)]
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 13 words that start in a document with a smaller doc_id are cut from the texts; n_chars follows. No document goes."""
+    found = substring.remove_repeats(docs, as_is=True)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*[own.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled so that sources come nearer to equal weight."""
+    return mixing.sample(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of 4096."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Toxicity scores and token ids are beyond SQL; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(ship(spark), sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = save(docs, name)
     return docs
