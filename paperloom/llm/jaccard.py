@@ -11,8 +11,10 @@ Documents are sets of distinct n-word shingles; two link when
    `floor_shared` shingles of it. Postings are sorted by shingle and size and
    scanned as a stream; classes that share too few with all others together
    are out, what remains in runs of several classes may link.
-3. Every class in such a run is compared once, with the pivot it shares most
-   runs with. That settles large groups of near copies in linear work.
+3. In a few rounds every class in a run of several parts is compared with one
+   pivot of another part, the one it shares most shingles with, and parts grow
+   together. That settles most of a large group of near copies in linear work.
+   Shingles that the same classes hold are one list from here on, with a count.
 4. Runs whose classes are still in several parts are searched: index shards
    hold whole sets of a bounded number of classes as inverted lists, classes
    are routed to the shards in which a run has another part, and DivideSkip
@@ -40,8 +42,8 @@ from paperloom.llm.textcore import distinct, mix, shingle_sets, signed
 CELLS, PARTS = 1 << 20, 16
 #: 64-bit words of the filter of candidate classes (a false hit costs work, not results).
 FILTER_WORDS = 1 << 18
-#: Classes in an index shard, and members compared with one copy of a pivot.
-SHARD, FAN = 2048, 512
+#: Classes in an index shard, members compared with one copy of a pivot, rounds of pivots, open rows of a run that a scan holds.
+SHARD, FAN, ROUNDS, LIST = 2048, 512, 4, 1 << 16
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -117,46 +119,68 @@ def _post(n: int, percent: int, order):
     return run
 
 
-def _runs(percent: int):
-    """Of postings sorted by token, size and class those in runs of several classes, each with the run's first class and number. A gap in size that nothing can link across ends a run."""
+def _runs(percent: int, signed_lists: bool):
+    """Of postings sorted by token, size and class those in runs of several classes. A gap in size that nothing can link across ends a run.
+
+    With signed_lists the token gives way to a hash of the run's classes where
+    the run ends within LIST rows, so that equal runs have one name.
+    """
+
+    def out(parts):
+        t, c, s = (np.concatenate(x) for x in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(s)], ["token", "class", "n"])
 
     def run(batches):
-        last = None  # token, size, class, first class, number
-        held = None  # the run's first row, given out when a second class comes
+        last = None  # the last row
+        held: list = []  # rows of the run that is still open
+        size, told = 0, False  # its rows so far, and whether some were given out
         for batch in batches:
             t, c, s = (batch.column(k).to_numpy() for k in range(3))
             if not len(t):
                 continue
             pt, pc, ps = np.roll(t, 1), np.roll(c, 1), np.roll(s, 1)
             if last:
-                pt[0], pc[0], ps[0] = last[0], last[1], last[2]
+                pt[0], pc[0], ps[0] = last
             same = (t == pt) & (s.astype(np.int64) * percent <= ps.astype(np.int64) * 100)
             if not last:
                 same[0] = False
+            last = (t[-1], c[-1], s[-1])
             fresh = ~(same & (c == pc) & (s == ps))
             t, c, s, same = t[fresh], c[fresh], s[fresh], same[fresh]
             if not len(t):
                 continue
             begin = np.flatnonzero(~same)
-            heads = np.concatenate((begin, [len(t)]))
-            pivot, size = np.empty_like(c), np.empty_like(s)
-            if begin.size == 0 or begin[0] > 0:
-                stop = begin[0] if begin.size else len(t)
-                pivot[:stop], size[:stop] = last[3], last[4]
-            reps = np.diff(heads)
-            pivot[heads[0] if begin.size else len(t) :] = np.repeat(c[begin], reps)
-            size[heads[0] if begin.size else len(t) :] = np.repeat(s[begin], reps)
-            alone = np.zeros(len(t), bool)
-            alone[begin[reps == 1]] = True
-            tail = held  # the head of a run that came in an earlier batch
-            open_ = bool(begin.size) and reps[-1] == 1
-            out = [t[~alone], c[~alone], s[~alone], pivot[~alone], size[~alone]]
-            if tail is not None and same[0]:
-                out = [np.concatenate((np.array([x], y.dtype), y)) for x, y in zip(tail, out)]
-            held = (t[-1], c[-1], s[-1], pivot[-1], size[-1]) if open_ else None
-            last = (t[-1], c[-1], s[-1], pivot[-1], size[-1])
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["token", "class", "n", "pivot", "pivot_n"])
+            edges = np.concatenate(([0], begin[begin > 0], [len(t)]))
+            done = []
+            if not same[0]:
+                if held and (told or size > 1):
+                    done += held
+                held, size, told = [], 0, False
+            if len(edges) > 2:  # the first run ends here, those between are whole
+                head = edges[1]
+                if told or size + head > 1:
+                    done += [*held, (t[:head], c[:head], s[:head])]
+                reps = np.diff(edges[1:-1])
+                mid = slice(edges[1], edges[-2])
+                if len(reps):
+                    keep = np.repeat(reps > 1, reps)
+                    name = t[mid]
+                    if signed_lists:
+                        mixed = mix(c[mid].view(np.uint64) + s[mid].astype(np.uint64))
+                        name = np.repeat(signed(mix(np.add.reduceat(mixed, edges[1:-2] - edges[1]) + reps.astype(np.uint64))), reps)
+                    done.append((name[keep], c[mid][keep], s[mid][keep]))
+                held, size, told = [], 0, False
+                t, c, s = t[edges[-2] :], c[edges[-2] :], s[edges[-2] :]
+            held.append((t, c, s))
+            size += len(t)
+            if size > LIST:
+                done += held
+                held, told = [], True
+            done = [d for d in done if len(d[0])]
+            if done:
+                yield out(done)
+        if held and (told or size > 1):
+            yield out(held)
 
     return run
 
@@ -296,11 +320,14 @@ def _search(percent: int):
                     lists = Lists(sets)
                     ids, parts = np.array(own, np.int64)[lists.order], np.array(roots, np.int64)[lists.order]
                 hits = lists.search(s, percent)
-                hits = hits[parts[hits] != root]
-                if len(hits):
-                    _, first = np.unique(parts[hits], return_index=True)
+                met = parts[hits]
+                _, first = np.unique(met[met != root], return_index=True)
+                if len(first):
                     a += [c] * len(first)
-                    b += ids[hits[first]].tolist()
+                    b += ids[hits[met != root][first]].tolist()
+                    # what one class links is one part for the next
+                    joined = np.unique(met)
+                    parts[np.isin(parts, joined)] = root if root in joined else joined[0]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -328,44 +355,56 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         cells[row[0]] += np.frombuffer(row[1], "<u8")
     order = spark.sparkContext.broadcast(np.minimum(cells.ravel(), 2**32 - 1).astype(np.uint32))
 
-    posted = texts.mapInArrow(_post(words, percent, order), "token long, class long, n int")
-    runs = posted.repartition(parts, "token").sortWithinPartitions("token", "n", "class").mapInArrow(_runs(percent), "token long, class long, n int, pivot long, pivot_n int")
-    runs = save(runs.select("token", "class", "n"), "runs")
-    enough = runs.groupBy("class", "n").count().where(f"count >= {floor_shared('n', percent)}")
-    runs = runs.join(enough.select("class", "n"), ["class", "n"], "left_semi").select("token", "class", "n")
-    runs = save(runs.repartition(parts, "token").sortWithinPartitions("token", "n", "class").mapInArrow(_runs(percent), "token long, class long, n int, pivot long, pivot_n int"), "runs")
+    row = "token long, class long, n int"
+    posted = texts.mapInArrow(_post(words, percent, order), row)
+
+    def scanned(postings: DataFrame, signed_lists: bool) -> DataFrame:
+        return postings.repartition(parts, "token").sortWithinPartitions("token", "n", "class").mapInArrow(_runs(percent, signed_lists), row)
 
-    tied = runs.where("class <> pivot and pivot_n * 100 >= n * %d" % percent).groupBy("class", "pivot").count()
-    best = save(tied.groupBy("class").agg(F.min(F.struct(-F.col("count"), "pivot")).alias("x")).select("class", F.col("x.pivot").alias("pivot")), "pivots")
-    asked = runs.select("class").distinct()
+    runs = save(scanned(posted, False), "runs")
+    enough = runs.groupBy("class", "n").count().where(f"count >= {floor_shared('n', percent)}").select("class", "n")
+    lists = scanned(runs.join(enough, ["class", "n"], "left_semi").select("token", "class", "n"), True)
+    lists = save(lists.groupBy("token", "class", "n").agg(F.count("*").alias("times")), "lists")
 
+    asked = lists.select("class").distinct()
     marks = np.zeros(FILTER_WORDS, np.uint64)
     for word, bits in asked.mapInArrow(_marks, "word int, bits long").groupBy("word").agg(F.bit_or("bits")).toLocalIterator():
         marks[word] = np.int64(bits).view(np.uint64)
     marked = spark.sparkContext.broadcast(marks)
     sets = texts.mapInArrow(_sets(words, marked), "class long, members binary").join(asked, "class", "left_semi")
-    sets = save(sets.groupBy("class").agg(F.first("members").alias("members")).withColumn("n", F.length("members") / 8), "sets")
-
-    lanes = best.groupBy("pivot").agg(F.ceil(F.count("*") / FAN).cast("int").alias("lanes"))
-    members = sets.select("class", "members").join(best, "class").join(lanes, "pivot")
-    members = members.select(F.col("pivot").alias("g"), F.expr("cast(pmod(class, lanes) as int)").alias("lane"), "class", "members")
-    pivots = sets.select("class", "members").join(lanes, F.col("class") == F.col("pivot"))
-    pivots = pivots.select(F.col("class").alias("g"), F.explode(F.expr("sequence(0, lanes - 1)")).alias("lane"), "class", "members")
-    grouped = members.unionByName(pivots).repartition(parts, "g", "lane").sortWithinPartitions("g", "lane", F.col("class") != F.col("g"))
-    stars = save(grouped.mapInArrow(_verify(percent), "a long, b long"), "stars")
-
-    roots = components(stars, "a", "b")
-    open_runs = runs.select("token", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", F.coalesce("component", "class").alias("root"))
-    mixed = open_runs.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    open_runs = save(open_runs.join(mixed, "token", "left_semi"), "open")
-    wanted = open_runs.select("class", "root").distinct()
+    sets = save(sets.groupBy("class").agg(F.first("members").alias("members")), "sets")
+
+    enough = f"times >= {floor_shared('n', percent)}"
+    stars, open_lists = None, lists.withColumn("root", F.col("class"))
+    for _ in range(ROUNDS):
+        part = F.struct("root", "class")
+        ends = open_lists.groupBy("token").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low.root <> high.root")
+        offer = open_lists.join(ends, "token").withColumn("pivot", F.when(F.col("root") == F.col("low.root"), F.col("high.class")).otherwise(F.col("low.class")))
+        offer = offer.groupBy("class", "n", "pivot").agg(F.sum("times").alias("times")).where(enough)
+        best = save(offer.groupBy("class").agg(F.min(F.struct(-F.col("times"), "pivot")).alias("x")).select("class", F.col("x.pivot").alias("pivot")), "pivots")
+        lanes = best.groupBy("pivot").agg(F.ceil(F.count("*") / FAN).cast("int").alias("lanes"))
+        members = sets.join(best, "class").join(lanes, "pivot")
+        members = members.select(F.col("pivot").alias("g"), F.expr("cast(pmod(class, lanes) as int)").alias("lane"), "class", "members")
+        pivots = sets.join(lanes, F.col("class") == F.col("pivot"))
+        pivots = pivots.select(F.col("class").alias("g"), F.explode(F.expr("sequence(0, lanes - 1)")).alias("lane"), "class", "members")
+        grouped = members.unionByName(pivots).repartition(parts, "g", "lane").sortWithinPartitions("g", "lane", F.col("class") != F.col("g"))
+        new = save(grouped.mapInArrow(_verify(percent), "a long, b long"), "stars")
+        stars = new if stars is None else stars.unionByName(new)
+        roots = components(stars, "a", "b")
+        now = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "times", F.coalesce("component", "class").alias("root"))
+        mixed = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        open_lists = save(now.join(mixed, "token", "left_semi"), "open")
+        if new.isEmpty():
+            break
+
+    wanted = open_lists.select("class", "root").distinct()
     shards = max(1, -(-wanted.count() // SHARD))
     shard = F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")
-    held = open_runs.groupBy("token", shard.alias("shard")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    met = open_runs.join(held, "token").where("low <> root or high <> root").groupBy("class", "n", "root", "shard").count()
-    routes = met.where(f"count >= {floor_shared('n', percent)}").select("class", "root", "shard")
+    held = open_lists.groupBy("token", shard.alias("shard")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    met = open_lists.join(held, "token").where("low <> root or high <> root").groupBy("class", "n", "root", "shard").agg(F.sum("times").alias("times"))
+    routes = met.where(enough).select("class", "root", "shard")
     needs = wanted.select("class", "root", shard.alias("shard"), F.lit(0).alias("routed")).unionByName(routes.withColumn("routed", F.lit(1)))
-    searched = needs.join(sets.select("class", "members"), "class").select("shard", "routed", "class", "root", "members")
+    searched = needs.join(sets, "class").select("shard", "routed", "class", "root", "members")
     found = save(searched.repartition(parts, "shard").sortWithinPartitions("shard", "routed").mapInArrow(_search(percent), "a long, b long"), "links")
 
     linked = components(stars.unionByName(found), "a", "b")
