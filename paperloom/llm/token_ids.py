@@ -13,6 +13,7 @@ take metadata only, or the pages of some documents only.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +24,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.llm.store import path
-from paperloom.llm.textcore import raw
+from paperloom.llm.textcore import raw, spans
 
 END = 2
-#: Words that a worker remembers at most; then it starts anew.
-REMEMBERED = 400_000
+#: Words after which a worker forgets those it hasn't met since the last time.
+REMEMBERED = 300_000
+#: Text bytes taken at once.
+GROUP = 1 << 20
+_WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Text bytes for a file; ids for an Arrow batch.
 FILE, BATCH = 24 << 20, 1 << 20
 #: How the files are laid out.
@@ -47,31 +51,67 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian bytes."""
+class WordIds:
+    """Ids of texts as little-endian bytes; each distinct word is encoded once while it is remembered."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(b".,!?;:")
-        if core != word and core and core[-1:].isalnum() and b"<|" not in word:
-            out = self[core] + self[word[len(core) :]]  # letters end where punctuation begins
-        else:
-            out = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = out
+        self.new: dict[bytes, bytes] = {}  # words of late
+        self.old: dict[bytes, bytes] = {}  # words from before; what is met again moves to new
+        self.one = self._plain("1")
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encodes words in one call, parted by the digit 1, whose id no word without that digit has."""
+        alone = [w for w in words if b"1" in w or b"<|" in w]
+        for w in alone:
+            self.new[w] = self._plain(w.decode())
+        rest = list(words.difference(alone))
+        if rest:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" 1 ".join(rest).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == np.frombuffer(self.one, "<u4")[0])
+            if len(self.one) != 4 or len(cut) != len(rest) - 1:  # not with this vocabulary
+                self.new |= {w: self._plain(w.decode()) for w in rest}
+                return
+            flat = ids.tobytes()
+            for w, lo, hi in zip(rest, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
+                self.new[w] = flat[4 * lo : 4 * hi]
+
+    def _meet(self, words: set[bytes]) -> None:
+        missing = words.difference(self.new)
+        for w in missing & self.old.keys():
+            self.new[w] = self.old[w]
+        missing.difference_update(self.old)
+        ends: dict[bytes, bytes] = {}
+        unknown: set[bytes] = set()
+        for w in missing:
+            core = w.rstrip(b".,!?;:")
+            if core != w and core and core[-1:].isalnum() and b"<|" not in w:
+                ends[w] = core  # letters and digits end where punctuation begins
+                unknown |= {core, w[len(core) :]}
+            else:
+                unknown.add(w)
+        if unknown:
+            for w in (unknown & self.old.keys()) - self.new.keys():
+                self.new[w] = self.old[w]
+            self._learn(unknown.difference(self.new))
+        for w, core in ends.items():
+            self.new[w] = self.new[core] + self.new[w[len(core) :]]
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        # lower case as the tokenizer makes it, but not where that could spell a special token
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        self._meet(set().union(*words))
+        out = [b"".join(map(self.new.__getitem__, w)) for w in words]
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
         return out
 
-    def text(self, text: bytes) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        if b"<|" not in text:
-            text = text.lower()  # as the tokenizer does; but not where it could spell a special token
-        return b"".join(map(self.__getitem__, text.split()))
-
 
 _open: dict[str, WordIds] = {}
 
@@ -82,12 +122,28 @@ def word_ids(file: str) -> WordIds:
     return _open[file]
 
 
+def _pieces(text: bytes) -> list[bytes]:
+    """A long text cut at white space."""
+    out, lo = [], 0
+    while len(text) - lo > GROUP:
+        found = _WHITE.search(text, lo + GROUP)
+        if not found:
+            break
+        out.append(text[lo : found.start()])
+        lo = found.start()
+    return [*out, text[lo:]]
+
+
 def encoded(column, file: str) -> Iterator[bytes]:
     """Ids of each text, the end id last, as little-endian unsigned 32-bit integers."""
     ids, end = word_ids(file), np.array([END], "<u4").tobytes()
     data, at = raw(column)
-    for a, b in zip(at.tolist(), at[1:].tolist()):
-        yield ids.text(data[a:b].tobytes()) + end
+    for lo, hi in spans(at, GROUP):
+        texts = [data[a:b].tobytes() for a, b in zip(at[lo:hi].tolist(), at[lo + 1 : hi + 1].tolist())]
+        if len(texts) == 1 and len(texts[0]) > GROUP:
+            yield b"".join(x for piece in _pieces(texts[0]) for x in ids.texts([piece])) + end
+        else:
+            yield from (x + end for x in ids.texts(texts))
 
 
 def _encode(file: str):
