@@ -222,7 +222,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     learn = marked.select("text", F.when(_part("doc_id") < 2, F.col("label")).alias("label"))
     cells = learn.coalesce(max(1, -(-size // TASK))).mapInArrow(_counts, "t int, cell int, value long")
     united = [i for i, n in enumerate(NAMES) if TABLES[n]]
-    merged = cells.groupBy("t", "cell").agg(F.when(F.col("t").isin(united), F.bit_or("value")).otherwise(F.sum("value")).alias("value"))
+    mask = F.col("t").isin(united)
+    merged = cells.groupBy("t", "cell").agg(F.coalesce(F.bit_or(F.when(mask, F.col("value"))), F.sum(F.when(~mask, F.col("value")))).alias("value"))
     tables = {n: np.zeros(CELLS if n in NAMES[:7] else 1 << 6 * int(n[-1]), np.uint64) for n in NAMES}
     packed = save(merged, "counts").repartition(16, "t", F.shiftright("cell", 16)).mapInArrow(_packed, "t int, cells binary, vals binary")
     for t, at, value in packed.toLocalIterator():
