@@ -37,7 +37,7 @@ CALIBRATION = 20_000
 #: Text bytes that one counting task takes.
 TASK = 24 << 20
 #: Words of the passages.
-PASSAGES = (4, 16, 64)
+PASSAGES = (2, 8, 32)
 DISCOUNT, PRIOR = 0.75, 2.0
 
 START, END = 0, 1
@@ -51,11 +51,17 @@ SYMBOL[[33, 63, 46, 44]] = 30
 SYMBOL[[39, 45, 95]] = 31
 SYMBOL[128:] = 32 + (np.arange(128, 256) & 31)
 
-#: Tables: name -> whether rows are united (masks of symbols) or added.
-TABLES = {"toxic": False, "ordinary": False, "toxic_total": False, "ordinary_total": False, "toxic_next": True, "ordinary_next": True, "before4": True, "before3": True, "before2": True, "before1": True}
+#: Counts of a class, the first for the documents that count before calibration, the second for those that calibrate.
+CLASSES = ("ordinary", "toxic", "ordinary_late", "toxic_late")
+#: Tables, and whether their rows are united (masks of symbols) or added.
+TABLES = {f"{c}{part}": part == "_next" for c in CLASSES for part in ("", "_total", "_next")} | {f"before{n}": True for n in (4, 3, 2, 1)}
 NAMES = list(TABLES)
 
 
+def empty() -> dict[str, np.ndarray]:
+    return {n: np.zeros(1 << 6 * int(n[-1]) if n in ("before1", "before2", "before3") else CELLS, np.uint64) for n in NAMES}
+
+
 def fold(key: np.ndarray) -> np.ndarray:
     return (mix(key.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -83,8 +89,8 @@ class Types:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Non-zero cells of every table for a partition of (text, class): class 1 toxic, 0 ordinary, null only for the shared counts."""
-    t = {n: np.zeros(CELLS if n in NAMES[:7] else 1 << 6 * int(n[-1]), np.uint64) for n in NAMES}
+    """Non-zero cells of every table for a partition of (text, class): a place in CLASSES, null only for the shared counts."""
+    t = empty()
     one = np.uint64(1)
     for batch in batches:
         data, at = raw(batch.column(0))
@@ -97,7 +103,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low, before = gram & ((1 << 6 * n) - 1), (gram >> 6 * n).astype(np.uint64)
                 np.bitwise_or.at(t[f"before{n}"], fold(low) if n == 4 else low, one << before)
             row = np.repeat(np.arange(hi - lo), np.diff(types.first))
-            for c, name in ((1, "toxic"), (0, "ordinary")):
+            for c, name in enumerate(CLASSES):
                 of = label[lo:hi][row] == c
                 if of.any():
                     times = np.bincount(types.which[of], minlength=int(types.word[-1]) + 1)[types.word]
@@ -111,6 +117,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), i, np.int32)), pa.array(cell.astype(np.int32)), pa.array(t[n][cell].view(np.int64))], ["t", "cell", "value"])
 
 
+def joined(tables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Tables with the late classes counted in."""
+    late = {n: n.replace("_late", "") for n in NAMES if "_late" in n}
+    return tables | {to: tables[to] | tables[n] if TABLES[n] else tables[to] + tables[n] for n, to in late.items()}
+
+
 class Model:
     """Tables ready for scoring."""
 
@@ -208,8 +220,9 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """(doc_id, held_out, score) for every row of docs.
 
     Labelled rows whose crc32(doc_id) mod 4 is 2 are held out: nothing is
-    learnt from them. Of the others remainders 0 and 1 give the class counts and
-    remainder 3 the calibration (its CALIBRATION rows of smallest hash). Null
+    learnt from them. Of the others remainders 0 and 1 give the class counts with
+    which remainder 3 is scored for the calibration (its CALIBRATION rows of
+    smallest hash); the final scores count all three. Null
     and empty texts have no evidence and get the score of none; a null doc_id
     or label takes no part in training. A doc_id with several labels counts as
     its largest. Without labels of both classes the evidence is used as it is.
@@ -219,21 +232,22 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label")).where("doc_id is not null and label is not null")
     marked = base.join(known, "doc_id", "left")
-    learn = marked.select("text", F.when(_part("doc_id") < 2, F.col("label")).alias("label"))
+    learn = marked.select("text", F.when((_part("doc_id") != 2) & F.col("label").isNotNull(), F.when(F.col("label") > 0, 1).otherwise(0) + F.when(_part("doc_id") == 3, 2).otherwise(0)).alias("class"))
     cells = learn.coalesce(max(1, -(-size // TASK))).mapInArrow(_counts, "t int, cell int, value long")
     united = [i for i, n in enumerate(NAMES) if TABLES[n]]
     mask = F.col("t").isin(united)
     merged = cells.groupBy("t", "cell").agg(F.coalesce(F.bit_or(F.when(mask, F.col("value"))), F.sum(F.when(~mask, F.col("value")))).alias("value"))
-    tables = {n: np.zeros(CELLS if n in NAMES[:7] else 1 << 6 * int(n[-1]), np.uint64) for n in NAMES}
+    tables = empty()
     packed = save(merged, "counts").repartition(16, "t", F.shiftright("cell", 16)).mapInArrow(_packed, "t int, cells binary, vals binary")
     for t, at, value in packed.toLocalIterator():
         tables[NAMES[t]][np.frombuffer(at, np.int32)] = np.frombuffer(value, np.int64).view(np.uint64)
     model = spark.sparkContext.broadcast(Model(tables))
+    full = spark.sparkContext.broadcast(Model(joined(tables)))
 
     seen = marked.where(_part("doc_id") == 3).where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
     sample = seen.select("label", "text").mapInArrow(_evidence(model), "label int, evidence array<double>").collect()
     weights = calibrate(np.array([r[1] for r in sample]).reshape(-1, 1 + len(PASSAGES)), np.array([float(r[0] > 0) for r in sample]))
-    scored = base.mapInArrow(_evidence(model), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, evidence array<double>")
+    scored = base.mapInArrow(_evidence(full), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, evidence array<double>")
     logit = F.lit(float(weights[-1]))
     for k, w in enumerate(weights[:-1]):
         logit = logit + F.lit(float(w)) * F.col("evidence")[k]
