@@ -1,0 +1 @@
+"""Column functions: text, units and enumerations."""

@@ -1,0 +1 @@
+"""DataFrame operators on documents, tables, runs, pages and reports."""
