@@ -82,11 +82,16 @@ class WordIds:
             for w, lo, hi in zip(rest, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
                 self.new[w] = flat[4 * lo : 4 * hi]
 
-    def _meet(self, words: set[bytes]) -> None:
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """What neither generation has; words of the old one move."""
         missing = words.difference(self.new)
-        for w in missing & self.old.keys():
+        unknown = missing.difference(self.old)  # walks the words, not the dictionary
+        for w in missing.difference(unknown):
             self.new[w] = self.old[w]
-        missing.difference_update(self.old)
+        return unknown
+
+    def _meet(self, words: set[bytes]) -> None:
+        missing = self._recall(words)
         ends: dict[bytes, bytes] = {}
         unknown: set[bytes] = set()
         for w in missing:
@@ -96,10 +101,7 @@ class WordIds:
                 unknown |= {core, w[len(core) :]}
             else:
                 unknown.add(w)
-        if unknown:
-            for w in (unknown & self.old.keys()) - self.new.keys():
-                self.new[w] = self.old[w]
-            self._learn(unknown.difference(self.new))
+        self._learn(self._recall(unknown))
         for w, core in ends.items():
             self.new[w] = self.new[core] + self.new[w[len(core) :]]
 
