@@ -28,7 +28,7 @@ from paperloom.llm.textcore import raw, spans
 
 END = 2
 #: Words after which a worker forgets those it hasn't met since the last time.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 #: Text bytes taken at once.
 GROUP = 1 << 20
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
