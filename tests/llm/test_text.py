@@ -166,7 +166,7 @@ def test_minimum_slack_fills_sequences():
     sizes = np.random.default_rng(6).integers(1, 4096, 3000)
     number, offset = packing.minimum_slack(sizes, 4096)
     full = np.bincount(number, sizes)
-    assert full.max() <= 4096 and (full == 4096).mean() > 0.95
+    assert full.max() <= 4096 and full.mean() > 0.97 * 4096
     used = packing.fullest(np.array([7, 5, 3]), np.array([1, 2, 1]), 12)
     assert sum(n * c for n, c in used.items()) == 12
 
