@@ -64,7 +64,7 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[st
             want = F.pow("observed", F.lit(float(temper.get(m, 1.0))))
         seen = seen.coalesce(1).withColumn("want", want)
         share[m] = save(seen.select(m, (F.col("want") / F.sum("want").over(W.partitionBy())).alias(f"want_{m}")), "shares")
-        cells = cells.join(F.broadcast(share[m]), m)  # a row for each category
+        cells = cells.join(share[m], m)
     cells = save(cells.coalesce(1).withColumn("w", F.col("tokens") / F.sum("tokens").over(W.partitionBy())), "cells")
     for _ in range(PLANS):
         now = cells.coalesce(1)
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[st
     rated = cells.coalesce(1).withColumn("weight", F.col("w") / (F.col("tokens") / F.sum("tokens").over(every)))
     rated = rated.withColumn("probability", F.least(F.lit(1.0), F.lit(float(rate)) * F.col("weight") / F.max("weight").over(every)))
     rated = save(rated.select(*MARGINS, "weight", "probability"), "rates")
-    out = rows.join(F.broadcast(rated), list(MARGINS), "left")  # a row for each cell
+    out = rows.join(rated, list(MARGINS), "left")
     out = out.withColumn("probability", F.coalesce("probability", F.lit(min(1.0, float(rate)))))
     chance = F.shiftrightunsigned(F.coalesce("_own", F.xxhash64("doc_id", F.lit(seed))), 11) / F.lit(float(1 << 53))
     return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", (chance < F.col("probability")).alias("sampled"))

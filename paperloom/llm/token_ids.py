@@ -204,7 +204,7 @@ def read_digests(spark, at: str) -> DataFrame:
     whole = files.select(F.col("_metadata.file_name").alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("ids"))
     before = whole.select("file", F.coalesce(F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
     here = F.coalesce(F.sum("n_tokens").over(W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("here", here).join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("here")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.withColumn("here", here).join(before, "file").select("doc_id", (F.col("before") + F.col("here")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
