@@ -29,66 +29,77 @@ def layout_topic(text: Column, tokens: Column) -> Column:
     return F.when(tokens < 50, "brief").when(lines * 8 > tokens, "list").when(tokens > 2000, "long").otherwise("prose")
 
 
-def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, weight, probability, sampled) for every row of docs.
+def _placed(docs: DataFrame, topic: Column | None, text: str, doc_id: str, seed: int) -> DataFrame:
+    """docs with the columns _source, _lang, _topic, _tokens and _chance."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    named = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("(none)")) if c in docs.columns else F.lit("(none)") for c in ("source", "lang")}
+    own = F.when(F.col(doc_id).isNull(), F.xxhash64(body)).otherwise(F.xxhash64(doc_id, F.lit(seed)))
+    rows = docs.withColumns(named | {"_tokens": n_words(body), "_chance": F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53))})
+    return rows.withColumn("_topic", layout_topic(body, F.col("_tokens")) if topic is None else F.coalesce(topic.cast("string"), F.lit("(none)")))
 
-    targets gives shares by margin and category; categories it doesn't name
-    share what it leaves by their tokens. A margin without targets gets its
-    observed shares to the power temper (1 leaves them; source is tempered to 0.7 otherwise).
-    weight is the wanted over the observed share of the cell; probability
-    is rate times weight over the largest weight, 1 at most. sampled compares
-    it with a hash of doc_id, or of the text where doc_id is null, so a row
-    always falls the same way and rows of one doc_id together. Null categories are
-    '(none)'; documents without words weigh nothing in the fit and get their
-    cell's probability, or the rate in a cell without any.
-    """
+
+def _rates(counts: DataFrame, targets: dict[str, dict[str, float]] | None, temper: dict[str, float] | None, rate: float) -> DataFrame:
+    """(_source, _lang, _topic, weight, probability) for each cell of counts with words."""
     temper = {"source": 0.7} if temper is None else temper
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = {c: F.coalesce(F.col(c).cast("string"), F.lit("(none)")) if c in docs.columns else F.lit("(none)") for c in ("source", "lang")}
-    rows = docs.select(F.col(doc_id).alias("doc_id"), named["source"].alias("source"), named["lang"].alias("lang"), n_words(body).alias("tokens"), *([F.coalesce(topic.cast("string"), F.lit("(none)")).alias("topic")] if topic is not None else [body.alias("_body")]), F.when(F.col(doc_id).isNull(), F.xxhash64(body)).alias("_own"))
-    if topic is None:
-        rows = rows.withColumn("topic", layout_topic(F.col("_body"), F.col("tokens"))).drop("_body")
-    rows = save(rows, "counted")
-
-    cells = rows.where("tokens > 0").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).coalesce(1)
-    share = {}
-    for m in MARGINS:
-        seen = cells.groupBy(m).agg(F.sum("tokens").alias("observed"))
+    keys = [f"_{m}" for m in MARGINS]
+    cells = counts.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).where("tokens > 0").coalesce(1)
+    cells = save(cells, "tokens")
+    start = cells.coalesce(1)
+    for m, k in zip(MARGINS, keys):
+        seen = cells.groupBy(k).agg(F.sum("tokens").alias("observed"))
         given = (targets or {}).get(m)
         if given:
-            fixed = F.coalesce(*[F.when(F.col(m) == k, F.lit(float(v))) for k, v in given.items()])
+            fixed = F.coalesce(*[F.when(F.col(k) == c, F.lit(float(v))) for c, v in given.items()])
             spare = max(0.0, 1.0 - sum(given.values()))
             free = F.when(fixed.isNull(), F.col("observed"))
             want = F.coalesce(fixed, F.lit(spare) * free / F.sum(free).over(W.partitionBy()))
         else:
             want = F.pow("observed", F.lit(float(temper.get(m, 1.0))))
         seen = seen.coalesce(1).withColumn("want", want)
-        share[m] = save(seen.select(m, (F.col("want") / F.sum("want").over(W.partitionBy())).alias(f"want_{m}")), "shares")
-        cells = cells.join(share[m], m)
-    cells = save(cells.coalesce(1).withColumn("w", F.col("tokens") / F.sum("tokens").over(W.partitionBy())), "cells")
+        share = save(seen.select(k, (F.col("want") / F.sum("want").over(W.partitionBy())).alias(f"want_{m}")), "shares")
+        start = start.join(share, k)
+    now = save(start.coalesce(1).withColumn("w", F.col("tokens") / F.sum("tokens").over(W.partitionBy())), "cells")
     for _ in range(PLANS):
-        now = cells.coalesce(1)
+        next_ = now.coalesce(1)
         for _ in range(ROUNDS):
-            for m in MARGINS:
-                now = now.withColumn("w", F.col("w") * F.col(f"want_{m}") / F.sum("w").over(W.partitionBy(m)))
-        cells = save(now, "cells")
+            for m, k in zip(MARGINS, keys):
+                next_ = next_.withColumn("w", F.col("w") * F.col(f"want_{m}") / F.sum("w").over(W.partitionBy(k)))
+        now = save(next_, "cells")
+        sums = now.coalesce(1)
+        for m, k in zip(MARGINS, keys):
+            sums = sums.withColumn(f"s_{m}", F.sum("w").over(W.partitionBy(k)))
         off = F.greatest(*[F.abs(F.col(f"s_{m}") / F.col(f"want_{m}") - 1) for m in MARGINS])
-        sums = cells.coalesce(1)
-        for m in MARGINS:
-            sums = sums.withColumn(f"s_{m}", F.sum("w").over(W.partitionBy(m)))
         if (sums.agg(F.max(off)).first()[0] or 0.0) < CLOSE:
             break
     every = W.partitionBy()
-    rated = cells.coalesce(1).withColumn("weight", F.col("w") / (F.col("tokens") / F.sum("tokens").over(every)))
+    rated = now.coalesce(1).withColumn("weight", F.col("w") / (F.col("tokens") / F.sum("tokens").over(every)))
     rated = rated.withColumn("probability", F.least(F.lit(1.0), F.lit(float(rate)) * F.col("weight") / F.max("weight").over(every)))
-    rated = save(rated.select(*MARGINS, "weight", "probability"), "rates")
-    out = rows.join(rated, list(MARGINS), "left")
-    out = out.withColumn("probability", F.coalesce("probability", F.lit(min(1.0, float(rate)))))
-    chance = F.shiftrightunsigned(F.coalesce("_own", F.xxhash64("doc_id", F.lit(seed))), 11) / F.lit(float(1 << 53))
-    return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", (chance < F.col("probability")).alias("sampled"))
+    return save(rated.select(*keys, F.col("weight").alias("_weight"), F.col("probability").alias("_probability")), "rates")
+
+
+def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, weight, probability, sampled) for every row of docs.
+
+    targets gives shares by margin and category; categories it doesn't name
+    share what it leaves by their tokens. A margin without targets gets its
+    observed shares to the power temper (1 leaves them; source is tempered to 0.7 otherwise).
+    weight is the wanted over the observed share of the cell; probability
+    is rate times weight over the largest weight, 1 at most. sampled compares
+    it with a hash of doc_id, or of the text where doc_id is null, so a row
+    always falls the same way. Null categories are '(none)'; documents without
+    words weigh nothing in the fit and get their cell's probability, or the
+    rate and no weight in a cell without any.
+    """
+    placed = _placed(docs, topic, text, doc_id, seed)
+    rows = save(placed.select(F.col(doc_id).alias("doc_id"), "_source", "_lang", "_topic", "_tokens", "_chance"), "counted")
+    out = rows.join(_rates(rows, targets, temper, rate), ["_source", "_lang", "_topic"], "left")
+    probability = F.coalesce("_probability", F.lit(min(1.0, float(rate))))
+    return out.select("doc_id", *[F.col(f"_{m}").alias(m) for m in MARGINS], F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), probability.alias("probability"), (F.col("_chance") < probability).alias("sampled"))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that mix() samples; rows with a null doc_id stay."""
-    gone = mix(docs, **options).where("doc_id is not null and not sampled").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def sample(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that mix() samples with the same arguments."""
+    placed = _placed(docs, topic, text, doc_id, seed)
+    rates = _rates(placed.select("_source", "_lang", "_topic", "_tokens"), targets, temper, rate)
+    kept = placed.join(rates, ["_source", "_lang", "_topic"], "left").where(F.col("_chance") < F.coalesce("_probability", F.lit(min(1.0, float(rate)))))
+    return kept.select(*docs.columns)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.llm.store import save
 from paperloom.llm.textcore import SPACE, Words, mix, raw, spans
@@ -32,8 +33,8 @@ from paperloom.llm.textcore import SPACE, Words, mix, raw, spans
 BITS = 20
 CELLS = 1 << BITS
 ORDER = 5
-#: Rows of labelled training documents that the calibration takes at most.
-CALIBRATION = 20_000
+#: Labelled rows that the class counts and the calibration take, about: of more a share by hash.
+LABELLED, CALIBRATION = 1_000_000, 20_000
 #: Text bytes that one counting task takes.
 TASK = 24 << 20
 #: Words of the passages.
@@ -88,6 +89,29 @@ class Types:
             self.key |= shifted << (6 * k)
 
 
+def _places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted known has each key, and whether it does."""
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return at, (known[at] == keys) if len(known) else np.zeros(len(keys), bool)
+
+
+def _labelled(known):
+    """Counts of a partition of (text, key), where known has the keys and places in CLASSES of labelled documents."""
+
+    def run(batches):
+        keys, classes = known.value
+
+        def marked():
+            for batch in batches:
+                at, there = _places(batch.column(1).to_numpy(), keys)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(there, classes[at] if len(classes) else 0, -1), mask=~there)], ["text", "class"])
+
+        yield from _counts(marked())
+
+    return run
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Non-zero cells of every table for a partition of (text, class): a place in CLASSES, null only for the shared counts."""
     t = empty()
@@ -183,15 +207,30 @@ class Model:
         return out
 
 
-def _evidence(model):
+def _evidence(model, text: int, keep: list[int]):
+    """The columns keep with the evidence of column text."""
+
     def run(batches):
         for batch in batches:
-            data, at = raw(batch.column("text"))
+            data, at = raw(batch.column(text))
             parts = [model.value.evidence(data, at[lo : hi + 1]) for lo, hi in spans(at)]
             e = np.concatenate(parts) if parts else np.zeros((0, 1 + len(PASSAGES)))
-            keep = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
-            names = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(list(e), pa.list_(pa.float64()))], [*names, "evidence"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(list(e), pa.list_(pa.float64()))], [*(batch.schema.names[k] for k in keep), "_evidence"])
+
+    return run
+
+
+def _sampled(model, wanted):
+    """(label, evidence) of the rows whose key is wanted."""
+
+    def run(batches):
+        keys, labels = wanted.value
+        for batch in batches:
+            at, there = _places(batch.column(1).to_numpy(), keys)
+            if there.any():
+                data, offsets = raw(batch.column(0).filter(pa.array(there)))
+                e = np.concatenate([model.value.evidence(data, offsets[lo : hi + 1]) for lo, hi in spans(offsets)])
+                yield pa.RecordBatch.from_arrays([pa.array(labels[at[there]]), pa.array(list(e), pa.list_(pa.float64()))], ["label", "evidence"])
 
     return run
 
@@ -216,24 +255,21 @@ def _part(doc_id: str):
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4))
 
 
-def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """(doc_id, held_out, score) for every row of docs.
-
-    Labelled rows whose crc32(doc_id) mod 4 is 2 are held out: nothing is
-    learnt from them. Of the others remainders 0 and 1 give the class counts with
-    which remainder 3 is scored for the calibration (its CALIBRATION rows of
-    smallest hash); the final scores count all three. Null
-    and empty texts have no evidence and get the score of none; a null doc_id
-    or label takes no part in training. A doc_id with several labels counts as
-    its largest. Without labels of both classes the evidence is used as it is.
-    """
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic"):
+    """The broadcast model and the calibration's weights; see score."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    key = lambda c: F.xxhash64(F.col(c).cast("string"))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label")).where("doc_id is not null and label is not null")
-    marked = base.join(known, "doc_id", "left")
-    learn = marked.select("text", F.when((_part("doc_id") != 2) & F.col("label").isNotNull(), F.when(F.col("label") > 0, 1).otherwise(0) + F.when(_part("doc_id") == 3, 2).otherwise(0)).alias("class"))
-    cells = learn.coalesce(max(1, -(-size // TASK))).mapInArrow(_counts, "t int, cell int, value long")
+    known = known.select(key("doc_id").alias("key"), (F.col("label") > 0).cast("int").alias("label"), _part("doc_id").alias("part")).where("part <> 2")
+    total = dict(known.groupBy((F.col("part") == 3).alias("late")).count().collect())
+    chance = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
+    seen = known.where(chance < LABELLED / max(1, sum(total.values()))).toPandas().sort_values("key")
+    late = seen.part.to_numpy() == 3
+    places = spark.sparkContext.broadcast((seen.key.to_numpy(np.int64), seen.label.to_numpy(np.int64) + 2 * late))
+    every = base.select("text", F.when(F.col("doc_id").isNotNull(), key("doc_id")).otherwise(0).alias("key"))
+    cells = every.coalesce(max(1, -(-size // TASK))).mapInArrow(_labelled(places), "t int, cell int, value long")
     united = [i for i, n in enumerate(NAMES) if TABLES[n]]
     mask = F.col("t").isin(united)
     merged = cells.groupBy("t", "cell").agg(F.coalesce(F.bit_or(F.when(mask, F.col("value"))), F.sum(F.when(~mask, F.col("value")))).alias("value"))
@@ -244,14 +280,39 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     model = spark.sparkContext.broadcast(Model(tables))
     full = spark.sparkContext.broadcast(Model(joined(tables)))
 
-    seen = marked.where(_part("doc_id") == 3).where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    sample = seen.select("label", "text").mapInArrow(_evidence(model), "label int, evidence array<double>").collect()
+    share = CALIBRATION / max(1, late.sum())
+    chosen = late & (seen.key.to_numpy() % (1 << 20) < share * (1 << 20))
+    wanted = spark.sparkContext.broadcast((seen.key.to_numpy(np.int64)[chosen], seen.label.to_numpy(np.int64)[chosen]))
+    sample = every.mapInArrow(_sampled(model, wanted), "label long, evidence array<double>").collect()
     weights = calibrate(np.array([r[1] for r in sample]).reshape(-1, 1 + len(PASSAGES)), np.array([float(r[0] > 0) for r in sample]))
-    scored = base.mapInArrow(_evidence(full), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, evidence array<double>")
+    return full, weights
+
+
+def _scored(docs: DataFrame, fitted, text: str, keep: list[str]) -> DataFrame:
+    model, weights = fitted
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("_evidence", T.ArrayType(T.DoubleType()))])
     logit = F.lit(float(weights[-1]))
     for k, w in enumerate(weights[:-1]):
-        logit = logit + F.lit(float(w)) * F.col("evidence")[k]
-    return scored.select("doc_id", F.coalesce(_part("doc_id") == 2, F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-logit))).alias("score"))
+        logit = logit + F.lit(float(w)) * F.col("_evidence")[k]
+    found = docs.mapInArrow(_evidence(model, docs.columns.index(text), [docs.columns.index(c) for c in keep]), schema)
+    return found.withColumn("_score", 1 / (1 + F.exp(-logit))).drop("_evidence")
+
+
+def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """(doc_id, held_out, score) for every row of docs.
+
+    Labelled rows whose crc32(doc_id) mod 4 is 2 are held out: nothing is
+    learnt from them. Of the others remainders 0 and 1 give the class counts with
+    which remainder 3 is scored for the calibration (about CALIBRATION of its rows, by
+    hash); the final scores count all three. Class counts take about LABELLED
+    labelled rows at most, shared counts take every document. Null
+    and empty texts have no evidence and get the score of none; a null doc_id
+    or label takes no part in training. A doc_id with several labels counts as
+    its largest. Without labels of both classes the evidence is used as it is.
+    """
+    fitted = fit(docs, labels, text, doc_id, label)
+    found = _scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), fitted, "text", ["doc_id"])
+    return found.select("doc_id", F.coalesce(_part("doc_id") == 2, F.lit(False)).alias("held_out"), F.col("_score").alias("score"))
 
 
 def _packed(batches):
@@ -264,6 +325,5 @@ def _packed(batches):
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score stays below threshold. Rows with a null doc_id go by their text's score like all others."""
-    found = score(docs, labels).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of docs whose score stays below threshold, each by its own text."""
+    return _scored(docs, fit(docs, labels), "text", docs.columns).where(F.col("_score") < threshold).drop("_score")
