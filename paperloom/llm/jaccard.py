@@ -43,7 +43,7 @@ CELLS, PARTS = 1 << 20, 16
 #: 64-bit words of the filter of candidate classes (a false hit costs work, not results).
 FILTER_WORDS = 1 << 18
 #: Classes in an index shard, members compared with one copy of a pivot, rounds of pivots, open rows of a run that a scan holds.
-SHARD, FAN, ROUNDS, LIST = 2048, 512, 4, 1 << 16
+SHARD, FAN, ROUNDS, LIST = 2048, 512, 3, 1 << 16
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -390,13 +390,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         grouped = members.unionByName(pivots).repartition(parts, "g", "lane").sortWithinPartitions("g", "lane", F.col("class") != F.col("g"))
         new = save(grouped.mapInArrow(_verify(percent), "a long, b long"), "stars")
         stars = new if stars is None else stars.unionByName(new)
-        roots = components(stars, "a", "b")
-        now = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", "times", F.coalesce("component", "class").alias("root"))
-        mixed = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        open_lists = save(now.join(mixed, "token", "left_semi"), "open")
-        if new.isEmpty():
-            break
-
+        # a part's name is a class that its classes are linked with; the last step joins all parts exactly
+        named = open_lists.select("class", "root").distinct()
+        ends = named.select(F.col("class").alias("b"), F.col("root").alias("to"))
+        moved = new.join(ends, "b").join(named.withColumnRenamed("class", "a"), "a").select(F.col("a").alias("class"), F.least("root", "to").alias("to"))
+        moved = save(moved, "moved")
+        further = moved.select(F.col("class").alias("to"), F.col("to").alias("next"))
+        moved = moved.join(further, "to", "left").select("class", F.coalesce("next", "to").alias("to"))
+        open_lists = open_lists.join(moved, "class", "left").select("token", "class", "n", "times", F.coalesce("to", "root").alias("root"))
+        open_lists = save(open_lists, "open")
+
+    mixed = open_lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    open_lists = save(open_lists.join(mixed, "token", "left_semi"), "mixed")
     wanted = open_lists.select("class", "root").distinct()
     shards = max(1, -(-wanted.count() // SHARD))
     shard = F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")

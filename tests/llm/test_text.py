@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import fm_index, jaccard, mixing, packing, sharding, substring, textcore, token_ids, toxicity, url_filter
+from paperloom.llm import fm_index, graph, jaccard, mixing, packing, sharding, substring, textcore, token_ids, toxicity, url_filter
 from tests.llm import brute
 
 ROWS = brute.corpus()
@@ -97,6 +97,18 @@ def test_ngram_jaccard_edges(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(400, 440)] + [(None, 3), (7, None)]
+    df = spark.createDataFrame(edges, 'a long, b long')
+    want = brute.union([e for e in edges if None not in e], range(450))
+    for small in (graph.SMALL, 0):
+        monkeypatch.setattr(graph, 'SMALL', small)
+        got = {x.node: x.component for x in graph.components(df, 'a', 'b').collect()}
+        assert got == {n: want[n] for e in edges if None not in e and e[0] != e[1] for n in e}
+    assert graph.components(df.limit(0), 'a', 'b').count() == 0
+
+
 def test_divide_skip_against_counting():
     r = np.random.default_rng(2)
     sets = [textcore.distinct(r.choice(60, r.integers(1, 50)).astype(np.uint64)) for _ in range(200)]
