@@ -24,17 +24,22 @@ def audit_missing(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("missing"))
 
 
+#: Conditions in SQL by the name of the issue, in the order of reports.
 RULES = {
-    "missing audit": F.col("audited").isNull(),
-    "low quality": F.col("quality") == 0,
-    "toxic": F.col("toxic") == 1,
-    "too short": F.col("n_chars") < 200,
-    "too long": F.col("n_chars") > 20000,
+    "missing audit": "audited is null",
+    "low quality": "quality = 0",
+    "toxic": "toxic = 1",
+    "too short": "n_chars < 200",
+    "too long": "n_chars > 20000",
 }
 
 
+def _rules(*names):
+    return reports.rule_list({n: F.expr(RULES[n]) for n in names or RULES})
+
+
 def guard_issues(spark, sf_dir):
-    found = _joined(spark, sf_dir).select("doc_id", F.posexplode(reports.rule_list(RULES)).alias("n", "issue"))
+    found = _joined(spark, sf_dir).select("doc_id", F.posexplode(_rules()).alias("n", "issue"))
     priority = F.when(F.col("issue") == "toxic", "P0").when(F.col("issue") == "low quality", "P1").when(F.col("issue") == "missing audit", "P3").otherwise("P2")
     return found.select("doc_id", "n", "issue", priority.alias("priority"))
 
@@ -47,9 +52,7 @@ def issue_priority(spark, sf_dir):
 
 def doc_status(spark, sf_dir):
     """fail, warn or ok for each document, and the failing rules' names."""
-    fails = reports.rule_list({k: RULES[k] for k in ("low quality", "toxic")})
-    warns = reports.rule_list({k: RULES[k] for k in ("too short", "too long")})
-    rows = _joined(spark, sf_dir).withColumns({"fails": fails, "warns": warns})
+    rows = _joined(spark, sf_dir).withColumns({"fails": _rules("low quality", "toxic"), "warns": _rules("too short", "too long")})
     return rows.select("doc_id", F.when(F.size("fails") > 0, "fail").when(F.size("warns") > 0, "warn").otherwise("ok").alias("state"), F.concat_ws(", ", "fails").alias("failing"))
 
 
