@@ -5,6 +5,11 @@ cells to the target share of each source, language and topic in turn until
 all three hold; a document is then sampled with the probability that its
 cell's weight asks for. The cells are a table of category combinations, so
 raking runs on one partition while documents are only read to count and to sample.
+
+Probabilities are min(1, c * weight), with one c for all cells such that the
+tokens expected are the budget. No text is taken twice, so a cell that reaches
+1 stays there and the others share what it leaves; the scale hangs on the
+whole mix and not on the rarest category.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ def _placed(docs: DataFrame, topic: Column | None, text: str, doc_id: str, seed:
     return rows.withColumn("_topic", layout_topic(body, F.col("_tokens")) if topic is None else F.coalesce(topic.cast("string"), F.lit("(none)")))
 
 
-def _rates(counts: DataFrame, targets: dict[str, dict[str, float]] | None, temper: dict[str, float] | None, rate: float) -> DataFrame:
+def _rates(counts: DataFrame, targets: dict[str, dict[str, float]] | None, temper: dict[str, float] | None, rate: float, budget: float | None) -> DataFrame:
     """(_source, _lang, _topic, weight, probability) for each cell of counts with words."""
     temper = {"source": 0.7} if temper is None else temper
     keys = [f"_{m}" for m in MARGINS]
@@ -73,33 +78,52 @@ def _rates(counts: DataFrame, targets: dict[str, dict[str, float]] | None, tempe
             break
     every = W.partitionBy()
     rated = now.coalesce(1).withColumn("weight", F.col("w") / (F.col("tokens") / F.sum("tokens").over(every)))
-    rated = rated.withColumn("probability", F.least(F.lit(1.0), F.lit(float(rate)) * F.col("weight") / F.max("weight").over(every)))
+    common = F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight"))).over(every) if budget is None else F.lit(float(budget))
+    heavier = W.orderBy(F.desc("weight"), *keys)
+    full = F.coalesce(F.sum("tokens").over(heavier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("tokens") * F.col("weight")).over(heavier.rowsBetween(W.currentRow, W.unboundedFollowing))
+    # the scale if just the heavier cells are full; of those under which this cell isn't, the largest spends the budget
+    rated = rated.withColumn("scale", F.try_divide(F.lit(float(rate)) * common - full, rest))
+    scale = F.max(F.when(F.col("scale") * F.col("weight") <= 1, F.col("scale"))).over(every)
+    rated = rated.withColumn("probability", F.when(F.col("weight") > 0, F.coalesce(F.least(F.lit(1.0), scale * F.col("weight")), F.lit(1.0))).otherwise(0.0))
     return save(rated.select(*keys, F.col("weight").alias("_weight"), F.col("probability").alias("_probability")), "rates")
 
 
-def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id", budget: float | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, weight, probability, sampled) for every row of docs.
 
     targets gives shares by margin and category; categories it doesn't name
     share what it leaves by their tokens. A margin without targets gets its
     observed shares to the power temper (1 leaves them; source is tempered to 0.7 otherwise).
-    weight is the wanted over the observed share of the cell; probability
-    is rate times weight over the largest weight, 1 at most. sampled compares
-    it with a hash of doc_id, or of the text where doc_id is null, so a row
+    weight is the wanted over the observed share of the cell; probability is
+    min(1, c * weight), c such that rate times budget tokens are expected. The
+    budget is a number of tokens; without one it is what the observed and the
+    wanted mix have in common, the sum of tokens * min(1, weight). Cells at 1
+    fall short of their wanted share; reached() tells by how much. sampled compares
+    probability with a hash of doc_id, or of the text where doc_id is null, so a row
     always falls the same way. Null categories are '(none)'; documents without
     words weigh nothing in the fit and get their cell's probability, or the
     rate and no weight in a cell without any.
     """
     placed = _placed(docs, topic, text, doc_id, seed)
     rows = save(placed.select(F.col(doc_id).alias("doc_id"), "_source", "_lang", "_topic", "_tokens", "_chance"), "counted")
-    out = rows.join(_rates(rows, targets, temper, rate), ["_source", "_lang", "_topic"], "left")
+    out = rows.join(_rates(rows, targets, temper, rate, budget), ["_source", "_lang", "_topic"], "left")
     probability = F.coalesce("_probability", F.lit(min(1.0, float(rate))))
     return out.select("doc_id", *[F.col(f"_{m}").alias(m) for m in MARGINS], F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), probability.alias("probability"), (F.col("_chance") < probability).alias("sampled"))
 
 
-def sample(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def reached(mixed: DataFrame) -> DataFrame:
+    """(margin, category, observed, wanted, reached) of what mix() gives: shares of tokens in its input, its targets and, as expected, its sample."""
+    shares = {"observed": F.col("tokens"), "wanted": F.col("tokens") * F.col("weight"), "reached": F.col("tokens") * F.col("probability")}
+    cells = mixed.where("tokens > 0").groupBy(*MARGINS).agg(*[F.sum(v).alias(k) for k, v in shares.items()])
+    of = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("category")) for m in MARGINS]))
+    sums = cells.select(of.alias("of"), *shares).groupBy("of.margin", "of.category").agg(*[F.sum(k).alias(k) for k in shares])
+    return sums.select("margin", "category", *[F.try_divide(F.col(k), F.sum(k).over(W.partitionBy("margin"))).alias(k) for k in shares])
+
+
+def sample(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id", budget: float | None = None) -> DataFrame:
     """The rows of docs that mix() samples with the same arguments."""
     placed = _placed(docs, topic, text, doc_id, seed)
-    rates = _rates(placed.select("_source", "_lang", "_topic", "_tokens"), targets, temper, rate)
+    rates = _rates(placed.select("_source", "_lang", "_topic", "_tokens"), targets, temper, rate, budget)
     kept = placed.join(rates, ["_source", "_lang", "_topic"], "left").where(F.col("_chance") < F.coalesce("_probability", F.lit(min(1.0, float(rate)))))
     return kept.select(*docs.columns)

@@ -223,6 +223,30 @@ def test_mixing_reaches_its_targets(spark):
     assert mixing.sample(docs, targets=targets, temper={}).count() == int(found.sampled.sum())
 
 
+def test_mixing_keeps_the_corpus_beside_tiny_and_null_sources(spark):
+    rows = [(k, " ".join(["w"] * (5 if k % 20 < 2 else 100)), "en", f"s{k % 5}" if k % 2 else "s0") for k in range(2000)]
+    docs = spark.createDataFrame([*rows, (5000, "a b c d e", "en", None), (5001, "a b c", "en", "tiny")], "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix(docs)
+    found = mixed.toPandas()
+    seen = found.groupby("source").tokens.sum()
+    want = seen**0.7 / (seen**0.7).sum()
+    both = (found.tokens * found.weight.clip(upper=1)).sum()
+    assert both > 0.8 * seen.sum()
+    assert abs((found.tokens * found.probability).sum() / both - 1) < 1e-6
+    assert (found[found.source.isin(["(none)", "tiny"])].probability == 1).all()
+    assert mixing.sample(docs).count() == int(found.sampled.sum()) > 0.75 * len(found)
+    got = mixing.reached(mixed).toPandas()
+    got = got[got.margin == "source"].set_index("category")
+    assert all(abs(got.wanted[s] - want[s]) < 1e-4 for s in seen.index)
+    assert abs(got.reached["s0"] - want["s0"]) < abs(got.observed["s0"] - want["s0"])
+    for budget in (150_000, 10**7):
+        some = mixing.mix(docs, budget=budget).toPandas()
+        assert abs((some.tokens * some.probability).sum() / min(budget, seen.sum()) - 1) < 1e-6
+        low = some[(some.probability < 1)]
+        scale = low.probability / low.weight
+        assert low.empty or (scale.max() / scale.min() < 1 + 1e-9 and (some[some.probability == 1].weight * scale.max() >= 1 - 1e-9).all())
+
+
 def brute_rates(found, targets):
     cells = found[found.tokens > 0].groupby(["source", "lang", "topic"]).tokens.sum().to_dict()
     total = sum(cells.values())
