@@ -18,6 +18,10 @@ fragment. The work goes by anchors, not by pairs of documents:
 4. Buckets get back what is repeated and cut it from their texts.
 
 A hot passage costs a row a bucket in each step, however many documents hold it.
+A hot line shorter than a window has other words around it in each document, so
+its anchor has a fragment a document. Anchors above a number of fragments are
+split: their windows go one by one and by their own hash, which only equal
+windows share, so a key again has a row a bucket.
 """
 
 from __future__ import annotations
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm.fm_index import FMIndex, least
-from paperloom.llm.textcore import Words, _power, grams, mix, raw, signed, spans
+from paperloom.llm.textcore import _PLACE, Words, _power, grams, mix, raw, signed, spans
 
 #: Text bytes of a bucket, symbols of one FM-index, windows of a fragment.
 BUCKET, INDEX, LONGEST = 6 << 20, 400_000, 32
+#: Fragments, counted by bucket, above which an anchor is split.
+SPLIT = 4096
 NONE = np.iinfo(np.int64).max
 
 
@@ -76,6 +82,19 @@ class Fragments:
         np.cumsum(h * up[: len(h)], out=total[1:])
         self.content = mix((total[end] - total[head]) * down[head] + size.astype(np.uint64))
 
+    def starts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of all windows of the fragments chosen, and the fragment of each."""
+        size = self.windows[chosen]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.repeat(self.at[chosen], size) + inner, np.repeat(chosen, size)
+
+    def hashes(self, start: np.ndarray, words: int) -> np.ndarray:
+        """Hashes of the windows that start there."""
+        out = np.ones(len(start), np.uint64)
+        for k in range(words):
+            out += self.h[start + k] * _PLACE[k]
+        return mix(out)
+
 
 def _parts(table: pa.Table, words: int, anchor: int, column: str = "text") -> Iterator[tuple[int, Fragments]]:
     data, at = raw(table[column])
@@ -85,34 +104,43 @@ def _parts(table: pa.Table, words: int, anchor: int, column: str = "text") -> It
 
 def _anchors(words: int, anchor: int):
     def run(table: pa.Table) -> pa.Table:
-        found = [np.unique(f.anchor) for _, f in _parts(table, words, anchor)]
-        a = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        return pa.table({"anchor": signed(a), "bucket": np.full(len(a), table["bucket"][0].as_py() if len(table) else 0, np.int32)})
+        found = [(f.anchor, f.content) for _, f in _parts(table, words, anchor)]
+        every, content = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.uint64) for k in (0, 1))
+        a, n = np.unique(every[np.unique(content, return_index=True)[1]], return_counts=True)
+        return pa.table({"anchor": signed(a), "bucket": np.full(len(a), table["bucket"][0].as_py() if len(table) else 0, np.int32), "n": n.astype(np.int32)})
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor those whose anchor more than one bucket has."""
-    held = None  # the last row, with whether it was given out
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(a):
-            continue
-        if held is not None and not held[2]:
-            a, b = np.concatenate(([held[0]], a)), np.concatenate((np.array([held[1]], b.dtype), b))
-            before = False
-        else:
-            before = held is not None and held[0] == a[0]
-        same = a[1:] == a[:-1]
-        keep = np.append(same, False) | np.insert(same, 0, before)
-        held = (a[-1], b[-1], bool(keep[-1]))
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["anchor", "bucket"])
+def _shared(split: int):
+    """Of rows sorted by anchor those whose anchor more than one bucket has, and whether it has more than split fragments."""
+
+    def told(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        times = np.diff(np.append(head, len(a)))
+        keep, hot = np.repeat(times > 1, times), np.repeat(np.add.reduceat(n.astype(np.int64), head) > split, times)
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(hot[keep])], ["anchor", "bucket", "hot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of the last anchor, one a bucket
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in range(3)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            end = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [x[end:] for x in rows]
+            if end:
+                yield told(*(x[:end] for x in rows))
+        if held is not None:
+            yield told(*held)
+
+    return run
 
 
 def _fragments(words: int, anchor: int):
-    kept = pa.schema([("anchor", pa.int64()), ("bucket", pa.int32()), ("content", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("codes", pa.binary())])
+    kept = pa.schema([("anchor", pa.int64()), ("bucket", pa.int32()), ("content", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("codes", pa.binary()), ("single", pa.bool_())])
 
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not len(table):
@@ -125,9 +153,11 @@ def _fragments(words: int, anchor: int):
         by = np.lexsort((doc, every))
         twice = np.flatnonzero((every[by][1:] == every[by][:-1]) & (doc[by][1:] != doc[by][:-1]))
         wanted |= np.isin(every, np.unique(every[by][twice]))
-        place = np.flatnonzero(wanted)
+        hot = wanted & np.isin(every, np.unique(shared["anchor"].to_numpy()[shared["hot"].to_numpy()]).view(np.uint64))
+        singles = _singles(parts, hot, ids, table["bucket"][0].as_py(), words, kept)
+        place = np.flatnonzero(wanted & ~hot)
         if not len(place):
-            return kept.empty_table()
+            return singles
         by = place[np.lexsort((doc[place], content[place]))]
         head = np.flatnonzero(np.concatenate(([True], content[by][1:] != content[by][:-1])))
         tail = np.append(head[1:], len(by)) - 1
@@ -140,11 +170,30 @@ def _fragments(words: int, anchor: int):
             low += len(f.at)
         at = np.argsort(by[head], kind="stable")  # codes are in order of place
         n = len(chosen)
-        return pa.table([pa.array(signed(every[chosen])), pa.array(np.full(n, table["bucket"][0].as_py(), np.int32)), pa.array(signed(content[chosen])), pa.array(doc[by[head]][at]), pa.array(doc[by[tail]][at]), pa.array(codes, pa.binary())], schema=kept)
+        whole = pa.table([pa.array(signed(every[chosen])), pa.array(np.full(n, table["bucket"][0].as_py(), np.int32)), pa.array(signed(content[chosen])), pa.array(doc[by[head]][at]), pa.array(doc[by[tail]][at]), pa.array(codes, pa.binary()), pa.array(np.zeros(n, bool))], schema=kept)
+        return pa.concat_tables([whole, singles])
 
     return run
 
 
+def _singles(parts: list, hot: np.ndarray, ids: np.ndarray, bucket: int, words: int, schema: pa.Schema) -> pa.Table:
+    """The distinct windows of a bucket's hot fragments, each under its own hash."""
+    if not hot.any():
+        return schema.empty_table()
+    found, low = [], 0
+    for k, (lo, f) in enumerate(parts):
+        start, of = f.starts(np.flatnonzero(hot[low : low + len(f.at)]))
+        found.append((f.hashes(start, words), ids[lo + f.row[of]], np.full(len(start), k), start))
+        low += len(f.at)
+    content, doc, part, start = (np.concatenate(x) for x in zip(*found))
+    by = np.lexsort((doc, content))
+    head = np.flatnonzero(np.concatenate(([True], content[by][1:] != content[by][:-1])))
+    tail, one = np.append(head[1:], len(by)) - 1, by[head]
+    codes = [(parts[k][1].h[s : s + words] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for k, s in zip(part[one].tolist(), start[one].tolist())]
+    name = pa.array(signed(content[one]))
+    return pa.table([name, pa.array(np.full(len(one), bucket, np.int32)), name, pa.array(doc[one]), pa.array(doc[by[tail]]), pa.array(codes, pa.binary()), pa.array(np.ones(len(one), bool))], schema=schema)
+
+
 def first_places(codes: list[np.ndarray], first: np.ndarray, words: int) -> list[np.ndarray]:
     """For each fragment the smallest of first over the fragments in which each of its windows occurs."""
     size = np.array([len(c) for c in codes])
@@ -189,7 +238,7 @@ def _search(words: int):
     def done(rows: list) -> pa.RecordBatch | None:
         at: dict[int, int] = {}
         codes, first = [], []
-        for _, content, low, _, data in rows:
+        for _, content, low, _, data, _ in rows:
             if content in at:
                 first[at[content]] = min(first[at[content]], low)
             else:
@@ -198,22 +247,22 @@ def _search(words: int):
                 first.append(low)
         found = first_places(codes, np.array(first, np.int64), words)
         under = [int(x.min()) for x in found]
-        told = [(b, c, found[at[c]]) for b, c, _, last, _ in rows if under[at[c]] < last]
+        told = [(b, c, found[at[c]], single) for b, c, _, last, _, single in rows if under[at[c]] < last]
         if not told:
             return None
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in told], pa.int32()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.list_(pa.int64()))], ["bucket", "content", "first"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in told], pa.int32()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.list_(pa.int64())), pa.array([x[3] for x in told], pa.bool_())], ["bucket", "content", "first", "single"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, symbols, last = [], 0, None
         for batch in batches:
-            for a, b, c, low, high, data in zip(*(batch.column(k).to_numpy().tolist() for k in range(5)), batch.column(5).to_pylist()):
+            for a, b, c, low, high, data, single in zip(*(batch.column(k).to_numpy().tolist() for k in range(5)), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
                 if a != last and symbols >= INDEX // 2:
                     if out := done(rows):
                         yield out
                     rows, symbols = [], 0
                 last = a
                 symbols += len(data) // 4 if not rows or rows[-1][1] != c else 0
-                rows.append((b, c, low, high, data))
+                rows.append((b, c, low, high, data, single))
         if rows and (out := done(rows)):
             yield out
 
@@ -225,6 +274,9 @@ def _cut(words: int, anchor: int, as_is: bool):
         ids = table["doc_id"].to_numpy() if len(table) else np.zeros(0, np.int64)
         if len(told):
             told = told.take(pa.array(np.argsort(told["content"].to_numpy().view(np.uint64))))
+        alone = told.filter(told["single"])
+        name, earliest = alone["content"].to_numpy().view(np.uint64), pc.list_flatten(alone["first"]).to_numpy()
+        told = told.filter(pc.invert(told["single"]))
         content = told["content"].to_numpy().view(np.uint64)
         lists = told["first"].combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
@@ -243,6 +295,14 @@ def _cut(words: int, anchor: int, as_is: bool):
                 start = (np.repeat(f.at[hit], size) + inner)[repeat]
                 np.add.at(covered, start, 1)
                 np.add.at(covered, start + words, -1)
+            if len(name) and len(f.at):
+                start, of = f.starts(np.arange(len(f.at)))
+                hashes = f.hashes(start, words)
+                i = np.searchsorted(name, hashes)
+                i[i == len(name)] = 0
+                start = start[(name[i] == hashes) & (earliest[i] < ids[lo + f.row[of]])]
+                np.add.at(covered, start, 1)
+                np.add.at(covered, start + words, -1)
             gone = np.cumsum(covered)[:-1] > 0
             for r in range(len(f.first) - 1):
                 a, b = f.first[r], f.first[r + 1]
@@ -261,7 +321,7 @@ def _cut(words: int, anchor: int, as_is: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 13, anchor: int = 6, as_is: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 13, anchor: int = 6, as_is: bool = False, split: int = SPLIT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, rest) for every row of docs.
 
     kept is the text without the words that a repeated window covers, its
@@ -284,16 +344,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     dealt = dealt.repartition(parts, "bucket")
     by_bucket = dealt.groupBy("bucket")
 
-    anchors = by_bucket.applyInArrow(_known(_anchors(words, anchor)), "anchor long, bucket int")
-    shared = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "anchor long, bucket int")
-    shared = shared.repartition(parts, "bucket").groupBy("bucket")
-    fragments = by_bucket.cogroup(shared).applyInArrow(_known(_fragments(words, anchor)), "anchor long, bucket int, content long, first long, last long, codes binary")
-    told = fragments.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_search(words), "bucket int, content long, first array<long>")
+    fragments = _meeting(by_bucket, parts, words, anchor, split)
+    told = fragments.repartition(parts, "anchor").sortWithinPartitions("anchor", "content").mapInArrow(_search(words), "bucket int, content long, first array<long>, single boolean")
     told = told.repartition(parts, "bucket").groupBy("bucket")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), dealt.schema["rest"]])
     return by_bucket.cogroup(told).applyInArrow(_cut(words, anchor, as_is), schema)
 
 
+def _meeting(by_bucket, parts: int, words: int, anchor: int, split: int) -> DataFrame:
+    """Fragments, and single windows of hot anchors, under the keys by which they meet."""
+    anchors = by_bucket.applyInArrow(_known(_anchors(words, anchor)), "anchor long, bucket int, n int")
+    shared = anchors.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_shared(split), "anchor long, bucket int, hot boolean")
+    shared = shared.repartition(parts, "bucket").groupBy("bucket")
+    return by_bucket.cogroup(shared).applyInArrow(_known(_fragments(words, anchor)), "anchor long, bucket int, content long, first long, last long, codes binary, single boolean")
+
+
 def _known(f):
     """f over rows that have a doc_id."""
 

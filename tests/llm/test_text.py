@@ -1,5 +1,6 @@
 """Operators on texts against brute force, with nulls, empty and long texts, repeats and clashing columns."""
 
+import random
 import zlib
 
 import numpy as np
@@ -52,6 +53,31 @@ def test_substring_dedup(spark):
     assert sum(v[1] for v in expected.values()) > 1000
 
 
+def test_substring_dedup_splits_the_anchor_of_a_hot_line(spark, monkeypatch):
+    r, line = random.Random(5), " ".join(f"hot{k}" for k in range(8))
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    rows = [(k, f"{prose(15)} {line} {prose(15)}") for k in range(400)]
+    rows += [(1000 + k, f"{prose(9)} {rows[k][1]}") for k in range(0, 400, 9)]  # whole repeats
+    rows += [(2000 + k, f"{prose(20)} {' '.join(rows[k][1].split()[12:26])} {prose(5)}") for k in range(0, 400, 7)]  # the line and five words beside it
+    r.shuffle(rows)
+    monkeypatch.setattr(substring, "BUCKET", 8 << 10)
+    met, meeting = [], substring._meeting
+
+    def watched(*args):
+        met.append(meeting(*args))
+        return met[-1]
+
+    monkeypatch.setattr(substring, "_meeting", watched)
+    expected = brute.repeats(rows)
+    found = substring.remove_repeats(frame(spark, rows), split=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert {x[0]: (x[1], x[2], x[3]) for x in found} == expected and len(found) == len(rows)
+    assert sum(v[1] for v in expected.values()) > 1000
+    most = lambda fragments: fragments.groupBy("anchor").agg(F.countDistinct("content").alias("n")).agg(F.max("n")).first()[0]
+    assert most(met[0]) <= 20
+    substring.remove_repeats(frame(spark, rows))
+    assert most(met[1]) > 300  # what one task would get unsplit
+
+
 def test_substring_dedup_of_rows_without_ids(spark):
     text = " ".join(f"q{k}" for k in range(20))
     rows = [(None, text), (None, text), (5, text), (5, text), (7, text), (-2, "a")]
