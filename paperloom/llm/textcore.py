@@ -3,18 +3,20 @@
 A word is a run of bytes other than 0x20 and 0x09-0x0D. Texts are never
 decoded: word boundaries come from a byte table and each word gets a 64-bit
 hash, all in array operations whose temporaries are bounded by SPAN bytes
-plus one word.
+plus one word. Words of over LONG bytes are hashed by blake2b: a polynomial
+modulo 2^64 can't tell some long words apart (Thue-Morse words).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once.
-SPAN = 1 << 21
+#: Bytes of text worked on at once, and bytes of a word that the polynomial hash takes.
+SPAN, LONG = 1 << 21, 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -110,7 +112,10 @@ class Words:
             s, e = self.start[lo:hi] - base, self.end[lo:hi] - base
             out[lo:hi] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
             lo = hi
-        return mix(out)
+        out = mix(out)
+        for k in np.flatnonzero(self.end - self.start > LONG).tolist():
+            out[k] = int.from_bytes(blake2b(self.buf[self.start[k] : self.end[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
