@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,7 @@ def test_ngram_jaccard(spark):
 
 def test_ngram_jaccard_of_a_large_group(spark, monkeypatch):
     """Near copies of one text, most of them linked through others only; small shards and rounds."""
-    monkeypatch.setattr(jaccard, "SHARD", 16)
+    monkeypatch.setattr(jaccard, "FAN", 16)
     base = [f"b{k}" for k in range(100)]
     r = np.random.default_rng(1)
     rows = []
@@ -144,23 +145,55 @@ def test_divide_skip_against_counting():
         assert {int(lists.order[k]) for k in lists.search(q, 80)} == want
 
 
+def test_heap_merge_skips_nothing_that_counts():
+    r = np.random.default_rng(7)
+    for least in (1, 2, 5, 9):
+        lists = [np.unique(r.integers(0, 60, r.integers(0, 30))).tolist() for _ in range(12)]
+        flat, at = sum(lists, []), np.cumsum([0, *map(len, lists)]).tolist()
+        times = Counter(flat)
+        assert jaccard.heap_merge(flat, list(zip(at, at[1:])), least) == sorted((v, c) for v, c in times.items() if c >= least)
+
+
 @pytest.mark.parametrize("batch", [1, 3, 7, 1000])
-@pytest.mark.parametrize("limit", [4, 1 << 16])
-def test_runs_do_not_depend_on_batches(batch, limit, monkeypatch):
-    monkeypatch.setattr(jaccard, "LIST", limit)
+def test_runs_do_not_depend_on_batches(batch):
     r = np.random.default_rng(4)
     rows = sorted(zip(r.integers(0, 40, 300).tolist(), r.choice([10, 11, 30], 300).tolist(), r.integers(0, 30, 300).tolist()))
     t, n, c = (np.array(x) for x in zip(*rows))
-    made = [pa.RecordBatch.from_arrays([pa.array(t[k : k + batch]), pa.array(c[k : k + batch]), pa.array(n[k : k + batch].astype(np.int32))], ["token", "class", "n"]) for k in range(0, 300, batch)]
-    got = [x for b in jaccard._runs(80, False)(iter(made)) for x in zip(*(y.to_pylist() for y in b.columns))]
+    cut = lambda x, k: pa.array(x[k : k + batch])
+    made = [pa.RecordBatch.from_arrays([cut(t, k), cut(c, k), cut(n.astype(np.int32), k), cut(np.zeros(300, np.int32), k)], ["token", "class", "n", "core"]) for k in range(0, 300, batch)]
+    got = {}
+    for b in jaccard._runs(80)(iter(made)):
+        for run, *row, _ in zip(*(y.to_pylist() for y in b.columns)):
+            got.setdefault(run, []).append(tuple(row))
     want, run = [], []
     for row in [*zip(t.tolist(), c.tolist(), n.tolist()), (None, None, 0)]:
         if run and (row[0] != run[-1][0] or row[2] * 80 > run[-1][2] * 100):
-            want += run if len(run) > 1 else []
+            want += [[x[1:] for x in run]] if len(run) > 1 else []
             run = []
         if not run or row != run[-1]:
             run.append(row)
-    assert sorted(got) == sorted(want)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+
+
+def test_long_words_have_their_own_hashes(spark):
+    """Thue-Morse words, which polynomials modulo a power of two can't tell apart."""
+    morse = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    for n in (1024, 2048, 4096):
+        a, b = morse[:n], morse[:n].translate(str.maketrans("ab", "ba"))
+        assert len(set(textcore.Words(*textcore.raw(pa.array([f"{a} {b}"]))).hashes().tolist())) == 2
+        rows = [(0, f"x y z {a} u v"), (1, f"x y z {b} u v")]
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame(spark, rows)).collect()} == {0: 0, 1: 1}
+        rest = " ".join(f"w{k}" for k in range(12))
+        assert [r.n_removed for r in substring.remove_repeats(frame(spark, [(0, f"{rest} {a}"), (1, f"{rest} {b}")])).collect()] == [0, 0]
+
+
+def test_keep_one_goes_by_rows(spark):
+    text, other = "a b c d e f g", "h i j k l m n"
+    rows = [(4, text), (4, text.upper()), (7, text), (7, other), (9, other), (None, other), (None, "p q r s t u"), (None, "p q r s t u"), (3, None), (3, None), (8, "")]
+    kept = sorted((str(r.doc_id), r.text) for r in jaccard.keep_one(frame(spark, rows)).withColumn("text", F.lower("text")).collect())
+    assert kept == sorted([("4", text), ("7", other), ("None", "p q r s t u"), ("3", None), ("3", None), ("8", "")], key=lambda x: (x[0], x[1] is None, x[1]))
+    assert jaccard.keep_one(frame(spark, rows)).columns == frame(spark, rows).columns
+    assert jaccard.keep_one(frame(spark, [])).count() == 0
 
 
 def test_token_files_round_trip(spark, tmp_path):
