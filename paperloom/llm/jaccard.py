@@ -407,14 +407,14 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _wanted(texts: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """(class, members) of the classes asked. A filter spares most of the others their way through a shuffle."""
+    """(class, members) of the classes asked and of a few others: a filter spares most of those their way through a shuffle."""
     spark = texts.sparkSession
     size = min(FILTER_WORDS, 1 << max(10, (asked.count() * FILTER_BITS // 64).bit_length()))
     marks = np.zeros(size, np.uint64)
     for word, bits in asked.mapInArrow(_marks(size), "word int, bits long").groupBy("word").agg(F.bit_or("bits")).toLocalIterator():
         marks[word] = np.int64(bits).view(np.uint64)
     marked = spark.sparkContext.broadcast(marks)
-    sets = texts.mapInArrow(_sets(words, marked), "class long, members binary").join(asked, "class", "left_semi")
+    sets = texts.mapInArrow(_sets(words, marked), "class long, members binary")
     sets = save(sets.groupBy("class").agg(F.first("members").alias("members")), "sets")
     marked.destroy()
     return sets

@@ -84,12 +84,12 @@ def spans(offsets: np.ndarray, limit: int = SPAN) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of the rows lo..hi: byte range start..end of each word within buf; row i has the words first[i]..first[i+1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = SPACE):
         buf = data[offsets[0] : offsets[-1]]
         self.buf = LOWER[buf] if lower else buf
         at = offsets - offsets[0]
         n = len(buf)
-        solid = ~SPACE[buf]
+        solid = ~gaps[buf]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]
         full = at[1:] > at[:-1]

@@ -1,20 +1,26 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words are sequences over an alphabet of 64 symbols (classes of bytes), with a
-start and an end. Two models, toxic and ordinary, predict a symbol from the
-four before it with absolute discounting; their counts come from the labelled
-training documents of the class. Where a class has seen little, both back off
-to the same Kneser-Ney continuation counts of orders 4 to 1, gathered from
-every document of the corpus, labelled or not: a rare expression scores near
-zero unless one class has seen its parts.
-
-A document's evidence is the log-likelihood ratio of its words, by length:
-over the whole text and over its densest passages. A logistic regression on a
-bounded sample of training documents that the counts leave out turns that
-into a score from 0 to 1.
-
-Count tables have a fixed size (hashed above order 3), whatever the corpus:
-partitions send their non-zero cells, Spark adds or unites them by cell.
+Texts are sequences of bytes: A-Z lower-cased, runs of other ASCII than
+letters and digits one space, so contexts run over word boundaries. Two
+models, toxic and ordinary, tell a byte from the ORDER - 1 before it; a gram
+counts once a labelled document of the class:
+
+    P(s | c, class) = (n(c s) - d + (freed(c) + PRIOR) * P(s | c)) / (n(c) + PRIOR)
+
+P(s | c) is what both classes share: interpolated Kneser-Ney continuation
+probabilities of the orders below, from how many different bytes come before a
+gram in any document of the corpus, labelled or not. So a rare expression says
+nothing unless one class has seen it, and PRIOR damps what a few documents tell.
+
+What is gathered from the corpus is a table of its distinct grams, which grows
+with it; continuation counts of all orders are grouped counts over it. Counts
+of classes come from a sample of labelled rows of about LABELLED_BYTES of
+text. Contexts and grams that neither class has seen have a log-ratio of zero,
+so what scoring tasks get by broadcast is bounded by that sample.
+
+A document's evidence is the log-likelihood ratio a byte: over the whole text
+and over its densest passages. A logistic regression on a bounded sample of
+training documents that the counts leave out turns that into a score.
 """
 
 from __future__ import annotations
@@ -23,70 +29,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm.store import save
-from paperloom.llm.textcore import SPACE, Words, mix, raw, spans
-
-BITS = 20
-CELLS = 1 << BITS
-ORDER = 5
-#: Labelled rows that the class counts and the calibration take, about: of more a share by hash.
-LABELLED, CALIBRATION = 1_000_000, 20_000
-#: Text bytes that one counting task takes.
-TASK = 24 << 20
-#: Words of the passages.
-PASSAGES = (2, 8, 32)
-DISCOUNT, PRIOR = 0.75, 2.0
-
-START, END = 0, 1
-#: Byte classes: letters have their own, digits share one, punctuation some, bytes of longer characters go by their low bits.
-SYMBOL = np.empty(256, np.int64)
-SYMBOL[:128] = 2
-SYMBOL[97:123] = np.arange(3, 29)
-SYMBOL[65:91] = np.arange(3, 29)
-SYMBOL[48:58] = 29
-SYMBOL[[33, 63, 46, 44]] = 30
-SYMBOL[[39, 45, 95]] = 31
-SYMBOL[128:] = 32 + (np.arange(128, 256) & 31)
-
-#: Counts of a class, the first for the documents that count before calibration, the second for those that calibrate.
+from paperloom.llm.textcore import LOWER, raw, spans
+
+#: Labelled rows that class counts take: about so many bytes of text and never more rows; of more a share by hash.
+LABELLED_BYTES, LABELLED = 32 << 20, 1_000_000
+#: Labelled rows that the calibration takes, about.
+CALIBRATION = 20_000
+#: Grams that a counting task holds at once, and rows worked on at once.
+FLUSH, ROWS = 1 << 23, 1 << 16
+#: Bytes of a gram, and of the passages.
+ORDER, PASSAGES = 5, (8, 16, 64, 256)
+DISCOUNT, PRIOR = 1.0, 5.0
+#: What becomes one space: ASCII bytes that are no letters or digits.
+GAPS = np.ones(256, bool)
+GAPS[128:] = False
+GAPS[48:58] = GAPS[65:91] = GAPS[97:123] = False
+#: Classes: the first two count before calibration, the last two after it.
 CLASSES = ("ordinary", "toxic", "ordinary_late", "toxic_late")
-#: Tables, and whether their rows are united (masks of symbols) or added.
-TABLES = {f"{c}{part}": part == "_next" for c in CLASSES for part in ("", "_total", "_next")} | {f"before{n}": True for n in (4, 3, 2, 1)}
-NAMES = list(TABLES)
 
 
-def empty() -> dict[str, np.ndarray]:
-    return {n: np.zeros(1 << 6 * int(n[-1]) if n in ("before1", "before2", "before3") else CELLS, np.uint64) for n in NAMES}
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each byte of some rows (newest byte lowest; spaces come before a text), and where rows begin."""
+    buf = LOWER[data[offsets[0] : offsets[-1]]]
+    at = offsets - offsets[0]
+    gap = GAPS[buf]
+    keep = ~gap
+    keep[1:] |= ~gap[:-1]  # of a run of gaps the first
+    first = np.concatenate(([0], np.cumsum(keep)))[at]
+    symbol = np.where(gap, 32, buf)[keep].astype(np.int64)
+    inner = np.arange(len(symbol)) - np.repeat(first[:-1], np.diff(first))
+    key = symbol.copy()
+    for k in range(1, ORDER):
+        key[k:] |= np.where(inner[k:] >= k, symbol[:-k], 32) << 8 * k
+        key[:k] |= 32 << 8 * k
+    return key, first
 
 
-def fold(key: np.ndarray) -> np.ndarray:
-    return (mix(key.astype(np.uint64) + np.uint64(77)) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-class Types:
-    """Distinct words of some rows: symbols flat with their place, the word that each word is, and the rows."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        w = Words(data, offsets, lower=True)
-        self.first = w.first
-        _, one, self.which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        start, size = w.start[one], (w.end - w.start)[one]
-        total = size + 1
-        self.word = np.repeat(np.arange(len(one)), total)
-        inner = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        at = np.repeat(start, total) + inner
-        last = inner == np.repeat(size, total)
-        symbol = np.where(last, END, SYMBOL[w.buf[np.minimum(at, max(0, len(w.buf) - 1))]]) if len(at) else at
-        self.key = np.zeros(len(symbol), np.int64)  # the last ORDER symbols, newest lowest
-        for k in range(ORDER):
-            shifted = np.zeros(len(symbol), np.int64)
-            shifted[k:] = symbol[: len(symbol) - k]
-            shifted[inner < k] = START
-            self.key |= shifted << (6 * k)
+def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    for lo, hi in spans(offsets):
+        for a in range(lo, hi, ROWS):
+            yield a, min(hi, a + ROWS)
 
 
 def _places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,109 +83,116 @@ def _places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, (known[at] == keys) if len(known) else np.zeros(len(keys), bool)
 
 
-def _labelled(known):
-    """Counts of a partition of (text, key), where known has the keys and places in CLASSES of labelled documents."""
+def _class_counts(known):
+    """(gram, class, n): in how many labelled documents of a partition of (text, key) each gram is."""
 
-    def run(batches):
-        keys, classes = known.value
-
-        def marked():
-            for batch in batches:
-                at, there = _places(batch.column(1).to_numpy(), keys)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.where(there, classes[at] if len(classes) else 0, -1), mask=~there)], ["text", "class"])
+    def told(held: list) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key >> 2), pa.array((key & 3).astype(np.int32)), pa.array(n)], ["gram", "class", "n"])
 
-        yield from _counts(marked())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, classes = known.value
+        held, size = [], 0
+        for batch in batches:
+            at, there = _places(batch.column(1).to_numpy(), keys)
+            if not there.any():
+                continue
+            labels = classes[at[there]]
+            data, offsets = raw(batch.column(0).filter(pa.array(there)))
+            for lo, hi in pieces(offsets):
+                gram, first = grams(data, offsets[lo : hi + 1])
+                row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(first))
+                once = np.unique(gram.view(np.uint64) | row << np.uint64(8 * ORDER))
+                held.append((once & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64) << 2 | labels[lo:hi][(once >> np.uint64(8 * ORDER)).astype(np.int64)])
+                size += len(once)
+                if size > FLUSH:
+                    yield told(held)
+                    held, size = [], 0
+        if size:
+            yield told(held)
 
     return run
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Non-zero cells of every table for a partition of (text, class): a place in CLASSES, null only for the shared counts."""
-    t = empty()
-    one = np.uint64(1)
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams of a partition of texts."""
+    held, size = [], 0
     for batch in batches:
-        data, at = raw(batch.column(0))
-        label = np.array([-1 if x is None else x for x in batch.column(1).to_pylist()])
-        for lo, hi in spans(at):
-            types = Types(data, at[lo : hi + 1])
-            key = types.key
-            for n in (4, 3, 2, 1):
-                gram = np.unique(key & ((1 << 6 * (n + 1)) - 1))
-                low, before = gram & ((1 << 6 * n) - 1), (gram >> 6 * n).astype(np.uint64)
-                np.bitwise_or.at(t[f"before{n}"], fold(low) if n == 4 else low, one << before)
-            row = np.repeat(np.arange(hi - lo), np.diff(types.first))
-            for c, name in enumerate(CLASSES):
-                of = label[lo:hi][row] == c
-                if of.any():
-                    times = np.bincount(types.which[of], minlength=int(types.word[-1]) + 1)[types.word]
-                    seen = times > 0
-                    k, weight = key[seen], times[seen].astype(np.uint64)
-                    np.add.at(t[name], fold(k), weight)
-                    np.add.at(t[f"{name}_total"], fold(k >> 6), weight)
-                    np.bitwise_or.at(t[f"{name}_next"], fold(k >> 6), one << (k & 63).astype(np.uint64))
-    for i, n in enumerate(NAMES):
-        cell = np.flatnonzero(t[n])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), i, np.int32)), pa.array(cell.astype(np.int32)), pa.array(t[n][cell].view(np.int64))], ["t", "cell", "value"])
-
-
-def joined(tables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Tables with the late classes counted in."""
-    late = {n: n.replace("_late", "") for n in NAMES if "_late" in n}
-    return tables | {to: tables[to] | tables[n] if TABLES[n] else tables[to] + tables[n] for n, to in late.items()}
+        data, offsets = raw(batch.column(0))
+        for lo, hi in pieces(offsets):
+            held.append(np.unique(grams(data, offsets[lo : hi + 1])[0]))
+            size += len(held[-1])
+            if size > FLUSH:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+                if size > FLUSH // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0])], ["gram"])
+                    held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["gram"])
+
+
+def shared_model(texts: DataFrame) -> DataFrame:
+    """(gram, p) for every gram of ORDER - 1 bytes of the corpus: the Kneser-Ney continuation probability of its last byte after the others."""
+    every = save(texts.mapInArrow(_distinct, "gram long").distinct(), "grams")
+    last = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+    lower = None
+    for k in range(1, ORDER):
+        seen = every.select(last(k + 1).alias("gram")).distinct() if k + 1 < ORDER else every
+        seen = seen.groupBy(last(k).alias("gram")).agg(F.count("*").alias("n"))  # bytes before each gram of k
+        context = F.shiftright("gram", 8)
+        total = seen.groupBy(context.alias("context")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+        placed = seen.withColumn("context", context).join(total, "context")
+        under = F.lit(1 / 256)
+        if lower is not None:
+            placed = placed.withColumn("suffix", last(k - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("under")), "suffix")
+            under = F.col("under")
+        p = (F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(DISCOUNT) * F.col("kinds") * under) / F.col("all")
+        lower = placed.select("gram", p.alias("p"))
+    return save(lower, "shared")
+
+
+def ratios(counts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(whole, gram, value) of counts (gram, toxic, ordinary): the log-ratio of a whole gram, and that of what follows a context unseen."""
+    n = [F.col(c) for c in ("toxic", "ordinary")]
+    freed = lambda c: F.least(c.cast("double"), F.lit(DISCOUNT))
+    counts = counts.where("toxic + ordinary > 0").withColumn("context", F.shiftright("gram", 8))
+    context = counts.groupBy("context").agg(*[F.sum(c).alias(f"all_{i}") for i, c in enumerate(n)], *[F.sum(freed(c)).alias(f"freed_{i}") for i, c in enumerate(n)])
+    back = [F.col(f"freed_{i}") + F.lit(PRIOR) for i in (0, 1)]
+    over = [F.col(f"all_{i}") + F.lit(PRIOR) for i in (0, 1)]
+    suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1))
+    placed = counts.withColumn("suffix", suffix).join(shared.select(F.col("gram").alias("suffix"), "p"), "suffix").join(context, "context")
+    p = [(F.greatest(c - F.lit(DISCOUNT), F.lit(0.0)) + back[i] * F.col("p")) / over[i] for i, c in enumerate(n)]
+    out = placed.select(F.lit(True).alias("whole"), "gram", F.log(p[0] / p[1]).cast("float").alias("value"))
+    return out.unionByName(context.select(F.lit(False).alias("whole"), F.col("context").alias("gram"), F.log(back[0] / over[0] / (back[1] / over[1])).cast("float").alias("value")))
 
 
 class Model:
-    """Tables ready for scoring."""
-
-    def __init__(self, tables: dict[str, np.ndarray]):
-        def share(n: int) -> tuple[np.ndarray, np.ndarray]:
-            """For order n the continuation counts of a context (the n - 1 symbols before) and how many symbols follow it."""
-            total, kinds = np.zeros(1 << 6 * (n - 1), np.float32), np.zeros(1 << 6 * (n - 1), np.float32)
-            context = np.arange(len(total), dtype=np.int64) << 6
-            for s in range(64):
-                c = np.bitwise_count(tables[f"before{n}"][fold(context | s) if n == 4 else context | s])
-                total += c
-                kinds += c > 0
-            return total, kinds
-
-        low = np.full(64, 1 / 64, np.float32)
-        for n in (1, 2, 3):
-            key = np.arange(1 << 6 * n, dtype=np.int64)
-            total, kinds = share(n)
-            c, of = np.bitwise_count(tables[f"before{n}"]).astype(np.float32), key >> 6
-            under = low[key & ((1 << 6 * (n - 1)) - 1)] if n > 1 else low
-            with np.errstate(divide="ignore", invalid="ignore"):
-                low = np.where(total[of] > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds[of] * under) / total[of], under).astype(np.float32)
-        self.three = low
-        self.four = np.bitwise_count(tables["before4"]).astype(np.uint8)
-        self.total4, self.kinds4 = share(4)
-        self.classes = [(tables[n].astype(np.float32), tables[f"{n}_total"].astype(np.float32), np.bitwise_count(tables[f"{n}_next"]).astype(np.uint8)) for n in ("toxic", "ordinary")]
-
-    def ratio(self, key: np.ndarray) -> np.ndarray:
-        """log P(symbol | context, toxic) - log P(symbol | context, ordinary) for keys of ORDER symbols."""
-        low, context = self.three[key & 0x3FFFF], key >> 6 & 0x3FFFF
-        total = self.total4[context]
-        back = np.where(total > 0, (np.maximum(self.four[fold(key & 0xFFFFFF)] - DISCOUNT, 0) + DISCOUNT * self.kinds4[context] * low) / np.maximum(total, 1), low)
-        gram, before = fold(key), fold(key >> 6)
-        out = []
-        for count, total, kinds in self.classes:
-            n = total[before]
-            # what discounting frees goes to the shared model, and PRIOR counts more, which damp what a few counts tell
-            shared = DISCOUNT * kinds[before] + PRIOR
-            out.append(np.log((np.maximum(count[gram] - DISCOUNT, 0) + shared * back) / (n + PRIOR)))
-        return out[0] - out[1]
+    """Log-ratios by gram and by context, in sorted arrays."""
+
+    def __init__(self, table):
+        self.tables = [(gram[by], value[by]) for gram, value in ((t.gram.to_numpy(np.int64), t.value.to_numpy(np.float32)) for t in (table[table.whole], table[~table.whole])) for by in (np.argsort(gram),)]
+
+    def ratio(self, gram: np.ndarray) -> np.ndarray:
+        """log P(byte | before, toxic) - log P(byte | before, ordinary) for the last byte of each gram."""
+        every, which = np.unique(gram, return_inverse=True)
+        out = np.zeros(len(every), np.float32)
+        for keys, (known, value) in ((every >> 8, self.tables[1]), (every, self.tables[0])):
+            at, there = _places(keys, known)
+            if len(known):
+                out = np.where(there, value[at], out)
+        return out[which]
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each row the log-likelihood ratio a word: of the text, then of its densest passage of each size."""
-        types = Types(data, offsets)
-        n = len(types.first) - 1
+        """For each row the log-likelihood ratio a byte: of the text, then of its densest passage of each size."""
+        gram, first = grams(data, offsets)
+        n = len(first) - 1
         out = np.zeros((n, 1 + len(PASSAGES)))
-        if not len(types.which):
+        if not len(gram):
             return out
-        word = np.bincount(types.word, self.ratio(types.key))[types.which]
-        total = np.concatenate(([0], np.cumsum(word)))
+        total = np.concatenate(([0], np.cumsum(self.ratio(gram), dtype=np.float64)))
         for r in range(n):
-            a, b = types.first[r], types.first[r + 1]
+            a, b = first[r], first[r + 1]
             if b > a:
                 out[r, 0] = (total[b] - total[a]) / (b - a)
                 for k, size in enumerate(PASSAGES):
@@ -207,15 +201,15 @@ class Model:
         return out
 
 
-def _evidence(model, text: int, keep: list[int]):
-    """The columns keep with the evidence of column text."""
+def _evidence(model, text: int):
+    """Rows, whole, with the evidence of their column text."""
 
     def run(batches):
         for batch in batches:
             data, at = raw(batch.column(text))
             parts = [model.value.evidence(data, at[lo : hi + 1]) for lo, hi in spans(at)]
             e = np.concatenate(parts) if parts else np.zeros((0, 1 + len(PASSAGES)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(list(e), pa.list_(pa.float64()))], [*(batch.schema.names[k] for k in keep), "_evidence"])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, batch.schema.names), pa.array(list(e), pa.list_(pa.float64()))], ["row", "evidence"])
 
     return run
 
@@ -258,44 +252,46 @@ def _part(doc_id: str):
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic"):
     """The broadcast model and the calibration's weights; see score."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    size, rows = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     key = lambda c: F.xxhash64(F.col(c).cast("string"))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label")).where("doc_id is not null and label is not null")
     known = known.select(key("doc_id").alias("key"), (F.col("label") > 0).cast("int").alias("label"), _part("doc_id").alias("part")).where("part <> 2")
-    total = dict(known.groupBy((F.col("part") == 3).alias("late")).count().collect())
+    known = save(known, "labelled")
+    many = known.count()
     chance = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
-    seen = known.where(chance < LABELLED / max(1, sum(total.values()))).toPandas().sort_values("key")
+    room = min(LABELLED, LABELLED_BYTES * max(1, rows) / max(1, size or 0))
+    seen = known.where(chance < room / max(1, many)).toPandas().sort_values("key")
     late = seen.part.to_numpy() == 3
     places = spark.sparkContext.broadcast((seen.key.to_numpy(np.int64), seen.label.to_numpy(np.int64) + 2 * late))
     every = base.select("text", F.when(F.col("doc_id").isNotNull(), key("doc_id")).otherwise(0).alias("key"))
-    cells = every.coalesce(max(1, -(-size // TASK))).mapInArrow(_labelled(places), "t int, cell int, value long")
-    united = [i for i, n in enumerate(NAMES) if TABLES[n]]
-    mask = F.col("t").isin(united)
-    merged = cells.groupBy("t", "cell").agg(F.coalesce(F.bit_or(F.when(mask, F.col("value"))), F.sum(F.when(~mask, F.col("value")))).alias("value"))
-    tables = empty()
-    packed = save(merged, "counts").repartition(16, "t", F.shiftright("cell", 16)).mapInArrow(_packed, "t int, cells binary, vals binary")
-    for t, at, value in packed.toLocalIterator():
-        tables[NAMES[t]][np.frombuffer(at, np.int32)] = np.frombuffer(value, np.int64).view(np.uint64)
-    model = spark.sparkContext.broadcast(Model(tables))
-    full = spark.sparkContext.broadcast(Model(joined(tables)))
-
-    share = CALIBRATION / max(1, late.sum())
-    chosen = late & (seen.key.to_numpy() % (1 << 20) < share * (1 << 20))
-    wanted = spark.sparkContext.broadcast((seen.key.to_numpy(np.int64)[chosen], seen.label.to_numpy(np.int64)[chosen]))
-    sample = every.mapInArrow(_sampled(model, wanted), "label long, evidence array<double>").collect()
+    counts = every.mapInArrow(_class_counts(places), "gram long, class int, n long")
+    counts = counts.groupBy("gram").agg(*[F.sum(F.when(F.col("class") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(CLASSES)])
+    counts = save(counts, "counts")
+    shared = shared_model(every.select("text"))
+
+    def model(toxic: Column, ordinary: Column):
+        return spark.sparkContext.broadcast(Model(ratios(counts.select("gram", toxic.alias("toxic"), ordinary.alias("ordinary")), shared).toPandas()))
+
+    early = model(F.col("toxic"), F.col("ordinary"))
+    full = model(F.col("toxic") + F.col("toxic_late"), F.col("ordinary") + F.col("ordinary_late"))
+    calibrating = known.where("part = 3").where(chance < CALIBRATION / max(1, many / 3)).toPandas().sort_values("key")
+    wanted = spark.sparkContext.broadcast((calibrating.key.to_numpy(np.int64), calibrating.label.to_numpy(np.int64)))
+    sample = every.mapInArrow(_sampled(early, wanted), "label long, evidence array<double>").collect()
     weights = calibrate(np.array([r[1] for r in sample]).reshape(-1, 1 + len(PASSAGES)), np.array([float(r[0] > 0) for r in sample]))
+    for b in (places, early, wanted):
+        b.destroy()
     return full, weights
 
 
-def _scored(docs: DataFrame, fitted, text: str, keep: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, fitted, text: str) -> DataFrame:
+    """(row, score): the rows of docs as structs."""
     model, weights = fitted
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("_evidence", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("evidence", T.ArrayType(T.DoubleType()))])
     logit = F.lit(float(weights[-1]))
     for k, w in enumerate(weights[:-1]):
-        logit = logit + F.lit(float(w)) * F.col("_evidence")[k]
-    found = docs.mapInArrow(_evidence(model, docs.columns.index(text), [docs.columns.index(c) for c in keep]), schema)
-    return found.withColumn("_score", 1 / (1 + F.exp(-logit))).drop("_evidence")
+        logit = logit + F.lit(float(w)) * F.col("evidence")[k]
+    return docs.mapInArrow(_evidence(model, docs.columns.index(text)), schema).select("row", (1 / (1 + F.exp(-logit))).alias("score"))
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -304,26 +300,21 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     Labelled rows whose crc32(doc_id) mod 4 is 2 are held out: nothing is
     learnt from them. Of the others remainders 0 and 1 give the class counts with
     which remainder 3 is scored for the calibration (about CALIBRATION of its rows, by
-    hash); the final scores count all three. Class counts take about LABELLED
-    labelled rows at most, shared counts take every document. Null
+    hash); the final scores count all three. Class counts take labelled rows of
+    about LABELLED_BYTES of text at most, by hash; continuation counts take
+    every document. Null
     and empty texts have no evidence and get the score of none; a null doc_id
     or label takes no part in training. A doc_id with several labels counts as
-    its largest. Without labels of both classes the evidence is used as it is.
+    its largest; rows that share a doc_id are documents of their own, and equal
+    rows get equal scores. Without labels of both classes the evidence is used as
+    it is. An empty table gives an empty one. Other columns are ignored,
+    whatever their names.
     """
     fitted = fit(docs, labels, text, doc_id, label)
-    found = _scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), fitted, "text", ["doc_id"])
-    return found.select("doc_id", F.coalesce(_part("doc_id") == 2, F.lit(False)).alias("held_out"), F.col("_score").alias("score"))
-
-
-def _packed(batches):
-    """A partition's cells as a few binary rows."""
-    for batch in batches:
-        t = batch.column(0).to_numpy()
-        for i in np.unique(t):
-            of = t == i
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([batch.column(1).to_numpy()[of].tobytes()], pa.binary()), pa.array([batch.column(2).to_numpy()[of].tobytes()], pa.binary())], ["t", "cells", "vals"])
+    found = _scored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), fitted, "text").select("row.doc_id", "score")
+    return found.select("doc_id", F.coalesce(_part("doc_id") == 2, F.lit(False)).alias("held_out"), "score")
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score stays below threshold, each by its own text."""
-    return _scored(docs, fit(docs, labels), "text", docs.columns).where(F.col("_score") < threshold).drop("_score")
+    """The rows of docs whose score stays below threshold, each by its own text, with all their columns whatever their names."""
+    return _scored(docs, fit(docs, labels), "text").where(F.col("score") < threshold).select("row.*")
