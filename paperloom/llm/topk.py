@@ -1,14 +1,17 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-Vectors are whole numbers. A score is the sum of m partial scores, one for
-each slice of the dimensions. Queries are dealt into blocks and candidates
-into shards, both of bounded size; each block meets each shard.
-
-1. Every shard gives each query its k best entries by each partial score, with
-   their scores; the k-th best of them all is a cutoff that no result is below.
-2. The cutoff goes back to the shards with the queries. An entry that reaches
-   it has a partial score of at least an m-th of it: only those are collected.
-3. Their scores are resolved exactly, and what reaches the cutoff is ranked.
+Vectors are whole numbers. Queries are dealt into blocks and candidates into
+shards, both of bounded size; each block meets each shard. In a shard
+dimensions go by falling energy and are cut into slices.
+
+1. Every shard gives each query the exact scores of the k entries that are best
+   by the first slice alone. The k-th best of all shards' lists is a cutoff, one
+   for all shards, that no result is below.
+2. The cutoff goes back to the shards with the queries. Slice by slice they
+   drop the entries whose sum so far and the norms of what is left can't reach
+   it; only the others' products go on.
+3. What has come through all slices has its exact score; what reaches the
+   cutoff is collected and ranked.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.store import save
 
-QUERIES, SHARD, SLICES = 2048, 8192, 4
+#: Queries of a block, and candidates of a shard at most and, where there are few, at least; slices.
+QUERIES, SHARD, LEAST, SLICES = 16_384, 65_536, 4096, 4
 #: Queries worked on at once.
 ROWS = 128
 
@@ -37,12 +41,13 @@ def _kind(q: np.ndarray, x: np.ndarray):
     return np.float32 if top < 2**24 else np.float64 if top < 2**53 else object
 
 
-def _partials(q: np.ndarray, x: np.ndarray):
-    """Partial scores of q's rows with x's rows, one matrix for each slice."""
-    d = q.shape[1]
-    cuts = [d * s // SLICES for s in range(SLICES + 1)]
-    for a, b in zip(cuts, cuts[1:]):
-        yield q[:, a:b] @ x[:, a:b].T
+def _slices(q: np.ndarray, x: np.ndarray):
+    """q and x with their dimensions by falling energy, where slices begin, and the norms of what is left from there."""
+    by = np.argsort(-(x.astype(np.float64) ** 2).sum(0), kind="stable")
+    q, x, d = q[:, by], x[:, by], q.shape[1]
+    cuts = sorted({d * s // SLICES for s in range(SLICES + 1)})
+    norms = [[np.sqrt((y[:, c:].astype(np.float64) ** 2).sum(1)) for c in cuts] for y in (q, x)]
+    return q, x, cuts, *norms
 
 
 def _long(values) -> np.ndarray:
@@ -63,43 +68,60 @@ def _blocks(table: pa.Table):
 def _local(k: int):
     def run(table: pa.Table) -> pa.Table:
         qid, q, vid, x, _ = _blocks(table)
+        q, x, cuts, _, _ = _slices(q, x)
         best = []
         for lo in range(0, len(qid), ROWS):
+            if not len(vid):
+                best += [[]] * len(qid[lo : lo + ROWS])
+                continue
+            lead = q[lo : lo + ROWS, : cuts[1]] @ x[:, : cuts[1]].T
             own = qid[lo : lo + ROWS, None] == vid[None, :]
-            parts = list(_partials(q[lo : lo + ROWS], x)) if len(vid) else []
-            seen = np.zeros(own.shape, bool)
-            for p in parts:
-                if len(vid) > k + 1:
-                    np.put_along_axis(seen, np.argpartition(-p, k, axis=1)[:, : k + 1], True, axis=1)
-                else:
-                    seen[:] = True
-            seen &= ~own
-            total = sum(parts) if parts else own.astype(np.int64)
-            for r in range(len(own)):
-                best.append(np.sort(_long(total[r, seen[r]]))[::-1][:k].tolist())
+            few = np.argpartition(-lead, k, axis=1)[:, : k + 1] if len(vid) > k + 1 else np.broadcast_to(np.arange(len(vid)), lead.shape)
+            for r, j in enumerate(few):
+                j = j[~own[r, j]]
+                best.append(np.sort(_long(x[j] @ q[lo + r]))[::-1][:k].tolist())
         return pa.table({"query_id": pa.array(qid, pa.int64()), "best": pa.array(best, pa.list_(pa.int64()))})
 
     return run
 
 
+def above(q: np.ndarray, x: np.ndarray, least: np.ndarray, sliced) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows of q and of x whose product reaches least, their products, and how many numbers were multiplied for it."""
+    cuts, left_q, left_x = sliced
+
+    def reaches(sums, room, least):
+        return sums.astype(np.float64) + room * (1 + 1e-9) + 1e-9 * np.abs(sums.astype(np.float64)) >= least
+
+    lead = q[:, : cuts[1]] @ x[:, : cuts[1]].T
+    work = lead.size * cuts[1]
+    i, j = np.nonzero(reaches(lead, np.outer(left_q[1], left_x[1]), least[:, None]))
+    part = lead[i, j]
+    for c, (a, b) in enumerate(zip(cuts[1:], cuts[2:]), 2):
+        if 4 * len(i) > lead.size:
+            part = part + (q[:, a:b] @ x[:, a:b].T)[i, j]
+            work += lead.size * (b - a)
+        else:
+            part = part + (q[i, a:b] * x[j, a:b]).sum(1)
+            work += len(i) * (b - a)
+        keep = reaches(part, left_q[c][i] * left_x[c][j], least[i])
+        i, j, part = i[keep], j[keep], part[keep]
+    return i, j, part, work
+
+
 def _above(k: int):
     def run(table: pa.Table) -> pa.Table:
         qid, q, vid, x, cut = _blocks(table)
+        q, x, cuts, left_q, left_x = _slices(q, x)
         out_q, out_v, out_s = [], [], []
         for lo in range(0, len(qid) if len(vid) else 0, ROWS):
-            parts = list(_partials(q[lo : lo + ROWS], x))
-            least = np.array([-np.inf if c is None else c for c in cut[lo : lo + ROWS]])
-            reach = np.zeros(parts[0].shape, bool)
-            for p in parts:
-                reach |= p >= (least / SLICES)[:, None]
-            reach &= qid[lo : lo + ROWS, None] != vid[None, :]
-            i, j = np.nonzero(reach)
-            score = sum(p[i, j] for p in parts)
-            keep = score >= least[i]
+            rows = slice(lo, lo + ROWS)
+            least = np.array([-np.inf if c is None else c for c in cut[rows]])
+            i, j, score, _ = above(q[rows], x, least, (cuts, [n[rows] for n in left_q], left_x))
+            keep = (score >= least[i]) & (qid[lo + i] != vid[j])
             i, j, score = i[keep], j[keep], _long(score[keep])
             by = np.lexsort((vid[j], -score, i))
             i, j, score = i[by], j[by], score[by]
-            first = np.searchsorted(i, np.arange(len(parts[0])))
+            first = np.searchsorted(i, np.arange(len(least)))
             keep = np.arange(len(i)) - first[i] < k
             out_q.append(qid[lo + i[keep]])
             out_v.append(vid[j[keep]])
@@ -126,7 +148,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, vec_id
     rows = save(rows.withColumn("d", F.size("x")), "whole")
     asks = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("d", F.size("x"))
     asks = save(asks, "queries")
-    shards, blocks = max(1, -(-rows.count() // SHARD)), max(1, -(-asks.count() // QUERIES))
+    many, cores = rows.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards, blocks = max(1, -(-many // SHARD), min(cores, -(-many // LEAST))), max(1, -(-asks.count() // QUERIES))
 
     def grid(queries: DataFrame):
         ask = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).withColumn("ask", F.lit(1))
