@@ -52,10 +52,11 @@ def _added(batches):
 
 
 def matrix(column) -> np.ndarray:
-    """A list column of rows of one length as a matrix of doubles."""
+    """A list column of rows of one length as a matrix of doubles, each row scaled to a largest component from 1/2 to 1."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    # by a power of two, which rounds nothing, so that squares neither overflow nor vanish
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
 
 
 def _matrices(column) -> Iterator[tuple[int, np.ndarray]]:
@@ -143,7 +144,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     smallest vec_id that links reach, kept tells whether that is the row's own.
     Rows with a null vec_id or label, or whose vector is null, empty, zero or
     holds null or non-finite components, link with nothing; vectors of
-    different lengths don't link. Rows that share a vec_id count as rows.
+    different lengths don't link. Rows that share a vec_id count as rows. A null
+    vec_id is kept and has a null component_id. An empty table gives an empty
+    one; other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).alias("label"))
@@ -185,4 +188,4 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     info = info.join(least, "root").select("node", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("least").alias("component_id"))
     out = rows.select("vec_id", "node").join(info, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
