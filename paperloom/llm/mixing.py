@@ -14,6 +14,8 @@ whole mix and not on the rarest category.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,15 +37,17 @@ def layout_topic(text: Column, tokens: Column) -> Column:
 
 
 def _placed(docs: DataFrame, topic: Column | None, text: str, doc_id: str, seed: int) -> DataFrame:
-    """docs with the columns _source, _lang, _topic, _tokens and _chance."""
+    """The rows of docs as structs named row, with the columns _source, _lang, _topic, _tokens and _chance."""
     body = F.coalesce(F.col(text), F.lit(""))
     named = {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("(none)")) if c in docs.columns else F.lit("(none)") for c in ("source", "lang")}
     own = F.when(F.col(doc_id).isNull(), F.xxhash64(body)).otherwise(F.xxhash64(doc_id, F.lit(seed)))
-    rows = docs.withColumns(named | {"_tokens": n_words(body), "_chance": F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53))})
-    return rows.withColumn("_topic", layout_topic(body, F.col("_tokens")) if topic is None else F.coalesce(topic.cast("string"), F.lit("(none)")))
+    named |= {"_tokens": n_words(body), "_chance": F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53))}
+    given = {} if topic is None else {"_topic": F.coalesce(topic.cast("string"), F.lit("(none)"))}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in (named | given).items()])
+    return rows if given else rows.withColumn("_topic", layout_topic(F.coalesce(F.col("row").getField(text), F.lit("")), F.col("_tokens")))
 
 
-def _rates(counts: DataFrame, targets: dict[str, dict[str, float]] | None, temper: dict[str, float] | None, rate: float, budget: float | None) -> DataFrame:
+def _rates(counts: DataFrame, targets: dict[str, dict[str, float]] | None, temper: dict[str, float] | None, rate: float, budget: float | None, tolerance: float | None = None) -> DataFrame:
     """(_source, _lang, _topic, weight, probability) for each cell of counts with words."""
     temper = {"source": 0.7} if temper is None else temper
     keys = [f"_{m}" for m in MARGINS]
@@ -74,8 +78,14 @@ def _rates(counts: DataFrame, targets: dict[str, dict[str, float]] | None, tempe
         for m, k in zip(MARGINS, keys):
             sums = sums.withColumn(f"s_{m}", F.sum("w").over(W.partitionBy(k)))
         off = F.greatest(*[F.abs(F.col(f"s_{m}") / F.col(f"want_{m}") - 1) for m in MARGINS])
-        if (sums.agg(F.max(off)).first()[0] or 0.0) < CLOSE:
+        left = sums.agg(F.max(off)).first()[0] or 0.0
+        if left < CLOSE:
             break
+    if left >= CLOSE:
+        said = f"after {PLANS * ROUNDS} rounds a share is still {left:.2g} of itself off its target: the cells can't meet all targets together"
+        if tolerance is not None and left > tolerance:
+            raise ValueError(said)
+        logging.getLogger(__name__).warning(said)
     every = W.partitionBy()
     rated = now.coalesce(1).withColumn("weight", F.col("w") / (F.col("tokens") / F.sum("tokens").over(every)))
     common = F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight"))).over(every) if budget is None else F.lit(float(budget))
@@ -89,7 +99,7 @@ def _rates(counts: DataFrame, targets: dict[str, dict[str, float]] | None, tempe
     return save(rated.select(*keys, F.col("weight").alias("_weight"), F.col("probability").alias("_probability")), "rates")
 
 
-def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id", budget: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id", budget: float | None = None, tolerance: float | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, weight, probability, sampled) for every row of docs.
 
     targets gives shares by margin and category; categories it doesn't name
@@ -103,11 +113,14 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[st
     probability with a hash of doc_id, or of the text where doc_id is null, so a row
     always falls the same way. Null categories are '(none)'; documents without
     words weigh nothing in the fit and get their cell's probability, or the
-    rate and no weight in a cell without any.
+    rate and no weight in a cell without any. Rows that share a doc_id fall
+    together; an empty table gives an empty one. Where raking doesn't reach
+    its targets it warns, or with a tolerance raises ValueError if a share stays
+    off by more (in parts of its target).
     """
     placed = _placed(docs, topic, text, doc_id, seed)
-    rows = save(placed.select(F.col(doc_id).alias("doc_id"), "_source", "_lang", "_topic", "_tokens", "_chance"), "counted")
-    out = rows.join(_rates(rows, targets, temper, rate, budget), ["_source", "_lang", "_topic"], "left")
+    rows = save(placed.select(F.col("row").getField(doc_id).alias("doc_id"), "_source", "_lang", "_topic", "_tokens", "_chance"), "counted")
+    out = rows.join(_rates(rows, targets, temper, rate, budget, tolerance), ["_source", "_lang", "_topic"], "left")
     probability = F.coalesce("_probability", F.lit(min(1.0, float(rate))))
     return out.select("doc_id", *[F.col(f"_{m}").alias(m) for m in MARGINS], F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), probability.alias("probability"), (F.col("_chance") < probability).alias("sampled"))
 
@@ -121,9 +134,9 @@ def reached(mixed: DataFrame) -> DataFrame:
     return sums.select("margin", "category", *[F.try_divide(F.col(k), F.sum(k).over(W.partitionBy("margin"))).alias(k) for k in shares])
 
 
-def sample(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id", budget: float | None = None) -> DataFrame:
-    """The rows of docs that mix() samples with the same arguments."""
+def sample(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] | None = None, rate: float = 1.0, seed: int = 17, text: str = "text", doc_id: str = "doc_id", budget: float | None = None, tolerance: float | None = None) -> DataFrame:
+    """The rows of docs that mix() samples with the same arguments, with all their columns, whatever their names."""
     placed = _placed(docs, topic, text, doc_id, seed)
-    rates = _rates(placed.select("_source", "_lang", "_topic", "_tokens"), targets, temper, rate, budget)
+    rates = _rates(placed.select("_source", "_lang", "_topic", "_tokens"), targets, temper, rate, budget, tolerance)
     kept = placed.join(rates, ["_source", "_lang", "_topic"], "left").where(F.col("_chance") < F.coalesce("_probability", F.lit(min(1.0, float(rate)))))
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
