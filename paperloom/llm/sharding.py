@@ -66,7 +66,9 @@ def kd_shards(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "d
 
     size is the text's UTF-8 bytes plus 1; a null text counts as empty, a null
     source, language or missing column as one value. Equal texts share a
-    shard. slot numbers the rows of a shard from 0 without gaps.
+    shard, repeated rows and rows that share a doc_id included, each with a slot
+    of its own. slot numbers the rows of a shard from 0 without gaps. An empty
+    table gives an empty one; other columns are ignored, whatever their names.
     """
     columns = {c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("source", "lang")}
     body = F.coalesce(F.col(text), F.lit(""))

@@ -51,7 +51,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
 
     Columns of pages that have one of these names give way. A null or empty
     url has an empty host and path and fits no rule; repeated urls are judged
-    each. Of equally long rules the greater text wins, of equal ones block.
+    each; an empty table gives an empty one. Of equally long rules the greater text wins, of equal ones block.
     rules is configuration that the plan carries, so some thousands at most.
     """
     known = sorted({t for h, p, _ in rules for t in _literal_tokens(h, p)})
@@ -71,4 +71,4 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, defau
     whole = F.concat("host", "path")
     fits = F.filter(candidates, lambda r: F.rlike(whole, r["pattern"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["length"], r["rule"], r["verdict"])))
-    return parsed.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
+    return parsed.withColumns({"rule": best["rule"], "verdict": F.coalesce(best["verdict"], F.lit(default))})
