@@ -3,7 +3,8 @@
 Texts are sequences of bytes: A-Z lower-cased, runs of other ASCII than
 letters and digits one space, so contexts run over word boundaries. Two
 models, toxic and ordinary, tell a byte from the ORDER - 1 before it; a gram
-counts once a labelled document of the class:
+counts once a labelled document of the class, and with DISCOUNT 1 from its
+second document on:
 
     P(s | c, class) = (n(c s) - d + (freed(c) + PRIOR) * P(s | c)) / (n(c) + PRIOR)
 
