@@ -71,16 +71,3 @@ class FMIndex:
             known = c > 0
             lo[live], hi[live] = np.where(known, both[: len(live)], 0), np.where(known, both[len(live) :], 0)
         return lo, hi
-
-
-def least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, none: int) -> np.ndarray:
-    """Smallest of values[lo:hi] for ranges that are equal or apart; none where a range is empty."""
-    out = np.full(len(lo), none, np.int64)
-    full = hi > lo
-    if full.any():
-        start, which = np.unique(lo[full], return_inverse=True)
-        stop = np.zeros(len(start), np.int64)
-        stop[which] = hi[full]
-        edges = np.stack((start, stop), 1).ravel()
-        out[full] = np.minimum.reduceat(np.append(values, none), edges)[::2][which]
-    return out

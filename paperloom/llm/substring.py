@@ -10,11 +10,13 @@ fragment. The work goes by anchors, not by pairs of documents:
 1. Documents are dealt into buckets of bounded bytes. Each bucket tells its
    distinct anchors; those of one bucket only need no look elsewhere.
 2. Buckets send the distinct fragments whose anchor another document has too
-   (each once a bucket, with its smallest and largest doc_id).
+   (each once a bucket, with its smallest and largest doc_id): a 32-bit code for
+   each word and 32 bits of each window's own hash.
 3. Fragments meet in shards by anchor. A shard builds FM-indexes over its
    distinct fragments and streams them as queries: backward search over
-   wavelet matrices gives the places of every window, and with them the
-   smallest doc_id it occurs in.
+   wavelet matrices gives the places of every window by its codes, those whose
+   window hash agrees are its places, and with them the smallest doc_id it
+   occurs in. (Codes alone would take words for equal that share 32 bits.)
 4. Buckets get back what is repeated and cut it from their texts.
 
 A hot passage costs a row a bucket in each step, however many documents hold it.
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.fm_index import FMIndex, least
+from paperloom.llm.fm_index import FMIndex
 from paperloom.llm.textcore import _PLACE, Words, _power, grams, mix, raw, signed, spans
 
 #: Text bytes of a bucket, symbols of one FM-index, windows of a fragment.
@@ -166,7 +168,11 @@ def _fragments(words: int, anchor: int):
         for lo, f in parts:
             mine = chosen[(chosen >= low) & (chosen < low + len(f.at))] - low
             code = (f.h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-            codes += [code[4 * s : 4 * e] for s, e in zip(f.at[mine].tolist(), (f.at[mine] + f.windows[mine] + words - 1).tolist())]
+            check = np.zeros(len(f.h), "<u4")
+            start = f.starts(mine)[0]
+            check[start] = f.hashes(start, words) >> np.uint64(32)
+            check = check.tobytes()
+            codes += [code[4 * s : 4 * (s + n + words - 1)] + check[4 * s : 4 * (s + n)] for s, n in zip(f.at[mine].tolist(), f.windows[mine].tolist())]
             low += len(f.at)
         at = np.argsort(by[head], kind="stable")  # codes are in order of place
         n = len(chosen)
@@ -189,13 +195,14 @@ def _singles(parts: list, hot: np.ndarray, ids: np.ndarray, bucket: int, words:
     by = np.lexsort((doc, content))
     head = np.flatnonzero(np.concatenate(([True], content[by][1:] != content[by][:-1])))
     tail, one = np.append(head[1:], len(by)) - 1, by[head]
-    codes = [(parts[k][1].h[s : s + words] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for k, s in zip(part[one].tolist(), start[one].tolist())]
+    check = (content[one] >> np.uint64(32)).astype("<u4")
+    codes = [(parts[k][1].h[s : s + words] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + check[i : i + 1].tobytes() for i, (k, s) in enumerate(zip(part[one].tolist(), start[one].tolist()))]
     name = pa.array(signed(content[one]))
     return pa.table([name, pa.array(np.full(len(one), bucket, np.int32)), name, pa.array(doc[one]), pa.array(doc[by[tail]]), pa.array(codes, pa.binary()), pa.array(np.ones(len(one), bool))], schema=schema)
 
 
-def first_places(codes: list[np.ndarray], first: np.ndarray, words: int) -> list[np.ndarray]:
-    """For each fragment the smallest of first over the fragments in which each of its windows occurs."""
+def first_places(codes: list[np.ndarray], checks: list[np.ndarray], first: np.ndarray, words: int) -> list[np.ndarray]:
+    """For each fragment the smallest of first over the fragments in which each of its windows occurs, with the same check."""
     size = np.array([len(c) for c in codes])
     windows = size - words + 1
     known, flat = np.unique(np.concatenate(codes), return_inverse=True)
@@ -207,11 +214,14 @@ def first_places(codes: list[np.ndarray], first: np.ndarray, words: int) -> list
     group = np.cumsum(size) // INDEX  # one index, unless one anchor alone has more symbols than that
     place = np.repeat(begin, windows) + np.arange(len(out)) - np.repeat(np.cumsum(windows) - windows, windows)
     owner = np.repeat(np.arange(len(codes)), windows)
+    want = np.concatenate(checks)
+    check = np.zeros(len(text), np.uint32)
+    check[place] = want
     for g in np.unique(group):
         mine = np.flatnonzero(group == g)
         lo, hi = begin[mine[0]], begin[mine[-1]] + size[mine[-1]] + 1
         index = FMIndex(text[lo:hi], len(known) + 1, words)
-        of = first[np.repeat(mine, size[mine] + 1)][index.suffix]
+        of, own = first[np.repeat(mine, size[mine] + 1)][index.suffix], check[lo:hi][index.suffix]
         for a in range(0, len(out), 1 << 16):
             p = place[a : a + (1 << 16)]
             inside = group[owner[a : a + (1 << 16)]] == g
@@ -219,33 +229,48 @@ def first_places(codes: list[np.ndarray], first: np.ndarray, words: int) -> list
                 ask = np.flatnonzero(inside == present)
                 if len(ask):
                     l, h = index.ranges(text[p[ask][:, None] + np.arange(words)], present)
-                    out[a + ask] = np.minimum(out[a + ask], least_of(index, of, l, h, present))
+                    out[a + ask] = np.minimum(out[a + ask], least_of(of, own, l, h, want[a + ask], present))
     return np.split(out, np.cumsum(windows)[:-1])
 
 
-def least_of(index: FMIndex, of: np.ndarray, lo: np.ndarray, hi: np.ndarray, present: bool) -> np.ndarray:
-    """Smallest value over each range. A search that ended early has one suffix, whose range may lie in another's, so those are read on their own."""
-    if not present:
-        return least(of, lo, hi, NONE)
-    one = hi - lo == 1
-    out = np.empty(len(lo), np.int64)
-    out[one] = of[lo[one]]
-    out[~one] = least(of, lo[~one], hi[~one], NONE)
+def least_of(of: np.ndarray, check: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, present: bool) -> np.ndarray:
+    """Smallest of those in each range of suffixes whose check is the one wanted, NONE without any. Ranges of several suffixes are equal or apart; the only suffix of a window that is present is its own, perhaps of its last words only."""
+    out = np.full(len(lo), NONE, np.int64)
+    one = np.flatnonzero(hi - lo == 1)
+    at = lo[one]
+    out[one] = of[at] if present else np.where(check[at] == want[one], of[at], NONE)
+    many = np.flatnonzero(hi - lo > 1)
+    if len(many):
+        start, which = np.unique(lo[many], return_inverse=True)
+        size = np.zeros(len(start), np.int64)
+        size[which] = (hi - lo)[many]
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        key = np.repeat(np.arange(len(start)), size) << 32 | check[at].astype(np.int64)
+        by = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.concatenate(([True], np.diff(key[by]) != 0)))
+        known, least = key[by][head], np.minimum.reduceat(of[at][by], head)
+        ask = which << 32 | want[many].astype(np.int64)
+        i = np.searchsorted(known, ask)
+        i[i == len(known)] = 0
+        out[many] = np.where(known[i] == ask, least[i], NONE)
     return out
 
 
 def _search(words: int):
     def done(rows: list) -> pa.RecordBatch | None:
         at: dict[int, int] = {}
-        codes, first = [], []
+        codes, checks, first = [], [], []
         for _, content, low, _, data, _ in rows:
             if content in at:
                 first[at[content]] = min(first[at[content]], low)
             else:
                 at[content] = len(codes)
-                codes.append(np.frombuffer(data, "<u4"))
+                numbers = np.frombuffer(data, "<u4")
+                windows = (len(numbers) - words + 1) // 2
+                codes.append(numbers[: windows + words - 1])
+                checks.append(numbers[windows + words - 1 :])
                 first.append(low)
-        found = first_places(codes, np.array(first, np.int64), words)
+        found = first_places(codes, checks, np.array(first, np.int64), words)
         under = [int(x.min()) for x in found]
         told = [(b, c, found[at[c]], single) for b, c, _, last, _, single in rows if under[at[c]] < last]
         if not told:
