@@ -104,8 +104,10 @@ def pack(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for each piece of each row of docs.
 
     Null and empty texts have the end id only. Rows with null or repeated
-    doc_ids are packed like all others. Sequence numbers are unique, not
-    consecutive.
+    doc_ids are packed like all others, equal rows each. Sequence numbers are
+    unique, not consecutive. Which block a piece falls in also hangs on its row's
+    place in its task, so other file splits give other, equally full sequences.
+    An empty table gives an empty one; other columns are ignored.
     """
     file = file or vocabulary()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

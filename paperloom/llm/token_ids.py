@@ -28,12 +28,12 @@ from paperloom.llm.textcore import raw, spans
 
 END = 2
 #: Words after which a worker forgets those it hasn't met since the last time.
-REMEMBERED = 450_000
+REMEMBERED = 250_000
 #: Text bytes taken at once.
 GROUP = 1 << 20
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Text bytes for a file; ids for an Arrow batch.
-FILE, BATCH = 24 << 20, 1 << 20
+FILE, BATCH = 64 << 20, 1 << 20
 #: How the files are laid out.
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
@@ -59,6 +59,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        words = "the cat, it's 12 x . É of".split()
+        for gap in " \t\n\r\x0b\x0c":
+            if self._plain(gap.join(words)) != b"".join(map(self._plain, words)):
+                raise ValueError(f"{file} has tokens that cross white space, so words can't be encoded one by one")
         self.new: dict[bytes, bytes] = {}  # words of late
         self.old: dict[bytes, bytes] = {}  # words from before; what is met again moves to new
         self.one = self._plain("1")
@@ -173,7 +177,7 @@ def _encode(file: str):
 
 
 def write_tokens(docs: DataFrame, to: str, text: str = "text", doc_id: str = "doc_id", metadata: tuple[str, ...] = ("lang", "source"), file: str | None = None) -> None:
-    """Writes (doc_id, metadata columns that docs has, n_tokens, tokens) to the folder to, in ascending doc_id order over the files by name.
+    """Writes (doc_id, metadata columns that docs has, n_tokens, tokens) to the folder to, in ascending doc_id order over the files by their number.
 
     Null texts count as empty; null doc_ids come first; rows of one doc_id
     are in order of their texts.
@@ -202,13 +206,20 @@ def read_digests(spark, at: str) -> DataFrame:
     rows = files.select("doc_id", "tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = rows.mapInArrow(_digests, "doc_id long, file string, row long, n_tokens long, ids_crc32 long")
     whole = files.select(F.col("_metadata.file_name").alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    before = whole.select("file", F.coalesce(F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # part-100000 comes after part-99999
+    before = whole.select("file", F.coalesce(F.sum("ids").over(W.orderBy(number, "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each file
     here = F.coalesce(F.sum("n_tokens").over(W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("here", here).join(before, "file").select("doc_id", (F.col("before") + F.col("here")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    """Encodes docs, writes the files to the shared folder and reads them back."""
+    """Encodes docs, writes the files to the shared folder and reads them back: (doc_id, start, n_tokens, ids_crc32) for every row of docs.
+
+    Null and empty texts have the end id only; null doc_ids come first, and
+    rows of one doc_id are in order of their texts, so equal rows differ in
+    start only. An empty table gives an empty one; other columns than lang and
+    source, which are written beside the ids, are ignored.
+    """
     to = path(docs.sparkSession, "tokens")
     write_tokens(docs, to)
     return read_digests(docs.sparkSession, to)
