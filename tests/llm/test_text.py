@@ -1,11 +1,13 @@
 """Operators on texts against brute force, with nulls, empty and long texts, repeats and clashing columns."""
 
 import random
+import shutil
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,9 +94,30 @@ def test_small_indexes_give_the_same(monkeypatch):
     base = r.integers(0, 40, 400).astype(np.uint32)
     codes = [base[s : s + n] for s, n in zip(r.integers(0, 350, 60), r.integers(13, 40, 60))]
     first = np.arange(60)[::-1].copy()
-    whole = substring.first_places(codes, first, 13)
+    checks = [np.array([zlib.crc32(c[k : k + 13].tobytes()) for k in range(len(c) - 12)], np.uint32) for c in codes]
+    whole = substring.first_places(codes, checks, first, 13)
+    want = {}
+    for c, low in zip(codes, first):
+        for k in range(len(c) - 12):
+            want[c[k : k + 13].tobytes()] = min(want.get(c[k : k + 13].tobytes(), low), low)
+    assert all(x.tolist() == [want[c[k : k + 13].tobytes()] for k in range(len(c) - 12)] for c, x in zip(codes, whole))
     monkeypatch.setattr(substring, "INDEX", 100)
-    assert all((a == b).all() for a, b in zip(whole, substring.first_places(codes, first, 13)))
+    assert all((a == b).all() for a, b in zip(whole, substring.first_places(codes, checks, first, 13)))
+
+
+def test_words_that_share_a_code_stay(spark):
+    """Pairs of words whose hashes agree in the 32 bits that fragments carry, behind twelve common words and before twelve more."""
+    made = [f"q{k:x}" for k in range(400_000)]
+    low = textcore.Words(*textcore.raw(pa.array([" ".join(made)]))).hashes() & np.uint64(0xFFFFFFFF)
+    by = np.argsort(low, kind="stable")
+    twin = by[:-1][low[by][1:] == low[by][:-1]], by[1:][low[by][1:] == low[by][:-1]]
+    assert len(twin[0]) > 5
+    rows = []
+    for i, (a, b) in enumerate(zip(*twin)):
+        before, after = (" ".join(f"{s}{i}x{k}" for k in range(12)) for s in "mn")
+        rows += [(2 * i, f"{before} {made[a]} {after}"), (2 * i + 1, f"{before} {made[b]} {after}")]
+    for split in (4096, 0):
+        assert {r.n_removed for r in substring.remove_repeats(frame(spark, rows), split=split).select("n_removed").collect()} == {0}
 
 
 def test_ngram_jaccard(spark):
@@ -214,10 +237,112 @@ def test_token_files_round_trip(spark, tmp_path):
         at += len(ids)
 
 
+def test_vocabularies_that_span_white_space_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="white space"):
+        token_ids.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_token_files_are_in_order_of_their_numbers(spark, tmp_path):
+    """part-100000 comes after part-99999, though not as text."""
+    for number, doc in ((99999, 1), (100000, 2)):
+        token_ids.write_tokens(frame(spark, [(doc, f"text {doc}")]), str(tmp_path / "one"))
+        found = next((tmp_path / "one").glob("part-*.parquet"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        found.rename(tmp_path / "all" / found.name.replace("part-00000", f"part-{number}"))
+        shutil.rmtree(tmp_path / "one")
+    assert sorted((r.start, r.doc_id) for r in token_ids.read_digests(spark, str(tmp_path / "all")).collect()) == [(0, 1), (3, 2)]
+
+
+def test_token_files_serve_selective_reads(spark, tmp_path):
+    """Dictionary-encoded ids, delta-encoded metadata, page indexes, and a filter that reaches the scan."""
+    token_ids.write_tokens(frame(spark, [(k, f"text {k % 9} again") for k in range(3000)]).withColumn("lang", F.lit("en")), str(tmp_path / "t"))
+    file = pq.ParquetFile(next((tmp_path / "t").glob("*.parquet")))
+    group = file.metadata.row_group(0)
+    columns = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+    assert "RLE_DICTIONARY" in columns["tokens.list.element"].encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+    assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    some = spark.read.parquet(str(tmp_path / "t")).where("doc_id between 100 and 120").select("doc_id", "n_tokens")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan and "tokens" not in plan.split("ReadSchema")[1].replace("n_tokens", "")
+    assert some.count() == 21
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    rows = [(k, f"word{k} text") for k in range(40)] + [(None, None), (3, "")]
+    names = ["_evidence", "_score", "row", "score", "_source", "_lang", "_topic", "_tokens", "_chance", "class", "root", "judged", "id", "stays", "set"]
+    docs = frame(spark, rows, False).withColumns({n: F.lit("own") for n in names})
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    for out in (toxicity.reject(docs, labels, 2.0), mixing.sample(docs, budget=1e9), jaccard.keep_one(docs)):
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert len(found) == len(rows) and all(r[n] == "own" for r in found for n in names)
+    pages = spark.createDataFrame([(1, "http://a.org/", "own")], "page_id int, url string, _best string")
+    assert url_filter.judge(pages).first()["_best"] == "own" and url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_mixing_tells_what_it_cannot_reach(spark):
+    docs = spark.createDataFrame([(0, "a b c", "en", "x"), (1, "d e f", "de", "y")], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.1, "de": 0.9}}
+    with pytest.raises(ValueError, match="targets"):
+        mixing.mix(docs, targets=targets, tolerance=0.01)
+    assert mixing.mix(docs, targets={"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.9, "de": 0.1}}, tolerance=0.01).count() == 2
+
+
+def plain_kneser_ney(texts, order, discount):
+    """P(byte | the order - 2 before it) from how many different bytes come before each gram, by dictionaries."""
+    every = set()
+    for t in texts:
+        s = b" " * order + bytes(t)
+        every |= {s[k - order + 1 : k + 1] for k in range(order, len(s))}
+    before = {}
+    for g in every:
+        for k in range(1, order):
+            before.setdefault(g[-k:], set()).add(g[-k - 1])
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        same = [x for x in before if len(x) == len(g) and x[:-1] == g[:-1]]
+        total = sum(len(before[x]) for x in same)
+        return (max(len(before.get(g, ())) - discount, 0) + discount * len(same) * p(g[1:])) / total
+
+    return {g: p(g) for g in before if len(g) == order - 1}
+
+
+def test_kneser_ney_by_dictionaries(spark):
+    rows = [(0, "The cat sat, the cat"), (1, "a cat!! ate"), (2, "that hat"), (3, "that hat"), (4, None), (5, ""), (6, "Ünï 12")]
+    normal = [b"the cat sat the cat", b"a cat ate", b"that hat", b"that hat", b"", b"", "Ünï 12".encode()]
+    docs = frame(spark, rows)
+    shared = {r.gram: r.p for r in toxicity.shared_model(docs.select("text")).collect()}
+    want = {int.from_bytes(g): v for g, v in plain_kneser_ney(normal, toxicity.ORDER, toxicity.DISCOUNT).items()}
+    assert shared.keys() == want.keys() and all(abs(shared[g] - want[g]) < 1e-12 for g in want)
+    counts = {}
+    for t, c in zip(normal, (0, 0, 1, 1, 1, 0, 0)):
+        s = b" " * toxicity.ORDER + t
+        for g in {s[k - toxicity.ORDER + 1 : k + 1] for k in range(toxicity.ORDER, len(s))}:
+            counts.setdefault(int.from_bytes(g), [0, 0])[c] += 1
+    model = toxicity.Model(toxicity.ratios(spark.createDataFrame([(g, t, o) for g, (o, t) in counts.items()], "gram long, toxic long, ordinary long"), toxicity.shared_model(docs.select("text"))).toPandas())
+
+    def p(g, c):
+        same = [n[c] for x, n in counts.items() if x >> 8 == g >> 8]
+        freed = sum(min(n, toxicity.DISCOUNT) for n in same) + toxicity.PRIOR
+        mine = counts.get(g, (0, 0))[c]
+        return (max(mine - toxicity.DISCOUNT, 0) + freed * want[g & ((1 << 8 * toxicity.ORDER - 8) - 1)]) / (sum(same) + toxicity.PRIOR)
+
+    for g in counts:
+        assert abs(model.ratio(np.array([g]))[0] - np.log(p(g, 1) / p(g, 0))) < 1e-5
+    assert model.ratio(np.array([int.from_bytes(b"zzzzz")]))[0] == 0
+
+
 def test_packing(spark):
+    from tokenizers import Tokenizer
+
     rows = [*ROWS, (None, "x"), (None, "x"), (3, "again")]
     found = packing.pack(frame(spark, rows), with_ids=True).collect()
-    wanted = list(token_ids.encoded(pa.array([t for _, t in rows]), token_ids.vocabulary()))
+    tokenizer = Tokenizer.from_file(token_ids.vocabulary())
+    wanted = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows]
     assert sum(r.length for r in found) == sum(len(x) // 4 for x in wanted)
     assert sorted(r.ids_crc32 for r in found if r.start == 0 and r.length == r.doc_tokens) == sorted(zlib.crc32(x) for x in wanted if len(x) <= 4 * 4096)
     sequences = {}

@@ -49,6 +49,12 @@ def test_embedding_dedup(spark, monkeypatch, tile):
     assert len(found) == len(rows)
 
 
+def test_embedding_dedup_of_extreme_magnitudes(spark):
+    rows = [(0, [1.0, 0.0], 1), (1, [1e200, 0.0], 1), (2, [1e-200, 0.0], 1), (3, [0.0, 5e-324], 1), (4, [0.0, 1.7e308], 1), (None, [1.0, 0.0], 1)]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), 3: (1, 3, True), 4: (1, 3, False), None: (0, None, True)}
+
+
 def test_no_vectors(spark):
     assert embed_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert topk.top_k(frame(spark, []), lambda v: v % 20 == 0).count() == 0
@@ -58,6 +64,7 @@ def test_no_vectors(spark):
 @pytest.mark.parametrize("n", [12, 300])
 def test_exact_topk(spark, monkeypatch, shard, queries, n):
     monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "LEAST", shard)
     monkeypatch.setattr(topk, "QUERIES", queries)
     x = vectors(n) if n > 60 else vectors()[:n]
     rows = rows_of(x, [0] * n) + [(1000, None, 0, 0, 0, 0, ""), (1020, [NAN] * 16, 0, 0, 0, 0, ""), (1040, [1.0], 0, 0, 0, 0, ""), (None, [1.0] * 16, 0, 0, 0, 0, "")]
@@ -72,6 +79,19 @@ def test_exact_topk(spark, monkeypatch, shard, queries, n):
     assert set(found) == set(range(0, n, 20))
 
 
+def test_the_cutoff_spares_products():
+    r = np.random.default_rng(3)
+    middle = r.normal(size=(40, 64))
+    x = np.floor(64 * (middle[r.integers(0, 40, 4000)] + 0.3 * r.normal(size=(4000, 64))))
+    score = x[:100] @ x.T
+    least = np.sort(score, 1)[:, -21]
+    q, y, *sliced = topk._slices(x[:100], x)
+    i, j, part, work = topk.above(q, y, least, sliced)
+    want = np.nonzero(score >= least[:, None])
+    assert set(zip(i[part >= least[i]], j[part >= least[i]])) == set(zip(*want)) and (part == score[i, j]).all()
+    assert work < 0.6 * score.size * 64
+
+
 def test_scores_beyond_doubles(spark):
     rows = [(0, [1e9, 3.0], 0, 0, 0, 0, ""), (1, [1e9, -1.0], 0, 0, 0, 0, ""), (2, [3e38, 1.0], 0, 0, 0, 0, "")]
     got = {r.vec_id: r.score for r in topk.top_k(frame(spark, rows), lambda v: v % 20 == 0).collect()}
