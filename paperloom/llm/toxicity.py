@@ -42,7 +42,7 @@ LABELLED_BYTES, LABELLED = 32 << 20, 1_000_000
 #: Labelled rows that the calibration takes, about.
 CALIBRATION = 20_000
 #: Grams that a counting task holds at once, and rows worked on at once.
-FLUSH, ROWS = 1 << 23, 1 << 16
+FLUSH, ROWS = 1 << 21, 1 << 16
 #: Bytes of a gram, and of the passages.
 ORDER, PASSAGES = 5, (8, 16, 64, 256)
 DISCOUNT, PRIOR = 1.0, 5.0
