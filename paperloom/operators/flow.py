@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions import text as t
 
@@ -27,49 +31,73 @@ def line_weight(text: Column) -> Column:
     return F.least(F.lit(30), F.greatest(F.lit(1), F.ceil(t.utf16_length(text) / 120))).cast("int")
 
 
-def _folded(rows: DataFrame, key: list[str], item: Column, start: str, step: str) -> DataFrame:
-    """Each group's items in order of item's first field through a fold whose state has a field out, an array of the results.
+def _streamed(rows: DataFrame, key: str, by: list[str], start, step, names: dict[str, str]) -> DataFrame:
+    """rows with the columns names that step makes of each group's rows in order.
 
-    Groups are documents, tables or orders: as long as one of those.
+    step(state, values of by) gives the next state and the rows that stand for
+    this one, as tuples of the new columns; start is a group's first state. The rows of a
+    group stream through one task, which holds a batch of them and the state.
     """
-    gathered = rows.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return gathered.select(*key, F.explode(F.expr(f"aggregate(items, {start}, (s, x) -> {step}).out")).alias("o")).select(*key, "o.*")
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, {"long": T.LongType(), "int": T.IntegerType()}[t]) for n, t in names.items()]])
+    kinds = [pa.int64() if t == "long" else pa.int32() for t in names.values()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), start
+        for batch in batches:
+            at, made = [], []
+            for i, (k, *values) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, *by)))):
+                if k != last:
+                    last, state = k, start
+                state, out = step(state, *values)
+                at += [i] * len(out)
+                made += out
+            columns = zip(*made) if made else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, *(pa.array(c, t) for c, t in zip(columns, kinds))], [*batch.schema.names, *names])
 
-def paginate(rows: DataFrame, key: str, order: str, weight: str, budget: int) -> DataFrame:
-    """Greedy filling: a row opens a new page when the page has rows and would pass the budget. (key, order, page from 0)"""
-    item = F.struct(F.col(order).cast("long").alias("o"), F.greatest(F.lit(1), F.col(weight)).cast("long").alias("w"))
-    return _folded(
-        rows,
-        [key],
-        item,
-        f"named_struct('page', 0L, 'used', 0L, 'out', cast(array() as array<struct<{order}: bigint, page: bigint>>))",
-        f"""if(s.used > 0 and s.used + x.w > {budget},
-            named_struct('page', s.page + 1, 'used', x.w, 'out', concat(s.out, array(named_struct('{order}', x.o, 'page', s.page + 1)))),
-            named_struct('page', s.page, 'used', s.used + x.w, 'out', concat(s.out, array(named_struct('{order}', x.o, 'page', s.page)))))""",
-    )
+    return rows.repartition(key).sortWithinPartitions(key, *by).mapInArrow(run, schema)
 
 
-def place_blocks(rows: DataFrame, key: str, order: str, height: str, content: int) -> DataFrame:
-    """Blocks down pages of a content height. One that doesn't fit below opens a page; one taller than a page starts on its own and goes on over as many as it needs.
+def paginate(rows: DataFrame, key: str, order: str, weight: str, budget: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy filling: a row opens a new page when the page has rows and would pass the budget. (key, order, carried columns, page from 0)"""
+
+    def step(state, _, w):
+        page, used = state
+        page, used = (page + 1, w) if used and used + w > budget else (page, used + w)
+        return (page, used), [(page,)]
+
+    placed = rows.select(key, F.col(order).cast("long").alias(order), *carry, F.greatest(F.lit(1), F.col(weight)).cast("long").alias("_w"))
+    return _streamed(placed, key, [order, "_w"], (0, 0), step, {"page": "long"}).drop("_w")
+
+
+def layout_boxes(rows: DataFrame, key: str, order: str, height: str, page_height: int, top: int = 0, bottom: int = 0, least: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks down pages: a box on each page a block is on.
 
-    (key, order, page, y, fragments)
+    A block is least high at least. One that doesn't fit below what its page
+    has opens a page; one taller than a page's content starts on its own and
+    goes on over as many pages as it needs. (key, order, carried columns, page, y,
+    fragment, fragments, source_start, visible_height)
     """
-    item = F.struct(F.col(order).cast("long").alias("o"), F.col(height).cast("long").alias("h"))
-    at = lambda page, y, fragments: f"array(named_struct('{order}', x.o, 'page', {page}, 'y', {y}, 'fragments', {fragments}))"
-    return _folded(
-        rows,
-        [key],
-        item,
-        f"named_struct('page', 0L, 'y', 0L, 'out', cast(array() as array<struct<{order}: bigint, page: bigint, y: bigint, fragments: bigint>>))",
-        f"""case
-            when x.h > {content} then named_struct(
-                'page', if(s.y > 0, s.page + 1, s.page) + (x.h + {content} - 1) div {content} - 1,
-                'y', x.h - ((x.h + {content} - 1) div {content} - 1) * {content},
-                'out', concat(s.out, {at("if(s.y > 0, s.page + 1, s.page)", "0L", f"(x.h + {content} - 1) div {content}")}))
-            when s.y > 0 and s.y + x.h > {content} then named_struct('page', s.page + 1, 'y', x.h, 'out', concat(s.out, {at("s.page + 1", "0L", "1L")}))
-            else named_struct('page', s.page, 'y', s.y + x.h, 'out', concat(s.out, {at("s.page", "s.y", "1L")})) end""",
-    )
+    end = max(1, page_height - bottom)
+    content, head = max(1, page_height - top - bottom), min(top, end - 1)
+
+    def step(state, _, h):
+        page, y, boxes = state
+        if h <= content:
+            if boxes and y + h > end:
+                page, y = page + 1, head
+            return (page, y + h, True), [(page, y, 0, 1, 0, h)]
+        page, n = page + bool(boxes), -(-h // content)
+        out = [(page + f, head, f, n, f * content, min(content, h - f * content)) for f in range(n)]
+        return (page + n - 1, head + out[-1][-1], True), out
+
+    placed = rows.select(key, F.col(order).cast("long").alias(order), *carry, F.greatest(F.lit(max(1, least)), F.col(height)).cast("long").alias("_h"))
+    names = dict.fromkeys(("page", "y", "fragment", "fragments", "source_start", "visible_height"), "long")
+    return _streamed(placed, key, [order, "_h"], (0, head, False), step, names).drop("_h")
+
+
+def place_blocks(rows: DataFrame, key: str, order: str, height: str, content: int) -> DataFrame:
+    """Where each block's first box is, without margins: (key, order, page, y, fragments)."""
+    return layout_boxes(rows, key, order, height, content).where("fragment = 0").select(key, order, "page", "y", "fragments")
 
 
 def split_rows(rows: DataFrame, key: str, order: str, weight: str, budget: int) -> DataFrame:

@@ -39,16 +39,35 @@ def last_by(rows: DataFrame, key: str, order: Column, columns: list[str]) -> Dat
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_v"), F.min(order).alias("first_seen")).select(key, "_v.*", "first_seen")
 
 
-def follow(edges: DataFrame, source: str, target: str, doublings: int = 4) -> DataFrame:
-    """Where chains of edges end after 2^doublings steps at most: (source, final, steps). Ends point to themselves. Each doubling is one join of the table with itself."""
-    now = edges.select(F.col(source).alias("n"), F.col(target).alias("to"), F.when(F.col(source) == F.col(target), 0).otherwise(1).alias("steps"))
-    for _ in range(doublings):
-        more = now.select(F.col("n").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
-        now = now.join(more, "to", "left").select("n", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-    return now.select(F.col("n").alias(source), F.col("to").alias("final"), "steps")
+def follow(edges: DataFrame, source: str, target: str, hops: int = 15) -> DataFrame:
+    """Where chains of edges end: (source, final, steps).
+
+    A chain ends where no edge goes on (an edge to itself is an end), at the
+    first place it meets again, or after so many hops.
+    """
+    step = edges.select(F.col(source).alias("n"), F.col(target).alias("to")).where("n <> to")
+    now = edges.select(F.col(source).alias("first"), F.col(source).alias("at"), F.array(source).alias("path"), F.lit(0).alias("steps"), F.lit(False).alias("closed"))
+    for _ in range(hops):
+        go = F.col("to").isNotNull() & ~F.col("closed")
+        now = now.join(step, F.col("at") == F.col("n"), "left").select(
+            "first",
+            F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"),
+            F.when(go, F.concat("path", F.array("to"))).otherwise(F.col("path")).alias("path"),
+            (F.col("steps") + go.cast("int")).alias("steps"),
+            (F.col("closed") | F.coalesce(go & F.array_contains("path", F.col("to")), F.lit(False))).alias("closed"),
+        )
+    return now.select(F.col("first").alias(source), F.col("at").alias("final"), "steps")
+
+
+#: Span of the order column in which rows are numbered together.
+BUCKET = 50_000
 
 
 def numbered_ids(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """rows with unique_id: base, then base-2, base-3 and so on."""
-    n = F.row_number().over(W.partitionBy(base).orderBy(order))
-    return rows.withColumn("_n", n).withColumn("unique_id", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.col("_n").cast("string")))).drop("_n")
+    """rows with unique_id: base, then base-2, base-3 and so on in order of a whole number. Numbers run in spans of the order, so a frequent base is no single group."""
+    rows = rows.withColumn("_span", F.floor(F.col(order) / BUCKET))
+    before = F.sum("_count").over(W.partitionBy(base).orderBy("_span").rowsBetween(W.unboundedPreceding, -1))
+    spans = rows.groupBy(base, "_span").agg(F.count("*").alias("_count")).select(base, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_n", F.row_number().over(W.partitionBy(base, "_span").orderBy(order))).join(spans, [base, "_span"])
+    n = F.col("_n") + F.col("_before")
+    return placed.withColumn("unique_id", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", base, n.cast("string")))).drop("_n", "_span", "_before")

@@ -41,8 +41,7 @@ def paginate_docs(spark, sf_dir):
 
 
 def _diagnosed(spark, sf_dir):
-    lines = _weighted(spark, sf_dir).withColumn("line_no", F.col("line_no").cast("long"))
-    paged = lines.join(paginate_docs(spark, sf_dir), ["doc_id", "line_no"])
+    paged = flow.paginate(_weighted(spark, sf_dir), "doc_id", "line_no", "weight", BUDGET, ("line", "units", "weight"))
     return paged.groupBy("doc_id", "page").agg(
         F.count("*").alias("blocks"),
         F.count_if(F.contains("line", F.lit("|"))).alias("tables"),
@@ -79,6 +78,13 @@ def layout_orders(spark, sf_dir):
     return flow.place_blocks(rows, "l_orderkey", "l_linenumber", "height", 1000)
 
 
+def layout_boxes(spark, sf_dir):
+    """A box for each page that a line item is on, on pages of 1100 with margins of 50 and a content width of 800."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_quantity") * 40).cast("long").alias("height"), (F.col("l_quantity") * 20).cast("long").alias("width"))
+    boxes = flow.layout_boxes(rows, "l_orderkey", "l_linenumber", "height", 1100, top=50, bottom=50, least=12, carry=("width",))
+    return boxes.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(800), F.col("width"))))
+
+
 def split_order_tables(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.ceil(F.col("l_quantity") / 10).alias("weight"))
     return flow.split_rows(rows, "l_orderkey", "l_linenumber", "weight", BUDGET).select("l_orderkey", "chunk", "position", "l_linenumber", "repeated")
@@ -123,7 +129,7 @@ def spread_widths(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", (F.col("part") + F.when(F.col("l_linenumber") == F.col("_last"), F.col("_rest")).otherwise(0)).alias("width"))
 
 
-QUERIES = {f.__name__: f for f in (doc_lines, clean_blank_runs, line_weights, paginate_docs, page_diagnostics, doc_rollup, page_hotspots, page_budgets, layout_orders, split_order_tables, safe_breaks, header_scope, border_priority, page_numbers, long_row_fragments, spread_widths)}
+QUERIES = {f.__name__: f for f in (doc_lines, clean_blank_runs, line_weights, paginate_docs, page_diagnostics, doc_rollup, page_hotspots, page_budgets, layout_orders, layout_boxes, split_order_tables, safe_breaks, header_scope, border_priority, page_numbers, long_row_fragments, spread_widths)}
 
 _LINES = r"""lines AS (SELECT doc_id, unnest(string_split(txt, chr(10))) AS line, unnest(range(len(string_split(txt, chr(10))))) AS line_no
     FROM (SELECT doc_id, regexp_replace(text, '\r\n|\r|\x02', chr(10), 'g') AS txt FROM documents))"""
@@ -147,6 +153,15 @@ _DIAG = f"""{_PAGES}, diag AS (SELECT doc_id, page, count(*) AS blocks, count(*)
     FROM weights JOIN fold USING (doc_id, line_no) GROUP BY doc_id, page)"""
 _DOC_PAGES = "doc_pages AS (SELECT doc_id, unnest(range(n_chars // 2000 + 1)) AS page FROM documents)"
 
+_LAYOUT = """ordered AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_quantity * 40)::BIGINT AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n FROM lineitem),
+        fold AS (SELECT l_orderkey, l_linenumber, n, 0::BIGINT AS page, 0::BIGINT AS y, greatest(1, (h + 999) // 1000) AS fragments,
+            greatest(1, (h + 999) // 1000) - 1 AS end_page, CASE WHEN h > 1000 THEN h - ((h + 999) // 1000 - 1) * 1000 ELSE h END AS end_y FROM ordered WHERE n = 1
+            UNION ALL SELECT o.l_orderkey, o.l_linenumber, o.n, CASE WHEN f.end_y > 0 AND f.end_y + o.h > 1000 THEN f.end_page + 1 ELSE f.end_page END,
+                CASE WHEN f.end_y > 0 AND f.end_y + o.h > 1000 THEN 0 ELSE f.end_y END, greatest(1, (o.h + 999) // 1000),
+                CASE WHEN f.end_y > 0 AND f.end_y + o.h > 1000 THEN f.end_page + 1 ELSE f.end_page END + greatest(1, (o.h + 999) // 1000) - 1,
+                CASE WHEN o.h > 1000 THEN o.h - ((o.h + 999) // 1000 - 1) * 1000 WHEN f.end_y > 0 AND f.end_y + o.h > 1000 THEN o.h ELSE f.end_y + o.h END
+            FROM fold f JOIN ordered o ON o.l_orderkey = f.l_orderkey AND o.n = f.n + 1)"""
+
 ORACLES = {
     "doc_lines": f"WITH {_LINES} SELECT doc_id, line_no, line FROM lines",
     "clean_blank_runs": """WITH lines AS (SELECT doc_id, unnest(string_split(txt, chr(10))) AS line, unnest(range(len(string_split(txt, chr(10))))) AS line_no
@@ -161,14 +176,9 @@ ORACLES = {
     "page_hotspots": f"""{_DIAG}, scored AS (SELECT *, ((tables + links) * 1000 + tables * 100 + tall * 18 + CASE WHEN text_runs = 0 AND tables > 0 THEN 75.0 ELSE least(text_runs, 400) / 4.0 END)::DOUBLE AS score FROM diag)
         SELECT doc_id, page, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, text_runs, page) AS rank FROM scored QUALIFY rank <= 5""",
     "page_budgets": "SELECT doc_id, least(200, greatest(16, floor(n_chars * 40 / 1500.0 + 0.5)))::BIGINT AS budget, least(200, greatest(16, floor(n_chars * 40 / 2250.0 + 0.5)))::BIGINT AS budget_xml FROM documents",
-    "layout_orders": """WITH RECURSIVE ordered AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (l_quantity * 40)::BIGINT AS h, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n FROM lineitem),
-        fold AS (SELECT l_orderkey, l_linenumber, n, 0::BIGINT AS page, 0::BIGINT AS y, greatest(1, (h + 999) // 1000) AS fragments,
-            greatest(1, (h + 999) // 1000) - 1 AS end_page, CASE WHEN h > 1000 THEN h - ((h + 999) // 1000 - 1) * 1000 ELSE h END AS end_y FROM ordered WHERE n = 1
-            UNION ALL SELECT o.l_orderkey, o.l_linenumber, o.n, CASE WHEN f.end_y > 0 AND f.end_y + o.h > 1000 THEN f.end_page + 1 ELSE f.end_page END,
-                CASE WHEN f.end_y > 0 AND f.end_y + o.h > 1000 THEN 0 ELSE f.end_y END, greatest(1, (o.h + 999) // 1000),
-                CASE WHEN f.end_y > 0 AND f.end_y + o.h > 1000 THEN f.end_page + 1 ELSE f.end_page END + greatest(1, (o.h + 999) // 1000) - 1,
-                CASE WHEN o.h > 1000 THEN o.h - ((o.h + 999) // 1000 - 1) * 1000 WHEN f.end_y > 0 AND f.end_y + o.h > 1000 THEN o.h ELSE f.end_y + o.h END
-            FROM fold f JOIN ordered o ON o.l_orderkey = f.l_orderkey AND o.n = f.n + 1)
+    "layout_boxes": f"""WITH RECURSIVE {_LAYOUT}, f AS (SELECT l_orderkey, l_linenumber, page, y, fragments, unnest(range(fragments)) AS fragment, h, width FROM fold JOIN (SELECT l_orderkey, n, h, greatest(1, least(800, h // 2)) AS width FROM ordered) USING (l_orderkey, n))
+        SELECT l_orderkey, l_linenumber, page + fragment AS page, CASE WHEN fragment = 0 THEN y ELSE 0 END + 50 AS y, fragment, fragments, fragment * 1000 AS source_start, least(1000, h - fragment * 1000) AS visible_height, width FROM f""",
+    "layout_orders": f"""WITH RECURSIVE {_LAYOUT}
         SELECT l_orderkey, l_linenumber, page, y, fragments FROM fold""",
     "split_order_tables": f"""WITH RECURSIVE src AS (SELECT l_orderkey, l_linenumber, greatest(1, ceil(l_quantity / 10))::BIGINT AS w FROM lineitem), {_greedy("src", "l_orderkey", "l_linenumber", BUDGET)},
         every AS (SELECT l_orderkey, page AS chunk, l_linenumber::BIGINT AS l_linenumber, 0 AS repeated FROM fold

@@ -132,12 +132,11 @@ def pixel_diff(spark, sf_dir):
 
 
 def keyword_hits(spark, sf_dir):
-    """How often the first words of the first ten benchmark items occur, white space aside."""
-    items = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.lower(F.split("text", " ")[0]).alias("key"))
-    keys = items.agg(F.array_sort(F.collect_list(F.struct("item_id", "key"))).alias("keys"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.regexp_replace("text", r"\s", "")).alias("text"))
-    hits = docs.join(F.broadcast(keys)).select("doc_id", "text", F.explode("keys").alias("k"))  # keys is one row of ten
-    return hits.select("doc_id", F.col("k.item_id").alias("item_id"), t.occurrences(F.col("text"), F.col("k.key")).alias("hits")).where("hits > 0").groupBy("item_id").agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"))
+    """How often the first word of each benchmark item occurs as a word: documents and hits. Words are counted before they meet the keys."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.split("text", " ")[0]).alias("word"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[ \\t\\n\\r]+")).alias("word"))
+    counted = words.where("word <> ''").groupBy("word", "doc_id").count().groupBy("word").agg(F.count("*").alias("docs"), F.sum("count").alias("hits"))
+    return counted.join(items, "word").select("item_id", "docs", "hits")
 
 
 QUERIES = {f.__name__: f for f in (audit_join, audit_missing, guard_issues, issue_priority, doc_status, structural, worst_documents, verdicts, verdict_counts, visual_top, freshness_hours, type_histogram, top_values, source_languages, inventory, change_detect, pixel_diff, keyword_hits)}
@@ -169,7 +168,6 @@ ORACLES = {
         SELECT p_partkey, CASE WHEN lines IS NULL THEN 'unverified' WHEN quantity < 200 THEN 'failed' ELSE 'done' END AS state, coalesce(lines, 0) AS lines FROM part LEFT JOIN s ON l_partkey = p_partkey""",
     "change_detect": r"SELECT sha256(lower(regexp_replace(text, '[ \n\t\r]+', '', 'g'))) AS digest, count(*) AS docs, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1 HAVING count(*) > 1",
     "pixel_diff": """SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * 127.5)) / len(a.embedding), 6) AS diff FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "keyword_hits": r"""WITH k AS (SELECT item_id, lower(string_split(text, ' ')[1]) AS key FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, lower(regexp_replace(text, '\s', '', 'g')) AS t FROM documents),
-        h AS (SELECT doc_id, item_id, (length(t) - length(replace(t, key, ''))) // length(key) AS hits FROM d, k)
-        SELECT item_id, count(*) AS docs, sum(hits)::BIGINT AS hits FROM h WHERE hits > 0 GROUP BY 1""",
+    "keyword_hits": r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[ \t\n\r]+')) AS word FROM documents), c AS (SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM w WHERE word <> '' GROUP BY 1)
+        SELECT item_id, docs, hits FROM benchmark JOIN c ON word = lower(string_split(text, ' ')[1])""",
 }

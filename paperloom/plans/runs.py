@@ -71,7 +71,7 @@ def dictionary_fallback(spark, sf_dir):
 
 
 def font_chain(spark, sf_dir):
-    """Substitution from each part to half its key until one whose size is registered, 16 steps at most."""
+    """Substitution from each part to half its key until one whose size is registered, 15 hops at most."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     edges = part.select("p_partkey", F.when((F.col("p_size") % 5 == 0) | (F.col("p_partkey") <= 1), F.col("p_partkey")).otherwise(F.floor(F.col("p_partkey") / 2)).alias("to"))
     return reports.follow(edges, "p_partkey", "to")
@@ -165,7 +165,7 @@ ORACLES = {
     "dictionary_fallback": """WITH p AS (SELECT p_partkey, p_name FROM part WHERE p_size % 2 = 0)
         SELECT l_orderkey, l_linenumber, l_partkey, coalesce(a.p_name, b.p_name) AS name FROM lineitem LEFT JOIN p a ON a.p_partkey = l_partkey LEFT JOIN p b ON b.p_partkey = l_partkey + 1""",
     "font_chain": """WITH RECURSIVE e AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 OR p_partkey <= 1 THEN p_partkey ELSE p_partkey // 2 END AS nxt FROM part),
-        walk AS (SELECT p_partkey, p_partkey AS final, 0 AS steps FROM e UNION ALL SELECT w.p_partkey, e.nxt, w.steps + 1 FROM walk w JOIN e ON e.p_partkey = w.final WHERE e.nxt <> w.final AND w.steps < 16)
+        walk AS (SELECT p_partkey, p_partkey AS final, 0 AS steps, [p_partkey] AS path, false AS closed FROM e UNION ALL SELECT w.p_partkey, e.nxt, w.steps + 1, list_append(w.path, e.nxt), list_contains(w.path, e.nxt) FROM walk w JOIN e ON e.p_partkey = w.final WHERE e.nxt <> w.final AND NOT w.closed AND w.steps < 15)
         SELECT p_partkey, arg_max(final, steps) AS final, max(steps) AS steps FROM walk GROUP BY 1""",
     "recents_top20": "WITH f AS (SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT * FROM f ORDER BY ts DESC, event_id DESC LIMIT 20",
     "map_merge": "SELECT event_type, (props::JSON->>'$.k')::BIGINT AS k, count(*) AS n FROM events WHERE (props::JSON->>'$.k') IS NOT NULL GROUP BY 1, 2",

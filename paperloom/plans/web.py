@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as t
 from paperloom.operators import reports
-from paperloom.sources.tables import container_format, table
+from paperloom.sources.tables import SIGNATURES, container_format, table
 
 
 def _links(spark, sf_dir):
@@ -42,9 +42,16 @@ def tag_histogram(spark, sf_dir):
     return tags.groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
+#: Elements that have no end tag.
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+_TAG = r"<(/?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?)>"
+
+
 def html_tree_depth(spark, sf_dir):
-    """Deepest nesting of each page's paired tags."""
-    tags = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(/?(?:html|body|div|p|ul|li|a|head|title|nav|footer|header|span|article|section|script|style|h1|h2|h3|table|tr|td))(?:[ >])"), F.lit(1))).alias("pos", "tag"))
+    """Deepest nesting of each page's paired tags, and how many there are; void elements and self-closed tags aside."""
+    tags = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(1))).alias("pos", "tag"))
+    name = F.lower(F.regexp_extract("tag", "^/?([a-zA-Z0-9]+)", 1))
+    tags = tags.where(~name.isin(VOID) & ~F.endswith("tag", F.lit("/")))
     depth = F.sum(F.when(F.startswith("tag", F.lit("/")), -1).otherwise(1)).over(W.partitionBy("page_id").orderBy("pos"))
     return tags.withColumn("depth", depth).groupBy("page_id").agg(F.max("depth").alias("depth"), F.count("*").alias("tags"))
 
@@ -117,10 +124,12 @@ ORACLES = {
     "clean_text": f"WITH c AS (SELECT page_id, {_SQUEEZE.format(_PLAIN)} AS body FROM pages) SELECT page_id, length(body) AS chars, sha256(body) AS digest FROM c",
     "preview_120": f"WITH c AS (SELECT doc_id, {_SQUEEZE.format('text')} AS body FROM documents) SELECT doc_id, CASE WHEN length(body) > 120 THEN substr(body, 1, 120) || '…' ELSE body END AS preview FROM c",
     "tag_histogram": "WITH g AS (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM g GROUP BY 1",
-    "html_tree_depth": """WITH r AS (SELECT page_id, regexp_extract_all(html, '<(/?(?:html|body|div|p|ul|li|a|head|title|nav|footer|header|span|article|section|script|style|h1|h2|h3|table|tr|td))(?:[ >])', 1) AS tags FROM pages),
-        u AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM r),
-        d AS (SELECT page_id, sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM u)
+    "html_tree_depth": f"""WITH r AS (SELECT page_id, regexp_extract_all(html, '{_TAG}', 1) AS tags FROM pages), u AS (SELECT page_id, unnest(tags) AS tag, unnest(range(len(tags))) AS pos FROM r),
+        p AS (SELECT * FROM u WHERE lower(regexp_extract(tag, '^/?([a-zA-Z0-9]+)', 1)) NOT IN ({", ".join(f"'{v}'" for v in VOID)}) AND NOT ends_with(tag, '/')),
+        d AS (SELECT page_id, sum(CASE WHEN tag LIKE '/%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM p)
         SELECT page_id, max(depth) AS depth, count(*) AS tags FROM d GROUP BY 1""",
+    "magic_detect": f"""WITH p AS (SELECT substr(hex(encode(html)), 1, 16) AS head, html, url FROM pages)
+        SELECT CASE {" ".join(f"WHEN starts_with(head, '{sign}') THEN '{name}'" for sign, name in SIGNATURES)} WHEN regexp_matches(html, '^\\x{{FEFF}}?[\\t\\n\\r ]{{0,60}}<') THEN 'xml' WHEN contains(url, '.') THEN lower(string_split(url, '.')[-1]) ELSE '' END AS format, count(*) AS pages FROM p GROUP BY 1""",
     "script_ratio": """WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^À-ÿ]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', '', 'g')) AS l FROM documents), s AS (SELECT *, CASE WHEN l > 0 THEN round(a / l, 6) ELSE 0 END AS share FROM c)
         SELECT doc_id, share, a >= 3 AND share >= 0.02 AS accented FROM s""",
     "best_script_run": """WITH r AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+') AS runs FROM documents), u AS (SELECT doc_id, unnest(runs) AS run, unnest(range(len(runs))) AS pos FROM r)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as t
-from paperloom.operators.reports import last_by
 
 
 def page_stream(spark: SparkSession, sf_dir: str, name: str = "pages", files_a_batch: int = 8) -> DataFrame:
@@ -16,8 +15,8 @@ def page_stream(spark: SparkSession, sf_dir: str, name: str = "pages", files_a_b
 
 
 def observe(pages: DataFrame) -> DataFrame:
-    """Each link of a page once."""
-    return pages.select("page_id", F.explode(t.hrefs(F.col("html"))).alias("href")).dropDuplicates(["page_id", "href"])
+    """Each link of a page once. A page's links are in its own row, so the stream keeps no state."""
+    return pages.select("page_id", F.explode(F.array_distinct(t.hrefs(F.col("html")))).alias("href"))
 
 
 def run_to_files(stream: DataFrame, to: str) -> DataFrame:
@@ -26,29 +25,32 @@ def run_to_files(stream: DataFrame, to: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(to)
 
 
+LATEST = "href string, page_id long, pos long, first_seen struct<page_id: long, pos: long>"
+
+
 def keep_latest(stream: DataFrame, to: str, limit: int = 100) -> DataFrame:
     """Upserts each batch's links into the list of the latest: by href the last page wins, the newest `limit` stay.
 
-    A batch reads the version before it and writes its own, so a batch that runs again gives the same version.
+    Batch n reads version n - 1 and writes version n, so a batch that runs
+    again gives the same version, and a query that starts again from its
+    checkpoint goes on with the list it had.
     """
     spark = stream.sparkSession
-    schema = "href string, page_id long, pos long, first_seen long"
-    versions: list[str] = []
 
     def upsert(batch: DataFrame, number: int) -> None:
-        found = batch.select(F.posexplode(t.hrefs(F.col("html"))).alias("pos", "href"), "page_id").withColumn("seq", F.col("page_id") * 100000 + F.col("pos"))
-        new = last_by(found, "href", F.col("seq"), ["page_id", "pos"])
-        before = [v for v in versions if v != f"{to}/v{number}"]
-        if before:
-            old = batch.sparkSession.read.schema(schema).parquet(before[-1])
-            both = old.select("href", "page_id", "pos", "first_seen").unionByName(new.select("href", "page_id", F.col("pos").cast("long").alias("pos"), "first_seen"))
-            new = both.groupBy("href").agg(F.max_by(F.struct("page_id", "pos"), F.struct("page_id", "pos")).alias("v"), F.min("first_seen").alias("first_seen")).select("href", "v.*", "first_seen")
-        kept = new.select("href", "page_id", F.col("pos").cast("long").alias("pos"), "first_seen").orderBy(F.desc("page_id"), "first_seen").limit(limit)
-        kept.write.mode("overwrite").parquet(f"{to}/v{number}")
-        versions[:] = [*before, f"{to}/v{number}"]
+        found = batch.select("page_id", F.posexplode(t.hrefs(F.col("html"))).alias("pos", "href"))
+        place = F.struct("page_id", F.col("pos").cast("long").alias("pos"))
+        new = found.select("href", place.alias("last"), place.alias("first_seen"))
+        if number:
+            old = batch.sparkSession.read.schema(LATEST).parquet(f"{to}/version={number - 1}")
+            new = new.unionByName(old.select("href", F.struct("page_id", "pos").alias("last"), "first_seen"))
+        kept = new.groupBy("href").agg(F.max("last").alias("last"), F.min("first_seen").alias("first_seen")).select("href", "last.*", "first_seen")
+        kept.orderBy(F.desc("page_id"), "first_seen").limit(limit).write.mode("overwrite").parquet(f"{to}/version={number}")
 
     stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{to}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(versions[-1]) if versions else spark.createDataFrame([], schema)
+    every = spark.read.schema(f"{LATEST}, version int").parquet(to)
+    newest = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == F.lit(newest)).drop("version")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:

@@ -94,6 +94,35 @@ def test_chains_end_and_cycles_stop(spark):
     edges = spark.createDataFrame([(1, 1), (2, 1), (4, 2), (8, 4)], "a int, b int")
     got = {r.a: (r.final, r.steps) for r in reports.follow(edges, "a", "b").collect()}
     assert got == {1: (1, 0), 2: (1, 1), 4: (1, 2), 8: (1, 3)}
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2)], "a int, b int")
+    assert {r.a: (r.final, r.steps) for r in reports.follow(ring, "a", "b").collect()} == {1: (2, 4), 2: (2, 3), 3: (3, 3), 4: (4, 3)}
+    long = spark.createDataFrame([(k, k + 1) for k in range(25)], "a int, b int")
+    assert {r.a: (r.final, r.steps) for r in reports.follow(long, "a", "b").collect()}[3] == (18, 15)
+
+
+def test_boxes_of_blocks(spark):
+    """Margins of 100, content height 800: blocks without height take 1, a page with a block has no room for a full one, tall blocks go on."""
+    rows = spark.createDataFrame([(1, 0, 0), (1, 1, 800), (2, 0, 1800), (2, 1, 700), (3, 0, None)], "k int, i int, h int")
+    got = sorted((r.k, r.i, r.page, r.y, r.fragment, r.fragments, r.source_start, r.visible_height) for r in flow.layout_boxes(rows, "k", "i", "h", 1000, top=100, bottom=100).collect())
+    assert got == [(1, 0, 0, 100, 0, 1, 0, 1), (1, 1, 1, 100, 0, 1, 0, 800), (2, 0, 0, 100, 0, 3, 0, 800), (2, 0, 1, 100, 1, 3, 800, 800), (2, 0, 2, 100, 2, 3, 1600, 200), (2, 1, 3, 100, 0, 1, 0, 700), (3, 0, 0, 100, 0, 1, 0, 1)]
+
+
+def test_large_groups_stream(spark):
+    rows = spark.range(300_000).select(F.lit(1).alias("k"), F.col("id").alias("i"), (F.col("id") % 3).alias("w"))
+    assert flow.paginate(rows, "k", "i", "w", 4).agg(F.max("page"), F.count("*")).first()[:] == (99_999, 300_000)
+
+
+def test_the_latest_links_survive_a_restart(spark, tmp_path):
+    from paperloom.streaming import links
+
+    schema = "page_id long, html string"
+    page = lambda k, *hrefs: spark.createDataFrame([(k, "".join(f'<a href="{h}">' for h in hrefs))], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: sorted((r.href, r.page_id, r.pos) for r in links.keep_latest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), 3).collect())
+    page(1, "a", "b")
+    assert run() == [("a", 1, 0), ("b", 1, 1)]
+    page(2, "c", "b")
+    assert run() == [("a", 1, 0), ("b", 2, 1), ("c", 2, 0)]
+    assert run() == [("a", 1, 0), ("b", 2, 1), ("c", 2, 0)]
 
 
 def test_upsert_keeps_the_last_and_the_first_place(spark):
