@@ -16,6 +16,21 @@ def test_same_as_sql(spark, name):
     assert difference(spark, connect(SF), SF, QUERIES[name], ORACLES[name]) is None
 
 
+def test_stages_take_nulls_repeats_and_no_rows(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, None, None, None, None), (None, text, "en", None, 9), (1, text, None, "s", None), (1, text, "en", "s", 3), (2, "", "en", "s", 0), (3, f"other words here {text}", "en", "s", 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {"toxicity": 7, "ngram_jaccard": 4, "substring_dedup": 4}
+    for some in (docs, docs.limit(0)):
+        now = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = save(stage(spark, now, SF), name)
+            assert now.columns == docs.columns
+            assert now.count() == (left.get(name, now.count()) if some is docs else 0)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+        assert pieces.count() == now.count()
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
