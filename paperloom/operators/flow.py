@@ -31,15 +31,19 @@ def line_weight(text: Column) -> Column:
     return F.least(F.lit(30), F.greatest(F.lit(1), F.ceil(t.utf16_length(text) / 120))).cast("int")
 
 
-def _streamed(rows: DataFrame, key: str, by: list[str], start, step, names: dict[str, str]) -> DataFrame:
+_KINDS = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "string": (T.StringType(), pa.string())}
+
+
+def _streamed(rows: DataFrame, key: str, by: list[str], start, step, names: dict[str, str], gathered: bool = False) -> DataFrame:
     """rows with the columns names that step makes of each group's rows in order.
 
     step(state, values of by) gives the next state and the rows that stand for
     this one, as tuples of the new columns; start is a group's first state. The rows of a
     group stream through one task, which holds a batch of them and the state.
+    gathered says that a window over key has brought the groups together already.
     """
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, {"long": T.LongType(), "int": T.IntegerType()}[t]) for n, t in names.items()]])
-    kinds = [pa.int64() if t == "long" else pa.int32() for t in names.values()]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, _KINDS[t][0]) for n, t in names.items()]])
+    kinds = [_KINDS[t][1] for t in names.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), start
@@ -54,7 +58,7 @@ def _streamed(rows: DataFrame, key: str, by: list[str], start, step, names: dict
             columns = zip(*made) if made else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, *(pa.array(c, t) for c, t in zip(columns, kinds))], [*batch.schema.names, *names])
 
-    return rows.repartition(key).sortWithinPartitions(key, *by).mapInArrow(run, schema)
+    return (rows if gathered else rows.repartition(key)).sortWithinPartitions(key, *by).mapInArrow(run, schema)
 
 
 def paginate(rows: DataFrame, key: str, order: str, weight: str, budget: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -109,6 +113,86 @@ def split_rows(rows: DataFrame, key: str, order: str, weight: str, budget: int)
     return both.withColumn("position", F.row_number().over(W.partitionBy(key, "chunk").orderBy(F.desc("repeated"), order)) - 1)
 
 
+def table_chunks(rows: DataFrame, key: str, order: str, weight: str, span: str, budget: int, strict: bool = False, headers: int = 0) -> DataFrame:
+    """Chunks of tables that break only where no cell reaches on: (key, chunk, position, row, repeated).
+
+    A chunk ends at its last safe break once it weighs the budget; strict also
+    ends it there before a row that would pass the budget. Without a safe break
+    it goes on. Rows are numbered from 0 in each table; the first so many head
+    rows are repeated on top of chunks that start below them. The task holds the
+    weights of one open chunk.
+    """
+    by = W.partitionBy(key).orderBy(order, "_w", "_span")
+    placed = rows.select(key, order, F.greatest(F.lit(1), F.col(weight)).cast("long").alias("_w"), F.col(span).cast("long").alias("_span")).withColumn("_n", F.row_number().over(by).cast("long") - 1)
+    reach = F.max(F.col("_n") + F.col("_span") - 1).over(W.partitionBy(key).orderBy("_n").rowsBetween(W.unboundedPreceding, 0))
+    placed = placed.withColumn("_safe", reach <= F.col("_n")).withColumn("_last", F.lead("_n").over(W.partitionBy(key).orderBy("_n")).isNull())
+
+    def step(state, _, w, safe, last):
+        chunk, first, held, at, total, cut = state or (0, 0, [], 0, 0, 0)
+        held.append((w, safe))
+        out, size = [], 0
+        while held:
+            while at < len(held) and not size:
+                w, safe = held[at]
+                if strict and cut and total and total + w > budget:
+                    size = cut
+                    break
+                at, total = at + 1, total + w
+                cut = at if safe else cut
+                size = cut if total >= budget else 0
+            if not size and not last:
+                break
+            size = size or len(held)
+            shown = [(r, 1) for r in range(headers if first >= headers else 0)] + [(r, 0) for r in range(first, first + size)]
+            out += [(chunk, p, r, again) for p, (r, again) in enumerate(shown)]
+            chunk, first, held, at, total, cut, size = chunk + 1, first + size, held[size:], 0, 0, 0, 0
+        return (chunk, first, held, at, total, cut), out
+
+    made = _streamed(placed.select(key, "_n", "_w", "_safe", "_last"), key, ["_n", "_w", "_safe", "_last"], None, step, {"chunk": "long", "position": "long", "row": "long", "repeated": "int"}, gathered=True)
+    return made.select(key, "chunk", "position", "row", "repeated")
+
+
+def fragments(rows: DataFrame, key: str, order: str, weight: str, wanted: str) -> DataFrame:
+    """Paragraphs in about so many fragments of equal weight: (key, order, fragment from 0).
+
+    A fragment closes before a paragraph that would pass an equal share, unless
+    it is the last one or fewer paragraphs than fragments would be left.
+    """
+    w = W.partitionBy(key)
+    placed = rows.select(key, F.col(order).cast("long").alias(order), F.greatest(F.lit(1), F.col(weight)).cast("long").alias("_w"), F.greatest(F.lit(1), F.col(wanted)).cast("long").alias("_k"))
+    placed = placed.withColumn("_rows", F.count("*").over(w)).withColumn("_share", F.ceil(F.sum("_w").over(w) / F.col("_k")))
+
+    def step(state, _, weight, wanted, rows, share):
+        seen, fragment, used = state
+        if used and fragment < wanted - 1 and used + weight > share and rows - seen >= wanted - fragment:
+            fragment, used = fragment + 1, 0
+        return (seen + 1, fragment, used + weight), [(fragment,)]
+
+    return _streamed(placed, key, [order, "_w", "_k", "_rows", "_share"], (0, 0, 0), step, {"fragment": "long"}, gathered=True).select(key, order, "fragment")
+
+
+def list_markers(rows: DataFrame, key: str, order: str, kind: str, list_id: str, level: str, start: str, form: str) -> DataFrame:
+    """rows with marker: the bullet in form, or the number that a (kind, list) of the key has come to.
+
+    A deeper level starts anew when one above it goes on. In form ^n stands for
+    the numbers of all levels, ^N for them and a point, ^^ for ^; without one
+    the number of the level and a point.
+    """
+    group = F.to_json(F.struct(key, kind, list_id))
+    placed = rows.withColumn("_group", group).withColumn("_level", F.greatest(F.lit(1), F.coalesce(level, F.lit(1))).cast("int")).withColumn("_start", F.greatest(F.lit(1), F.coalesce(start, F.lit(1))).cast("long"))
+
+    def step(state, _, level, start, form):
+        counters = [*state[:level], *[None] * (level - len(state))]
+        counters[-1] = max(start, (counters[-1] or start - 1) + 1)
+        return counters, [(counters[-1], ".".join("" if c is None else str(c) for c in counters))]
+
+    made = _streamed(placed, "_group", [order, "_level", "_start", form], [], step, {"_value": "long", "_joined": "string"})
+    said, plain = F.trim(F.coalesce(form, F.lit(""))), F.concat(F.col("_value").cast("string"), F.lit("."))
+    filled = F.replace(F.replace(F.replace(said, F.lit("^N"), F.concat("_joined", F.lit("."))), F.lit("^n"), F.col("_joined")), F.lit("^^"), F.lit("^"))
+    filled = F.coalesce(F.nullif(F.trim(filled), F.lit("")), plain)
+    return made.withColumn("marker", F.when(F.col(kind) == "bullet", F.coalesce(F.nullif(said, F.lit("")), F.lit("•"))).otherwise(filled)).select(*rows.columns, "marker")
+
+
 def safe_breaks(cells: DataFrame, key: str, row: str, span: str) -> DataFrame:
     """Rows after which no cell reaches on: (key, row)."""
     reach = F.max(F.col(row) + F.col(span) - 1).over(W.partitionBy(key).orderBy(row).rangeBetween(W.unboundedPreceding, 0))

@@ -34,6 +34,13 @@ def rule_list(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]))
 
 
+def first_key_match(rows: DataFrame, row: str, keys: Column, others: DataFrame, other: str, other_keys: Column) -> DataFrame:
+    """(row, other): the other that the first known key of each row leads to, else null. Of others with the same key the least counts. Keys are arrays of text; empty and null ones lead nowhere."""
+    index = others.select(other, F.explode(other_keys).alias("_key")).where("_key <> ''").groupBy("_key").agg(F.min(other).alias(other))
+    found = rows.select(row, F.posexplode(keys).alias("_n", "_key")).join(index, "_key").groupBy(row).agg(F.min_by(other, "_n").alias(other))
+    return rows.select(row).join(found, row, "left")
+
+
 def last_by(rows: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:
     """Upsert: the last version of each key, with its first place."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_v"), F.min(order).alias("first_seen")).select(key, "_v.*", "first_seen")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import codes, live, pages, reports, runs, web
+from paperloom.plans import checks, codes, live, pages, reports, runs, web
 
-QUERIES = {k: f for m in (pages, runs, reports, web, codes, live) for k, f in m.QUERIES.items()}
-ORACLES = {k: s for m in (pages, runs, reports, web, codes, live) for k, s in m.ORACLES.items()}
+QUERIES = {k: f for m in (pages, runs, reports, web, codes, checks, live) for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in (pages, runs, reports, web, codes, checks, live) for k, s in m.ORACLES.items()}

@@ -134,3 +134,41 @@ def test_upsert_keeps_the_last_and_the_first_place(spark):
 def test_formats(spark):
     rows = spark.createDataFrame([(b"PK\x03\x04x", "a.bin"), (b"\xef\xbb\xbf\n<a/>", "a"), (b"zz", "b.TXT"), (b"", "none")], "c binary, p string")
     assert [r[0] for r in rows.select(tables.container_format(F.col("c"), F.col("p"))).collect()] == ["zip", "xml", "txt", ""]
+
+
+def markers(spark, *rows):
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "d long, n long, kind string, list string, level int, start int, form string")
+    return [r.marker for r in flow.list_markers(df, "d", "n", "kind", "list", "level", "start", "form").orderBy("n").collect()]
+
+
+def test_list_markers_count_by_kind_and_list(spark):
+    assert markers(spark, ("n", "1", 1, 1, None), ("n", "1", 2, 1, "^n)"), ("n", "2", 1, 3, ""), ("n", "1", 2, 1, "^N"), ("n", "1", 1, 1, "^n^^"), ("n", "1", 2, 1, "^n")) == ["1.", "1.1)", "3.", "1.2.", "2^", "2.1"]
+    assert markers(spark, ("bullet", "1", 1, 1, " - "), ("bullet", "1", 1, 1, None), ("n", None, None, None, None)) == ["-", "•", "1."]
+
+
+def chunks(spark, rows, **more):
+    df = spark.createDataFrame([(1, i, w, s) for i, (w, s) in enumerate(rows)], "t long, r long, w long, s long")
+    found = {}
+    for r in flow.table_chunks(df, "t", "r", "w", "s", 4, **more).orderBy("chunk", "position").collect():
+        found.setdefault(r.chunk, []).append(r.row)
+    return list(found.values())
+
+
+def test_tables_break_where_no_cell_reaches_on(spark):
+    assert chunks(spark, [(2, 1), (1, 1), (3, 1), (2, 1)]) == [[0, 1, 2], [3]]
+    assert chunks(spark, [(2, 1), (1, 1), (3, 1), (2, 1)], strict=True) == [[0, 1], [2], [3]]
+    assert chunks(spark, [(2, 3), (2, 1), (2, 1), (2, 1)], strict=True) == [[0, 1, 2], [3]]
+    assert chunks(spark, [(4, 1), (1, 3), (4, 1), (4, 1)], headers=1) == [[0], [0, 1, 2, 3]]
+    assert chunks(spark, []) == []
+
+
+def test_fragments_keep_a_paragraph_for_each(spark):
+    df = spark.createDataFrame([(1, i, w, 3) for i, w in enumerate([5, 1, 1, 1, 1])] + [(2, 0, 9, 4)], "d long, n long, w long, k int")
+    got = [(r.d, r.fragment) for r in flow.fragments(df, "d", "n", "w", "k").orderBy("d", "n").collect()]
+    assert got == [(1, 0), (1, 1), (1, 1), (1, 1), (1, 1), (2, 0)]
+
+
+def test_first_key_that_any_audit_has(spark):
+    rows = spark.createDataFrame([(1, ["x", "a"]), (2, ["", None]), (3, ["b", "a"])], "r long, k array<string>")
+    others = spark.createDataFrame([(7, ["a"]), (5, ["a", "c"]), (9, ["b"])], "o long, j array<string>")
+    assert sorted(tuple(r) for r in reports.first_key_match(rows, "r", F.col("k"), others, "o", F.col("j")).collect()) == [(1, 5), (2, None), (3, 9)]
