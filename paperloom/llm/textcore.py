@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once, and bytes of a word that the polynomial hash takes.
-SPAN, LONG = 1 << 21, 64
+SPAN, LONG = 1 << 20, 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -58,6 +58,19 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+#: What a worker keeps from task to task, by the operator that made it.
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What earlier tasks of an operator left in this worker. What other operators left is dropped, and unused memory goes back to the system."""
+    for other in [k for k in _kept if k != operator]:
+        del _kept[other]
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+    return _kept.setdefault(operator, {})
+
+
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (rows + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

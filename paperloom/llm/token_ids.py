@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.llm.store import path
-from paperloom.llm.textcore import raw, spans
+from paperloom.llm.textcore import kept, raw, spans
 
 END = 2
 #: Words after which a worker forgets those it hasn't met since the last time.
@@ -119,13 +119,11 @@ class WordIds:
         return out
 
 
-_open: dict[str, WordIds] = {}
-
-
 def word_ids(file: str) -> WordIds:
-    if file not in _open:
-        _open[file] = WordIds(file)
-    return _open[file]
+    known = kept("token_ids")
+    if file not in known:
+        known[file] = WordIds(file)
+    return known[file]
 
 
 def _pieces(text: bytes) -> list[bytes]:

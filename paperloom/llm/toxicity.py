@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm.store import save
-from paperloom.llm.textcore import LOWER, raw, spans
+from paperloom.llm.textcore import LOWER, kept, raw, spans
 
 #: Labelled rows that class counts take: about so many bytes of text and never more rows; of more a share by hash.
 LABELLED_BYTES, LABELLED = 32 << 20, 1_000_000
@@ -92,6 +92,7 @@ def _class_counts(known):
         return pa.RecordBatch.from_arrays([pa.array(key >> 2), pa.array((key & 3).astype(np.int32)), pa.array(n)], ["gram", "class", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         keys, classes = known.value
         held, size = [], 0
         for batch in batches:
@@ -117,6 +118,7 @@ def _class_counts(known):
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct grams of a partition of texts."""
+    kept("toxicity")
     held, size = [], 0
     for batch in batches:
         data, offsets = raw(batch.column(0))
@@ -206,6 +208,7 @@ def _evidence(model, text: int):
     """Rows, whole, with the evidence of their column text."""
 
     def run(batches):
+        kept("toxicity")
         for batch in batches:
             data, at = raw(batch.column(text))
             parts = [model.value.evidence(data, at[lo : hi + 1]) for lo, hi in spans(at)]
@@ -219,6 +222,7 @@ def _sampled(model, wanted):
     """(label, evidence) of the rows whose key is wanted."""
 
     def run(batches):
+        kept("toxicity")
         keys, labels = wanted.value
         for batch in batches:
             at, there = _places(batch.column(1).to_numpy(), keys)
