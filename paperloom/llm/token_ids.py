@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from paperloom.llm.textcore import kept, raw, spans
 
 END = 2
 #: Words after which a worker forgets those it hasn't met since the last time.
-REMEMBERED = 250_000
+REMEMBERED = 450_000
 #: Text bytes taken at once.
 GROUP = 1 << 20
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -66,25 +67,48 @@ class WordIds:
         self.new: dict[bytes, bytes] = {}  # words of late
         self.old: dict[bytes, bytes] = {}  # words from before; what is met again moves to new
         self.one = self._plain("1")
+        tokens = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(tokens.values()) + 1, bool)  # ids that end a run of letters, digits or signs
+        self.last[[k for t, k in tokens.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _store(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        flat = ids.tobytes()
+        self.new.update((w, flat[lo:hi]) for w, lo, hi in zip(words, (4 * starts).tolist(), (4 * ends).tolist()))
+
+    def _learn_letters(self, words: list[bytes]) -> bool:
+        """Encodes words of letters in one call. Each has an id that ends a run, and one only if there are as many as words."""
+        ids = self._ids(b" ".join(words).decode())
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return False
+        self._store(words, ids, np.concatenate(([0], ends[:-1])), ends)
+        return True
+
     def _learn(self, words: set[bytes]) -> None:
-        """Encodes words in one call, parted by the digit 1, whose id no word without that digit has."""
-        alone = [w for w in words if b"1" in w or b"<|" in w]
+        """Encodes words in few calls: those of letters, then the rest parted by the digit 1, whose id no word without that digit has."""
+        if not words:
+            return
+        known = list(words)
+        letters = [w for w, t in zip(known, b" ".join(known).decode().split(" ")) if t.isalpha()]
+        if letters and self._learn_letters(letters):
+            known = list(words.difference(letters))
+        alone = [w for w in known if b"1" in w or b"<|" in w]
         for w in alone:
             self.new[w] = self._plain(w.decode())
-        rest = list(words.difference(alone))
+        rest = list(set(known).difference(alone))
         if rest:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" 1 ".join(rest).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = self._ids(b" 1 ".join(rest).decode())
             cut = np.flatnonzero(ids == np.frombuffer(self.one, "<u4")[0])
             if len(self.one) != 4 or len(cut) != len(rest) - 1:  # not with this vocabulary
                 self.new |= {w: self._plain(w.decode()) for w in rest}
                 return
-            flat = ids.tobytes()
-            for w, lo, hi in zip(rest, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
-                self.new[w] = flat[4 * lo : 4 * hi]
+            self._store(rest, ids, np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(ids)])))
 
     def _recall(self, words: set[bytes]) -> set[bytes]:
         """What neither generation has; words of the old one move."""
@@ -94,11 +118,11 @@ class WordIds:
             self.new[w] = self.old[w]
         return unknown
 
-    def _meet(self, words: set[bytes]) -> None:
-        missing = self._recall(words)
+    def _meet(self, missing: set[bytes]) -> None:
+        """Learns words that new lacks."""
         ends: dict[bytes, bytes] = {}
         unknown: set[bytes] = set()
-        for w in missing:
+        for w in self._recall(missing):
             core = w.rstrip(b".,!?;:")
             if core != w and core and core[-1:].isalnum() and b"<|" not in w:
                 ends[w] = core  # letters and digits end where punctuation begins
@@ -109,14 +133,31 @@ class WordIds:
         for w, core in ends.items():
             self.new[w] = self.new[core] + self.new[w[len(core) :]]
 
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.new.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            self._meet({words[k] for k in missing})
+            for k in missing:
+                found[k] = self.new[words[k]]
+        return found
+
     def texts(self, texts: list[bytes]) -> list[bytes]:
+        """Words are told apart and numbered by Arrow, so only distinct ones are looked up."""
         # lower case as the tokenizer makes it, but not where that could spell a special token
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self._meet(set().union(*words))
-        out = [b"".join(map(self.new.__getitem__, w)) for w in words]
+        lower = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.binary()).view(pa.string())
+        words = pc.ascii_split_whitespace(lower)
+        named = words.values.dictionary_encode()
+        parts = self._of(named.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids, word = np.frombuffer(b"".join(parts), "<u4"), named.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[word])))
+        shift = (np.cumsum(sizes) - sizes)[word] - ends[:-1]  # from places in the output to those in ids
+        flat = ids[np.arange(ends[-1]) + np.repeat(shift, sizes[word])].tobytes()
+        at = (4 * ends[words.offsets.to_numpy()]).tolist()
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        return out
+        return [flat[lo:hi] for lo, hi in zip(at, at[1:])]
 
 
 def word_ids(file: str) -> WordIds:
