@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import embed_dedup, jaccard, mixing, packing, sharding, substring, token_ids, topk, toxicity, url_filter
+from paperloom.llm import embed_dedup, jaccard, lexical, mixing, packing, sharding, substring, token_ids, topk, toxicity, url_filter
 from paperloom.llm.store import table
 
 
@@ -54,11 +54,16 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_exact_topk, op5_packing, op6_embedding_dedup, op7_sharding, op8_token_ids, op9_mixing, op10_ngram_jaccard)
+    f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_exact_topk, op5_packing, op6_embedding_dedup, op7_sharding, op8_token_ids, op9_mixing, op10_ngram_jaccard, op13_lexical_search)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _REACH = """reach AS (SELECT id AS node, id AS other FROM ids UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
 component AS (SELECT node, min(other) AS component_id FROM reach GROUP BY 1)"""
 
@@ -86,4 +91,12 @@ ORACLES: dict[str, str] = {
         o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), ids AS (SELECT doc_id AS id FROM documents), {_REACH}
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN component ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op13_lexical_search": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM documents),
+        i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM benchmark),
+        d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY 1, 2),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, a GROUP BY term, docs),
+        p AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))) AS part FROM f JOIN d USING (doc_id) JOIN w USING (term), a),
+        s AS (SELECT item_id, doc_id, sum(c * part)::BIGINT AS score FROM (SELECT item_id, term, count(*) AS c FROM i GROUP BY 1, 2) JOIN p USING (term) GROUP BY 1, 2)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
