@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import embed_dedup, jaccard, lexical, mixing, packing, sharding, substring, token_ids, topk, toxicity, url_filter
+from paperloom.llm import embed_dedup, jaccard, lexical, mixing, packing, periodic, sharding, substring, token_ids, topk, toxicity, url_filter
 from paperloom.llm.store import table
 
 
@@ -54,12 +54,31 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """The contract's periodic tails: where crc32(doc_id) is divisible by 10 words from a place on repeat those of a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = docs.select("doc_id", "text", (h / 10).cast("long").alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
+    placed = split.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    placed = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    whole = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), cast((n - a + p - 1) div p as int))), 1, n - a)), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, whole).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_planted(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    found = found.withColumn("n_runs", F.size("runs").cast("long")).withColumn("longest", longest)
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    start, period = -F.col("longest.before"), -F.col("longest.shorter")
+    return found.select("doc_id", "n_runs", start.alias("start"), F.col("longest.length").alias("length"), period.alias("period"), F.expr("1000 * longest.length div -longest.shorter").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.col("digest").alias("collapsed_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_exact_topk, op5_packing, op6_embedding_dedup, op7_sharding, op8_token_ids, op9_mixing, op10_ngram_jaccard, op13_lexical_search)
+    f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_exact_topk, op5_packing, op6_embedding_dedup, op7_sharding, op8_token_ids, op9_mixing, op10_ngram_jaccard, op11_periodic_runs, op13_lexical_search)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -91,6 +110,19 @@ ORACLES: dict[str, str] = {
         o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         links AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), ids AS (SELECT doc_id AS id FROM documents), {_REACH}
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d JOIN component ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_periodic_runs": f"""WITH o AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS o,
+            xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT), 4294967295) AS h FROM documents),
+        a AS (SELECT *, len(o) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a FROM o),
+        d AS (SELECT doc_id, n, list_transform(range(n), lambda i: o[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) AS w FROM a),
+        k AS (SELECT doc_id, n, w[i + 1] AS word, i, CASE WHEN i + 5 <= n THEN array_to_string(w[i + 1:i + 5], ' ') END AS g FROM (SELECT doc_id, n, w, unnest(range(n)) AS i FROM d)),
+        e AS (SELECT x.doc_id, y.i - x.i AS period, x.i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        s AS (SELECT doc_id, period, min(i) AS start, count(*) + 4 + period AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS part FROM e) GROUP BY doc_id, period, part HAVING count(*) + 4 + period >= greatest(6, 4 * period)),
+        r AS (SELECT * FROM s QUALIFY period = min(period) OVER (PARTITION BY doc_id, start, length)),
+        m AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+        b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+        z AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM k ANTI JOIN z USING (doc_id, i) GROUP BY 1)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op13_lexical_search": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM documents),
         i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM benchmark),
         d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
