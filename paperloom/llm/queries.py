@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import embed_dedup, jaccard, lexical, mixing, packing, periodic, sharding, substring, token_ids, topk, toxicity, url_filter
+from paperloom.llm import conv_quality, embed_dedup, jaccard, lexical, mixing, packing, periodic, sharding, substring, token_ids, topk, toxicity, url_filter
 from paperloom.llm.store import table
 
 
@@ -73,12 +73,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", start.alias("start"), F.col("longest.length").alias("length"), period.alias("period"), F.expr("1000 * longest.length div -longest.shorter").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.col("digest").alias("collapsed_sha256"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conv_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_exact_topk, op5_packing, op6_embedding_dedup, op7_sharding, op8_token_ids, op9_mixing, op10_ngram_jaccard, op11_periodic_runs, op13_lexical_search)
+    f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_exact_topk, op5_packing, op6_embedding_dedup, op7_sharding, op8_token_ids, op9_mixing, op10_ngram_jaccard, op11_periodic_runs, op12_quality, op13_lexical_search)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
