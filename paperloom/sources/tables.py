@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +44,22 @@ def container_format(content: Column, path: Column) -> Column:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the session's shared checkpoint folder; below a temporary one where none is set, as in tests."""
+    """A new folder name below the session's shared checkpoint folder; below a temporary one, then the session's setting, where none is set and all runs in this process, as in tests."""
     import tempfile
     import uuid
 
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(found)
     return f"{found.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to a folder of its own in the shared folder and read again: later plans start from files that outlive any executor."""
+    to = scratch(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
