@@ -2,8 +2,7 @@
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. Texts are never
 decoded: word boundaries come from a byte table and each word gets a 64-bit
-hash, all in array operations whose temporaries are bounded by SPAN bytes
-plus one word. Words of over LONG bytes are hashed by blake2b: a polynomial
+hash, all in array operations whose temporaries are bounded by SPAN bytes. Words of over LONG bytes are hashed by blake2b: a polynomial
 modulo 2^64 can't tell some long words apart (Thue-Morse words).
 """
 
@@ -53,7 +52,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             one.append(np.multiply.accumulate(p))
         if n > 2 * SPAN:
-            return one[0], one[1]  # for one huge word only; not kept
+            return one[0], one[1]  # for one long text only; not kept
         _powers = one[0], one[1]
     return _powers
 
@@ -101,23 +100,35 @@ class Words:
         buf = data[offsets[0] : offsets[-1]]
         self.buf = LOWER[buf] if lower else buf
         at = offsets - offsets[0]
-        n = len(buf)
-        solid = ~gaps[buf]
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:], after[:-1] = solid[:-1], solid[1:]
-        full = at[1:] > at[:-1]
-        before[at[:-1][full]] = False
-        after[at[1:][full] - 1] = False
-        self.start = np.flatnonzero(solid & ~before)
-        self.end = np.flatnonzero(solid & ~after) + 1
+        kind = np.int32 if len(buf) < 1 << 31 else np.int64
+        edges = np.unique(at[1:][at[1:] > at[:-1]])  # where texts end
+        starts, ends = [], []
+        for lo in range(0, len(buf), SPAN):  # a text of any length, with temporaries of a part of it
+            hi = min(len(buf), lo + SPAN)
+            solid = np.zeros(hi - lo + 2, bool)  # with a byte on either side
+            a, b = max(0, lo - 1), min(len(buf), hi + 1)
+            solid[a - lo + 1 : b - lo + 1] = ~gaps[buf[a:b]]
+            before, after = solid[:-2].copy(), solid[2:].copy()
+            edge = edges[np.searchsorted(edges, lo) : np.searchsorted(edges, hi, "right")] - lo
+            before[edge[edge < hi - lo]] = False
+            after[edge[edge > 0] - 1] = False
+            starts.append((np.flatnonzero(solid[1:-1] & ~before) + lo).astype(kind))
+            ends.append((np.flatnonzero(solid[1:-1] & ~after) + lo + 1).astype(kind))
+        none = np.zeros(0, kind)
+        self.start = np.concatenate(starts) if starts else none
+        del starts
+        self.end = np.concatenate(ends) if ends else none
         self.first = np.searchsorted(self.start, at)
 
     def hashes(self) -> np.ndarray:
         out = np.empty(len(self.start), np.uint64)
         lo = 0
         while lo < len(out):
-            base = self.start[lo]
+            base = int(self.start[lo])
             hi = max(lo + 1, int(np.searchsorted(self.end, base + SPAN, "right")))
+            if self.end[lo] - base > SPAN:  # one word, below
+                lo = hi
+                continue
             part = self.buf[base : self.end[hi - 1]]
             up, down = _power(len(part))
             total = np.zeros(len(part) + 1, np.uint64)
@@ -125,9 +136,10 @@ class Words:
             s, e = self.start[lo:hi] - base, self.end[lo:hi] - base
             out[lo:hi] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
             lo = hi
-        out = mix(out)
+        for lo in range(0, len(out), SPAN):
+            out[lo : lo + SPAN] = mix(out[lo : lo + SPAN])
         for k in np.flatnonzero(self.end - self.start > LONG).tolist():
-            out[k] = int.from_bytes(blake2b(self.buf[self.start[k] : self.end[k]].tobytes(), digest_size=8).digest(), "little")
+            out[k] = int.from_bytes(blake2b(self.buf[self.start[k] : self.end[k]], digest_size=8).digest(), "little")
         return out
 
 
@@ -135,9 +147,12 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive words, one for each start (across rows too)."""
     size = max(0, len(h) - n + 1)
     out = np.zeros(size, np.uint64)
-    for k in range(n):
-        out += h[k : k + size] * _PLACE[k]
-    return mix(out)
+    for lo in range(0, size, SPAN):
+        part = out[lo : lo + SPAN]
+        for k in range(n):
+            part += h[lo + k : lo + k + len(part)] * _PLACE[k]
+        out[lo : lo + SPAN] = mix(part)
+    return out
 
 
 def distinct(h: np.ndarray) -> np.ndarray:
@@ -151,10 +166,16 @@ def shingle_sets(column, n: int = 5, lower: bool = True) -> Iterator[np.ndarray]
     data, at = raw(column)
     for lo, hi in spans(at):
         w = Words(data, at[lo : hi + 1], lower)
-        h = w.hashes()
+        first, h = w.first, w.hashes()
+        del w
+        if hi - lo == 1 and len(h) > SPAN:
+            h = grams(h, n)
+            h.sort()
+            yield h[np.concatenate(([True], h[1:] != h[:-1]))]
+            continue
         g = grams(h, n)
         for i in range(hi - lo):
-            a, b = w.first[i], w.first[i + 1]
+            a, b = first[i], first[i + 1]
             if b - a >= n:
                 yield distinct(g[a : b - n + 1])
             elif b > a:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm.store import save
-from paperloom.llm.textcore import LOWER, kept, raw, spans
+from paperloom.llm.textcore import LOWER, SPAN, kept, raw, spans
 
 #: Labelled rows that class counts take: about so many bytes of text and never more rows; of more a share by hash.
 LABELLED_BYTES, LABELLED = 32 << 20, 1_000_000
@@ -71,6 +71,34 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key, first
 
 
+def walked(data: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
+    """The grams of one text, SPAN bytes of it at a time."""
+    held, gapped = np.full(ORDER - 1, 32, np.int64), False  # the symbols before, and whether the byte before was a gap
+    for lo in range(start, end, SPAN):
+        buf = LOWER[data[lo : min(end, lo + SPAN)]]
+        gap = GAPS[buf]
+        keep = ~gap
+        keep[1:] |= ~gap[:-1]
+        keep[0] |= not gapped
+        symbol = np.concatenate((held, np.where(gap, 32, buf)[keep]))
+        key = symbol[ORDER - 1 :].copy()
+        for k in range(1, ORDER):
+            key |= symbol[ORDER - 1 - k : len(symbol) - k] << 8 * k
+        held, gapped = symbol[len(symbol) - ORDER + 1 :], bool(gap[-1])
+        yield key
+
+
+def distinct_of(data: np.ndarray, start: int, end: int) -> np.ndarray:
+    """The distinct grams of one long text."""
+    out, held, size = np.zeros(0, np.int64), [], 0
+    for key in walked(data, start, end):
+        held.append(np.unique(key))
+        size += len(held[-1])
+        if size > max(FLUSH, len(out)):
+            out, held, size = np.unique(np.concatenate([out, *held])), [], 0
+    return np.unique(np.concatenate([out, *held]))
+
+
 def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     for lo, hi in spans(offsets):
         for a in range(lo, hi, ROWS):
@@ -102,6 +130,10 @@ def _class_counts(known):
             labels = classes[at[there]]
             data, offsets = raw(batch.column(0).filter(pa.array(there)))
             for lo, hi in pieces(offsets):
+                if offsets[hi] - offsets[lo] > SPAN:
+                    held.append(distinct_of(data, int(offsets[lo]), int(offsets[hi])) << 2 | labels[lo])
+                    size += len(held[-1])
+                    continue
                 gram, first = grams(data, offsets[lo : hi + 1])
                 row = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(first))
                 once = np.unique(gram.view(np.uint64) | row << np.uint64(8 * ORDER))
@@ -123,7 +155,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = raw(batch.column(0))
         for lo, hi in pieces(offsets):
-            held.append(np.unique(grams(data, offsets[lo : hi + 1])[0]))
+            long = offsets[hi] - offsets[lo] > SPAN
+            held.append(distinct_of(data, int(offsets[lo]), int(offsets[hi])) if long else np.unique(grams(data, offsets[lo : hi + 1])[0]))
             size += len(held[-1])
             if size > FLUSH:
                 held = [np.unique(np.concatenate(held))]
@@ -188,9 +221,12 @@ class Model:
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each row the log-likelihood ratio a byte: of the text, then of its densest passage of each size."""
-        gram, first = grams(data, offsets)
-        n = len(first) - 1
+        n = len(offsets) - 1
         out = np.zeros((n, 1 + len(PASSAGES)))
+        if n == 1 and offsets[1] - offsets[0] > SPAN:
+            out[0] = self._long(data, int(offsets[0]), int(offsets[1]))
+            return out
+        gram, first = grams(data, offsets)
         if not len(gram):
             return out
         total = np.concatenate(([0], np.cumsum(self.ratio(gram), dtype=np.float64)))
@@ -203,6 +239,24 @@ class Model:
                     out[r, 1 + k] = (total[a + s : b + 1] - total[a : b - s + 1]).max() / size
         return out
 
+    def _long(self, data: np.ndarray, start: int, end: int) -> np.ndarray:
+        """The evidence of one long text."""
+        most = max(PASSAGES)
+        tail, total, many, best = np.zeros(0), 0.0, 0, np.full(len(PASSAGES), -np.inf)
+        for gram in walked(data, start, end):
+            value = self.ratio(gram).astype(np.float64)
+            total, many = total + value.sum(), many + len(value)
+            sums = np.concatenate(([0.0], np.cumsum(np.concatenate((tail, value)))))
+            for k, size in enumerate(PASSAGES):
+                if len(sums) > size:
+                    best[k] = max(best[k], (sums[size:] - sums[:-size]).max() / size)
+            tail = np.concatenate((tail, value))[-most:]
+        if not many:
+            return np.zeros(1 + len(PASSAGES))
+        short = ~np.isfinite(best)  # of fewer symbols than the passage has
+        best[short] = total / np.array(PASSAGES)[short]
+        return np.concatenate(([total / many], best))
+
 
 def _evidence(model, text: int):
     """Rows, whole, with the evidence of their column text."""

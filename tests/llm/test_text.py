@@ -483,3 +483,70 @@ def test_toxicity_learns_from_training_labels_only(spark):
     assert key(again) == key(found)
     assert toxicity.score(docs, known.limit(0)).count() == 603
     assert toxicity.reject(docs.limit(0), known).count() == 0
+
+
+LONG = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from paperloom.llm import textcore, toxicity
+kind, limit = sys.argv[1:]
+n = (64 << 20) // 6 * 6
+text = b"x" * n if kind == "word" else (b"abcde " * (n // 6 + 1))[:n]
+column = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, n], np.int32)), pa.py_buffer(text)])
+data, at = textcore.raw(column)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+sets = list(textcore.shingle_sets(column))
+distinct = toxicity.distinct_of(data, 0, n)
+assert len(sets[0]) == 1 and len(distinct) < 13
+used = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10
+assert used < int(limit), used
+"""
+
+
+@pytest.mark.parametrize(("kind", "limit"), [("word", 150), ("text", 400)])
+def test_long_texts_take_bounded_memory(kind, limit):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", LONG, kind, str(limit)], check=True, env=os.environ | {"PYTHONPATH": root}, timeout=300)
+
+
+def test_words_in_parts_are_those_of_the_whole(monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab  \té") for _ in range(r.randint(0, 60))) for _ in range(300)] + ["x" * 500, " " * 300, "", "y " * 200]
+    data, at = textcore.raw(pa.array(texts))
+    whole = textcore.Words(data, at)
+    said = whole.hashes()
+    for span in (1, 2, 7, 64):
+        monkeypatch.setattr(textcore, "SPAN", span)
+        part = textcore.Words(data, at)
+        assert (part.start == whole.start).all() and (part.end == whole.end).all() and (part.first == whole.first).all()
+    assert [w for w in (data[a:b].tobytes() for a, b in zip(whole.start, whole.end))] == [w for t in texts for w in t.encode().split()]
+    monkeypatch.setattr(textcore, "SPAN", 64)
+    assert (textcore.Words(data, at).hashes() == said).all()
+
+
+def test_grams_of_a_long_text_in_parts(monkeypatch):
+    r = random.Random(9)
+    text = "".join(r.choice("abC .,-é7") for _ in range(900))
+    data, at = textcore.raw(pa.array([text]))
+    whole = toxicity.grams(data, at)[0]
+
+    class Any:
+        value = staticmethod(lambda gram: (gram % 7 - 3).astype(np.float32))
+
+    model = toxicity.Model.__new__(toxicity.Model)
+    model.ratio = Any.value
+    said = model.evidence(data, at)
+    for span in (1, 3, 50, 899):
+        monkeypatch.setattr(toxicity, "SPAN", span)
+        assert np.concatenate(list(toxicity.walked(data, 0, len(data)))).tolist() == whole.tolist()
+        assert toxicity.distinct_of(data, 0, len(data)).tolist() == np.unique(whole).tolist()
+        assert abs(model.evidence(data, at) - said).max() < 1e-9
+    short, at = textcore.raw(pa.array(["a b"]))
+    monkeypatch.setattr(toxicity, "SPAN", 1 << 20)
+    said = model.evidence(short, at)
+    monkeypatch.setattr(toxicity, "SPAN", 1)
+    assert abs(model.evidence(short, at) - said).max() < 1e-9
