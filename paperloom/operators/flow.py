@@ -31,34 +31,42 @@ def line_weight(text: Column) -> Column:
     return F.least(F.lit(30), F.greatest(F.lit(1), F.ceil(t.utf16_length(text) / 120))).cast("int")
 
 
-_KINDS = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "string": (T.StringType(), pa.string())}
+_KINDS = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "string": (T.StringType(), pa.string()), "double": (T.DoubleType(), pa.float64())}
 
 
-def _streamed(rows: DataFrame, key: str, by: list[str], start, step, names: dict[str, str], gathered: bool = False) -> DataFrame:
+def streamed(rows: DataFrame, key: str, by: list[Column], start, step, names: dict[str, str], gathered: bool = False) -> DataFrame:
     """rows with the columns names that step makes of each group's rows in order.
 
     step(state, values of by) gives the next state and the rows that stand for
-    this one, as tuples of the new columns; start is a group's first state. The rows of a
-    group stream through one task, which holds a batch of them and the state.
-    gathered says that a window over key has brought the groups together already.
+    this one, as tuples of the new columns; start is a group's first state. The
+    rows of a group stream through one task, which holds a batch of them and the
+    state; Python sees the values of by only. gathered says that a window over key has
+    brought the groups together already. Columns of rows may have any name
+    but those of names.
     """
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, _KINDS[t][0]) for n, t in names.items()]])
-    kinds = [_KINDS[t][1] for t in names.values()]
+    values = F.struct(*[c.alias(f"v{k}") for k, c in enumerate(by)])
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(key).alias("key"), values.alias("by"))
+    made = T.StructType([T.StructField(n, _KINDS[t][0]) for n, t in names.items()])
+    schema = T.StructType([packed.schema["row"], T.StructField("made", made)])
+    arrow = pa.struct([(n, _KINDS[t][1]) for n, t in names.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), start
         for batch in batches:
-            at, made = [], []
-            for i, (k, *values) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, *by)))):
+            at, out = [], [[] for _ in names]
+            for i, (k, *values) in enumerate(zip(batch.column(1).to_pylist(), *(c.to_pylist() for c in batch.column(2).flatten()))):
                 if k != last:
                     last, state = k, start
-                state, out = step(state, *values)
-                at += [i] * len(out)
-                made += out
-            columns = zip(*made) if made else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, *(pa.array(c, t) for c, t in zip(columns, kinds))], [*batch.schema.names, *names])
+                state, rows = step(state, *values)
+                at += [i] * len(rows)
+                for row in rows:
+                    for column, v in zip(out, row):
+                        column.append(v)
+            new = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], fields=list(arrow))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), new], ["row", "made"])
 
-    return (rows if gathered else rows.repartition(key)).sortWithinPartitions(key, *by).mapInArrow(run, schema)
+    found = (packed if gathered else packed.repartition("key")).sortWithinPartitions("key", "by").mapInArrow(run, schema)
+    return found.select("row.*", "made.*")
 
 
 def paginate(rows: DataFrame, key: str, order: str, weight: str, budget: int, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -69,8 +77,9 @@ def paginate(rows: DataFrame, key: str, order: str, weight: str, budget: int, ca
         page, used = (page + 1, w) if used and used + w > budget else (page, used + w)
         return (page, used), [(page,)]
 
-    placed = rows.select(key, F.col(order).cast("long").alias(order), *carry, F.greatest(F.lit(1), F.col(weight)).cast("long").alias("_w"))
-    return _streamed(placed, key, [order, "_w"], (0, 0), step, {"page": "long"}).drop("_w")
+    placed = rows.withColumn(order, F.col(order).cast("long"))
+    made = streamed(placed.select(key, order, *carry, *[F.col(weight)] * (weight not in (key, order, *carry))), key, [F.col(order), F.greatest(F.lit(1), F.col(weight)).cast("long")], (0, 0), step, {"page": "long"})
+    return made.select(key, order, *carry, "page")
 
 
 def layout_boxes(rows: DataFrame, key: str, order: str, height: str, page_height: int, top: int = 0, bottom: int = 0, least: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -94,9 +103,10 @@ def layout_boxes(rows: DataFrame, key: str, order: str, height: str, page_height
         out = [(page + f, head, f, n, f * content, min(content, h - f * content)) for f in range(n)]
         return (page + n - 1, head + out[-1][-1], True), out
 
-    placed = rows.select(key, F.col(order).cast("long").alias(order), *carry, F.greatest(F.lit(max(1, least)), F.col(height)).cast("long").alias("_h"))
+    placed = rows.withColumn(order, F.col(order).cast("long")).select(key, order, *carry, *[F.col(height)] * (height not in (key, order, *carry)))
     names = dict.fromkeys(("page", "y", "fragment", "fragments", "source_start", "visible_height"), "long")
-    return _streamed(placed, key, [order, "_h"], (0, head, False), step, names).drop("_h")
+    made = streamed(placed, key, [F.col(order), F.greatest(F.lit(max(1, least)), F.col(height)).cast("long")], (0, head, False), step, names)
+    return made.select(key, order, *carry, *names)
 
 
 def place_blocks(rows: DataFrame, key: str, order: str, height: str, content: int) -> DataFrame:
@@ -148,7 +158,7 @@ def table_chunks(rows: DataFrame, key: str, order: str, weight: str, span: str,
             chunk, first, held, at, total, cut, size = chunk + 1, first + size, held[size:], 0, 0, 0, 0
         return (chunk, first, held, at, total, cut), out
 
-    made = _streamed(placed.select(key, "_n", "_w", "_safe", "_last"), key, ["_n", "_w", "_safe", "_last"], None, step, {"chunk": "long", "position": "long", "row": "long", "repeated": "int"}, gathered=True)
+    made = streamed(placed.select(key, "_n", "_w", "_safe", "_last"), key, [F.col(c) for c in ("_n", "_w", "_safe", "_last")], None, step, {"chunk": "long", "position": "long", "row": "long", "repeated": "int"}, gathered=True)
     return made.select(key, "chunk", "position", "row", "repeated")
 
 
@@ -168,7 +178,7 @@ def fragments(rows: DataFrame, key: str, order: str, weight: str, wanted: str) -
             fragment, used = fragment + 1, 0
         return (seen + 1, fragment, used + weight), [(fragment,)]
 
-    return _streamed(placed, key, [order, "_w", "_k", "_rows", "_share"], (0, 0, 0), step, {"fragment": "long"}, gathered=True).select(key, order, "fragment")
+    return streamed(placed, key, [F.col(c) for c in (order, "_w", "_k", "_rows", "_share")], (0, 0, 0), step, {"fragment": "long"}, gathered=True).select(key, order, "fragment")
 
 
 def list_markers(rows: DataFrame, key: str, order: str, kind: str, list_id: str, level: str, start: str, form: str) -> DataFrame:
@@ -186,7 +196,7 @@ def list_markers(rows: DataFrame, key: str, order: str, kind: str, list_id: str,
         counters[-1] = max(start, (counters[-1] or start - 1) + 1)
         return counters, [(counters[-1], ".".join("" if c is None else str(c) for c in counters))]
 
-    made = _streamed(placed, "_group", [order, "_level", "_start", form], [], step, {"_value": "long", "_joined": "string"})
+    made = streamed(placed, "_group", [F.col(c) for c in (order, "_level", "_start", form)], [], step, {"_value": "long", "_joined": "string"})
     said, plain = F.trim(F.coalesce(form, F.lit(""))), F.concat(F.col("_value").cast("string"), F.lit("."))
     filled = F.replace(F.replace(F.replace(said, F.lit("^N"), F.concat("_joined", F.lit("."))), F.lit("^n"), F.col("_joined")), F.lit("^^"), F.lit("^"))
     filled = F.coalesce(F.nullif(F.trim(filled), F.lit("")), plain)
