@@ -8,6 +8,8 @@ modulo 2^64 can't tell some long words apart (Thue-Morse words).
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -57,16 +59,23 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+#: glibc's malloc_trim, where there is one: what numpy has freed goes back to the system.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: What a worker keeps from task to task, by the operator that made it.
 _kept: dict[str, dict] = {}
 
 
 def kept(operator: str) -> dict:
     """What earlier tasks of an operator left in this worker. What other operators left is dropped, and unused memory goes back to the system."""
-    for other in [k for k in _kept if k != operator]:
+    others = [k for k in _kept if k != operator]
+    for other in others:
         del _kept[other]
+    if others:
+        gc.collect()
     for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
         pool.release_unused()
+    if _trim:
+        _trim(0)
     return _kept.setdefault(operator, {})
 
 
