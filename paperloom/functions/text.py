@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,3 +84,40 @@ def extension(name: Column) -> Column:
 def slug(c: Column) -> Column:
     """Lower-case ASCII words joined by hyphens."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def nfc(c: Column) -> Column:
+    """Composed characters (NFC). Only text beyond ASCII leaves the JVM, in Arrow batches."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("string")
+    def composed(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else normalize("NFC", v) for v in x.to_pylist()], pa.string())
+
+    beyond = F.regexp_like(c, F.lit(r"[^\x00-\x7F]"))
+    return F.when(beyond, composed(F.when(beyond, c))).otherwise(c)
+
+
+def lookup_key(c: Column) -> Column:
+    """What names are compared by: composed, trimmed, lower-case; null counts as empty."""
+    return F.lower(F.trim(nfc(F.coalesce(c, F.lit("")))))
+
+
+def number_or_text(c: Column) -> Column:
+    """(number, text) of a value: the number of whole and decimal numerals, else the text."""
+    numeral = F.regexp_like(c, F.lit(r"^-?([0-9]+|[0-9]+\.[0-9]+|[0-9]+\.|\.[0-9]+)$"))
+    return F.struct(F.when(numeral, c.try_cast("double")).alias("number"), F.when(~numeral, c).alias("text"))
+
+
+def finite_number(c: Column) -> Column:
+    """A finite number or null; blank text is 0."""
+    said = F.when(F.trim(c) == "", F.lit(0.0)).otherwise(F.trim(c).try_cast("double"))
+    return F.when(~F.isnan(said) & (F.abs(said) < float("inf")), said)
+
+
+def hash_36(c: Column) -> Column:
+    """FNV-1a of 32 bits over the first UTF-16 unit of each character, in base 36."""
+    unit = lambda x: F.conv(F.hex(F.substring(F.encode(x, "UTF-16BE"), 1, 2)), 16, 10).cast("long")
+    # offset basis and prime of the 32-bit FNV-1a
+    state = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0x811C9DC5).cast("long"), lambda h, x: (h.bitwiseXOR(unit(x)) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.lower(F.conv(state.cast("string"), 10, 36))

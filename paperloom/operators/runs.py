@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 
 def slice_by_starts(texts: DataFrame, starts: DataFrame, key: str, text: str, start: str, style: str) -> DataFrame:
-    """The text between each start and the next, the first start moved to 0, empty slices left out: (key, run_no, style, slice)."""
-    w = W.partitionBy(key).orderBy(start)
-    placed = starts.withColumn("run_no", F.row_number().over(w) - 1).withColumn("_to", F.lead(start).over(w))
-    placed = placed.withColumn("_from", F.when(F.col("run_no") == 0, 0).otherwise(F.col(start)))
-    cut = texts.join(placed, key).withColumn("slice", F.substring(F.col(text), F.col("_from") + 1, F.coalesce(F.col("_to"), F.length(text)) - F.col("_from")))
-    return cut.where(F.length("slice") > 0).select(key, "run_no", style, "slice")
+    """The text between each start and the next, the first start moved to 0, empty slices left out: (key, run_no, style, slice).
+
+    Starts, which are only numbers and styles, meet their text as one list; the
+    text is cut in fixed-width characters, so that the cost is its length.
+    """
+    placed = starts.groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(F.struct(F.col(start).alias("at"), F.col(style).alias("style")))).alias("starts"))
+    met = texts.select(F.col(key).alias("key"), F.encode(F.col(text), "UTF-32").alias("text"), F.length(text).alias("length")).where("text is not null").join(placed, "key")
+    runs = F.transform("starts", lambda s, k: F.struct(k.alias("run_no"), F.when(k == 0, 0).otherwise(s["at"]).cast("int").alias("from"), F.coalesce(F.get("starts", k + 1)["at"], F.col("length")).cast("int").alias("to"), s["style"].alias("style")))
+    runs = F.filter(runs, lambda r: F.greatest(r["from"], F.lit(0)) < F.least(r["to"], F.col("length")))
+    cut = met.select("key", "text", F.explode(runs).alias("r")).select("key", "r.run_no", "r.style", F.decode(F.substring(F.col("text"), F.col("r.from") * 4 + 1, (F.col("r.to") - F.col("r.from")) * 4), "UTF-32").alias("slice"))
+    return cut.select(F.col("key").alias(key), "run_no", F.col("style").alias(style), "slice")
 
 
 def numbered_runs(rows: DataFrame, key: str, order: list[str], style: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import codes, units
+from paperloom.functions import text as t
 from paperloom.operators import flow, reports
 from paperloom.plans.pages import _WEIGHTS, _weighted
 from paperloom.sources.tables import table
@@ -75,68 +76,22 @@ def _reports(spark, sf_dir):
     )
 
 
-#: What is wrong with a document as it was shown, in order: name and condition.
-SHOWN = {
-    "page walk failed": "not walked",
-    "keywords not found": "keywords_missing",
-    "console errors": "console_errors > 0",
-    "screenshot failed": "not screenshot",
-    "no diagnostics": "diagnostic_pages is null",
-    "diagnostic pages differ": "diagnostic_pages <> pages",
-    "no sections": "diagnostic_pages is not null and coalesce(sections, 0) < 1",
-    "control sums differ": "diagnostic_pages is not null and controls <> controls_of_pages",
-    "page size differs": "diagnostic_pages is not null and geometry_off > 2",
-    "unresolved fonts": "unresolved_fonts > 0",
-    "expected pages differ": "expected_pages <> pages",
-}
-#: What fails a report, in order. A document that did not load has no other failure.
-GUARDED = {
-    "has issues": "size(issues) > 0",
-    "invalid page count": "coalesce(pages, 0) < 1",
-    "expected pages differ": "expected_pages <> pages",
-    "diagnostic pages differ": "not coalesce(diagnostic_pages = pages, false)",
-    "dom pages differ": "pages <> 0 and not coalesce(dom_pages = pages, false)",
-    "thumbnails missing": "pages <> 0 and thumbnails > 0 and thumbnails < pages",
-    "page size differs": "not coalesce(geometry_off <= 2, false)",
-    "no screenshot": "not screenshot",
-}
-#: What is wrong with page counts, in order, with its priority.
-COUNTED = {
-    "P0 invalid": "coalesce(pages, 0) < 1",
-    "P1 diagnostics": "pages <> 0 and diagnostic_pages <> pages",
-    "P2 no diagnostics": "pages <> 0 and diagnostic_pages is null",
-    "P1 dom": "pages <> 0 and dom_pages <> pages",
-    "P1 baseline": "pages <> 0 and expected_pages <> pages",
-    "P1 visual": "pages <> 0 and visual_pages <> pages",
-    "P2 thumbnails": "pages <> 0 and thumbnails > 0 and thumbnails < pages",
-    "P2 walk": "not walked",
-}
-
-
-def _named(rules):
-    return reports.rule_list({n: F.expr(c) for n, c in rules.items()})
-
-
 def shown_issues(spark, sf_dir):
-    return _reports(spark, sf_dir).select("o_orderkey", F.posexplode(_named(SHOWN)).alias("n", "issue"))
+    return reports.shown_issues(_reports(spark, sf_dir)).select("o_orderkey", F.posexplode("issues").alias("n", "issue"))
 
 
 def guard_failures(spark, sf_dir):
-    rows = _reports(spark, sf_dir).withColumn("issues", _named(SHOWN))
-    failures = F.when(F.col("fatal"), F.array(F.lit("not loaded"))).otherwise(_named(GUARDED))
-    return rows.select("o_orderkey", F.posexplode(failures).alias("n", "failure"))
+    return reports.guard_failures(reports.shown_issues(_reports(spark, sf_dir))).select("o_orderkey", F.posexplode("failures").alias("n", "failure"))
 
 
 def page_count_status(spark, sf_dir):
-    rows = _reports(spark, sf_dir).withColumn("issues", _named(COUNTED))
-    severe = F.exists("issues", lambda x: F.substring(x, 1, 2).isin("P0", "P1"))
-    return rows.select("o_orderkey", F.when(severe, "fail").when(F.size("issues") > 0, "warn").otherwise("ok").alias("state"), F.concat_ws(", ", "issues").alias("issues"))
+    return reports.page_states(_reports(spark, sf_dir)).select("o_orderkey", "state", F.concat_ws(", ", "count_issues").alias("issues"))
 
 
 def _keys(name, file, path):
-    """Keys of a document, lower-cased: its id, its file's name, the name in its path, the name without extension."""
+    """Keys of a document, composed and lower-cased: its id, its file's name, the name in its path, the name without extension."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    return F.transform(F.array(name, file, base(path), F.regexp_replace(base(file), r"(?<=.)\.[^.]*$", "")), lambda x: F.lower(F.trim(x)))
+    return F.array(*[t.lookup_key(k) for k in (name, file, base(path), F.regexp_replace(base(file), r"(?<=.)\.[^.]*$", ""))])
 
 
 def audit_lookup(spark, sf_dir):

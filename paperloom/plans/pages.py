@@ -41,12 +41,14 @@ def paginate_docs(spark, sf_dir):
 
 
 def _diagnosed(spark, sf_dir):
-    paged = flow.paginate(_weighted(spark, sf_dir), "doc_id", "line_no", "weight", BUDGET, ("line", "units", "weight"))
+    """Counters of pages. Lines are asked what they hold before they are put on pages, so no text is shuffled."""
+    lines = _weighted(spark, sf_dir).select("doc_id", "line_no", "units", "weight", F.contains("line", F.lit("|")).alias("table"), F.contains("line", F.lit("http")).alias("link"), (F.trim("line") != "").alias("said"))
+    paged = flow.paginate(lines, "doc_id", "line_no", "weight", BUDGET, ("units", "weight", "table", "link", "said"))
     return paged.groupBy("doc_id", "page").agg(
         F.count("*").alias("blocks"),
-        F.count_if(F.contains("line", F.lit("|"))).alias("tables"),
-        F.count_if(F.contains("line", F.lit("http"))).alias("links"),
-        F.count_if(F.trim("line") != "").alias("text_runs"),
+        F.count_if("table").alias("tables"),
+        F.count_if("link").alias("links"),
+        F.count_if("said").alias("text_runs"),
         F.count_if(F.col("weight") >= 4).alias("tall"),
         F.sum("units").cast("long").alias("units"),
     )

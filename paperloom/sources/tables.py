@@ -17,6 +17,13 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name, length) of the files of a folder, contents unread; nothing for a folder without such files."""
+    found = files(spark, path, pattern)
+    bare = F.regexp_replace("path", "^file:/+", "/")
+    return found.select(bare.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
 def json_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of whole-file JSON reports, with unreadable files kept as a text column."""
     return spark.read.schema(f"{schema}, _corrupt STRING").option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path)
