@@ -125,6 +125,30 @@ def descendants(nodes: DataFrame, key: str, of: Column, name: str) -> DataFrame:
     return counted.where(of).join(ends, [key, "last"]).select(key, "node", (F.col("end") - F.col("upto")).alias("descendants"))
 
 
+def any_within(nodes: DataFrame, key: str, holds: Column) -> DataFrame:
+    """(key, node, holds): whether holds is true of a node or of any below it, by differences of running counts."""
+    flagged = nodes.select(key, "node", "last", F.coalesce(holds, F.lit(False)).cast("long").alias("flag"))
+    flagged = flagged.withColumn("upto", F.sum("flag").over(W.partitionBy(key).orderBy("node").rowsBetween(W.unboundedPreceding, 0)))
+    ends = flagged.select(key, F.col("node").alias("last"), F.col("upto").alias("end"))
+    return flagged.join(ends, [key, "last"]).select(key, "node", (F.col("end") - F.col("upto") + F.col("flag") > 0).alias("holds"))
+
+
+def row_summaries(tree: DataFrame, key: str, texts: DataFrame, row: str = "tr", cell: str = "tc", size: str = "cellsz") -> DataFrame:
+    """(key, node, cells, max_height, paragraphs, text_length) of the rows of tables in XML: their cells, the greatest height among sizes below, and paragraphs and characters anywhere in them.
+
+    tree has attributes, texts (key, node, length) the characters that stand in each node itself.
+    """
+    rows = tree.where(F.col("name") == row)
+    cells = tree.where(F.col("name") == cell).groupBy(key, F.col("parent").alias("node")).agg(F.count("*").alias("cells"))
+    sizes = tree.where(F.col("name").isin(size, "p")).select(key, "node", "name", F.try_element_at("attributes", F.lit("height")).try_cast("double").alias("height"))
+    pairs = within(tree.select(key, "node"), rows, key).select(key, "node", F.col("ancestor").alias("row"))
+    below = pairs.join(sizes.join(texts, [key, "node"], "full_outer"), [key, "node"]).groupBy(key, F.col("row").alias("node")).agg(F.max(F.when(F.col("name") == size, F.col("height"))).alias("max_height"), F.count_if(F.col("name") == "p").alias("paragraphs"), F.sum("length").alias("inner"))
+    own = rows.select(key, "node").join(texts.withColumnRenamed("length", "own"), [key, "node"], "left")
+    found = own.join(cells, [key, "node"]).join(below, [key, "node"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return found.select(key, "node", "cells", zero(F.col("max_height")).cast("double").alias("max_height"), zero(F.col("paragraphs")).alias("paragraphs"), (zero(F.col("inner")) + zero(F.col("own"))).cast("long").alias("text_length"))
+
+
 #: What stands for objects without text.
 PLACEHOLDERS = {"image": "[이미지]", "shape": "[도형]", "textbox": "[텍스트박스]", "equation": "[수식]", "ole": "[OLE 개체]"}
 

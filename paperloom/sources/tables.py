@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,34 @@ def json_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt STRING").option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def required_json(spark: SparkSession, path: str, schema: str, label: str) -> DataFrame:
+    """Rows of JSON reports that must be there: a path without files raises at once, one that can't be read when it is met."""
+    rows, error = optional_json(spark, path, schema, label)
+    if error:
+        raise FileNotFoundError(error)
+    bad = F.concat(F.lit(f"{label} could not be parsed: "), F.substring("_corrupt", 1, 200))
+    return rows.where(F.when(F.col("_corrupt").isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(True)).drop("_corrupt")
+
+
+def optional_json(spark: SparkSession, path: str, schema: str, label: str) -> tuple[DataFrame, str]:
+    """Rows of JSON reports, unreadable ones in the text column _corrupt, and what is wrong with the path (nothing, or that it has no files)."""
+    try:
+        return json_reports(spark, path, schema), ""
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        empty = spark.createDataFrame([], f"{schema}, _corrupt STRING")
+        return empty, f"{label} not found: {path}"
+
+
+def documents(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
+    """(path, name, length) of the files of a folder with one of the extensions, in the order of Korean dictionaries."""
+    from paperloom.operators.reports import korean_order
+
+    wanted = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).isin(extensions)
+    return listing(spark, path).where(wanted).orderBy(*korean_order(F.col("path")))
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
