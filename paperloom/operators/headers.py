@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom.functions import codes
 from paperloom.operators import nodes
 
 #: Attributes of a font reference in the order in which the main and the Latin font look for one.
@@ -18,9 +19,9 @@ def described(pages: DataFrame, key: str) -> DataFrame:
     return nodes.node_table(pages, key).withColumn("attributes", nodes.attributes(F.col("start"))).drop("start")
 
 
-def pivoted(tree: DataFrame, key: str, name: str, children: dict[str, tuple[str, str]], below: dict[str, tuple[str, str]]) -> DataFrame:
-    """(key, node, attributes, a column for each entry) of the elements of a name: the attribute of their first child of a name, or of the first element of a name anywhere below. Null where there is none."""
-    of = tree.where(F.col("name") == name).select(key, "node", "last", "attributes")
+def pivoted(tree: DataFrame, key: str, name: str | list[str], children: dict[str, tuple[str, str]], below: dict[str, tuple[str, str]]) -> DataFrame:
+    """(key, node, attributes, a column for each entry) of the elements of a name or some: the attribute of their first child of a name, or of the first element of a name anywhere below. Null where there is none."""
+    of = tree.where(F.col("name").isin(name)).select(key, "node", "last", "attributes")
     first = lambda c: F.min_by("attributes", F.when(F.col("name") == c, F.col("inner")))
 
     def found(rows, entries):
@@ -87,6 +88,60 @@ def border_fills(tree: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "id").agg(F.max_by("style", "node").alias("style")).select(key, "id", "style.*")
 
 
+def _signed(c: Column) -> Column:
+    """A number stored as 32 bits without sign."""
+    low = F.coalesce(F.trim(c).try_cast("long"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(F.coalesce(F.trim(c).try_cast("long"), F.lit(0)))
+
+
+def placements(tree: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(key, node, name of each measure) of placed objects: in line or not, what they are placed against and how, signed offsets, protection, order.
+
+    Offsets are those of pos, or where an object has none, of offset.
+    """
+    entries = {n: ("pos", a) for n, a in (("treat", "treatAsChar"), ("spacing", "affectLSpacing"), ("flow", "flowWithText"), ("over", "allowOverlap"), ("hold", "holdAnchorAndSO"), ("horz", "horzRelTo"), ("vert", "vertRelTo"), ("across", "horzAlign"), ("down", "vertAlign"), ("pos_x", "horzOffset"), ("pos_y", "vertOffset"))}
+    entries |= {"x": ("offset", "x"), "y": ("offset", "y"), "protect": ("sz", "protect"), "left": ("outmargin", "left"), "right": ("outmargin", "right")}
+    placed = tree.where("name = 'pos'").select(key, F.col("parent").alias("node"), F.lit(True).alias("has_pos")).distinct()
+    rows = pivoted(tree, key, names, entries, {}).join(placed, [key, "node"], "left")
+    has = F.coalesce("has_pos", F.lit(False))
+    on = lambda c: F.coalesce(F.col(c) == "1", F.lit(False))
+    return rows.select(
+        key, "node", on("treat").alias("inline"), on("spacing").alias("affects_spacing"), on("flow").alias("flows"), on("over").alias("overlap"), on("hold").alias("keep"), on("protect").alias("protected"),
+        codes.known_name(F.col("horz"), codes.RELATIVE_NAMES, "column").alias("horz"), codes.known_name(F.col("vert"), codes.RELATIVE_NAMES, "para").alias("vert"), codes.known_name(F.col("across"), codes.ALIGNED_NAMES, "left").alias("across"), codes.known_name(F.col("down"), codes.ALIGNED_NAMES, "top").alias("down"),
+        _signed(F.when(has, F.col("pos_x")).otherwise(F.col("x"))).alias("x"), _signed(F.when(has, F.col("pos_y")).otherwise(F.col("y"))).alias("y"),
+        _number(F.try_element_at("attributes", F.lit("zOrder"))).alias("order"), _number(F.col("left")).alias("margin_left"), _number(F.col("right")).alias("margin_right"),
+    )
+
+
+def pictures(tree: DataFrame, images: DataFrame, key: str) -> DataFrame:
+    """(key, node, ref, source, width, height) of pictures whose image is known; images has (key, ref, source). The current size counts where both measures are above 0, else both of the original one."""
+    entries = {n: (e, a) for n, e, a in (("cw", "cursz", "width"), ("ch", "cursz", "height"), ("ow", "orgsz", "width"), ("oh", "orgsz", "height"))}
+    rows = pivoted(tree, key, "pic", entries, {"ref": ("img", "binaryItemIDRef")})
+    known = images.where("source <> ''").groupBy(key, "ref").agg(F.max("source").alias("source"))
+    size = {c: _number(F.col(c)) for c in ("cw", "ch", "ow", "oh")}
+    current = (size["cw"] > 0) & (size["ch"] > 0)
+    return rows.join(known, [key, "ref"]).select(key, "node", "ref", "source", F.when(current, size["cw"]).otherwise(size["ow"]).alias("width"), F.when(current, size["ch"]).otherwise(size["oh"]).alias("height"))
+
+
+def table_metrics(cells: DataFrame, tables: DataFrame, key: str, table: str) -> DataFrame:
+    """(key, table, rows, cells, merged, row_heights, policy, breaks) of tables: what their cells say and how they break.
+
+    cells has (key, table, row, col, row_span, col_span, height), tables (key, table, page_break, split).
+    row_heights has each row's highest cell, null without any; merged counts cells
+    over rows or columns. The policy is the one said, unless nothing or 0 is, then split's:
+    CELL, SPLIT, RESERVED, else NONE. Tables without cells have no rows.
+    """
+    over = (F.col("row_span") > 1) | (F.col("col_span") > 1)
+    rows = cells.groupBy(key, table, "row").agg(F.count("*").alias("n"), F.count_if(over).alias("merged"), F.max(F.when(F.col("height") > 0, F.col("height"))).alias("height"))
+    whole = rows.groupBy(key, table).agg(F.count("*").alias("rows"), F.sum("n").alias("cells"), F.sum("merged").alias("merged"), F.transform(F.sort_array(F.collect_list(F.struct("row", "height"))), lambda r: r["height"]).alias("row_heights"))
+    said = F.upper(F.trim(F.coalesce("page_break", F.lit(""))))
+    split = F.coalesce("split", F.lit(0))
+    policy = F.when(~said.isin("", "0"), said).otherwise(codes.by_code(split, ["NONE", "CELL", "SPLIT", "RESERVED"], "NONE"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    found = tables.withColumn("policy", policy).join(whole, [key, table], "left")
+    return found.select(key, table, zero("rows"), zero("cells"), zero("merged"), F.coalesce("row_heights", F.array().cast("array<double>")).alias("row_heights"), "policy", ((split > 0) | (F.col("policy") != "NONE")).alias("breaks"))
+
+
 def spine_order(files: DataFrame, spine: DataFrame, key: str, pattern: str = r"(?:^|/)section([0-9]+)\.xml$") -> DataFrame:
     """(key, path, place): files (key, path) that pattern fits, in the order of a spine (key, pos, href), then the others by number; each once.
 

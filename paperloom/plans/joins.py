@@ -118,7 +118,35 @@ def link_targets(spark, sf_dir):
     return links.select("page_id", "pos", urls.absolute(t.named_entities(urls.address(c("anchor"))), c("base")).alias("url"), said.alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (reconciled, audit_against, sample_inventory, issue_order, name_keys, artifact_paths, section_order, font_dictionary, character_styles, border_fills, link_targets)}
+def _objects(spark, sf_dir):
+    """An object for each line of an order, as XML."""
+    p, s, n, q = c("l_partkey"), c("l_suppkey"), c("l_linenumber"), c("l_quantity").cast("long")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values)).cast("int") + 1)
+    pos = _text('<hp:pos treatAsChar="', p % 2, '" allowOverlap="', s % 2, '" flowWithText="', p % 3, '" horzRelTo="', pick(["PAPER", "Column", "x"], p), '" vertRelTo="', pick(["PARA", "page", ""], s), '" horzAlign="', pick(["LEFT", "right", "odd"], s), '" vertOffset="', F.lit(4294967296) - q, '" horzOffset="', q, '"/>')
+    sizes = F.concat(F.when(s % 4 > 0, _text('<hp:curSz width="', s % 4 - 1, '" height="', p % 3, '"/>')).otherwise(""), _text('<hp:orgSz width="', q, '" height="', q + 1, '"/>'))
+    line = F.concat(_text('<hp:pic zOrder="', n, '">'), F.when(p % 4 > 0, pos).otherwise(_text('<hp:offset x="', s, '" y="-', p, '"/>')), sizes, _text('<hp:sz protect="', s % 2, '"/><hp:outMargin left="', p % 9, '"/><hp:x><hc:img binaryItemIDRef="image', s % 5, '"/></hp:x></hp:pic>'))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(n, p, s, q, line.alias("line")))), lambda x: x["line"]), "").alias("xml"))
+    return headers.described(nodes.parsed(lines, "l_orderkey", "xml"), "l_orderkey")
+
+
+def object_placements(spark, sf_dir):
+    return headers.placements(_objects(spark, sf_dir), "l_orderkey", ["pic"]).drop("node").withColumn("order", c("order").cast("long"))
+
+
+def picture_blocks(spark, sf_dir):
+    images = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(0), (c("o_custkey") % 5).cast("int"))).alias("k")).select("l_orderkey", _text("image", c("k")).alias("ref"), F.when(c("k") != 1, _text("data:", c("k"))).otherwise("").alias("source"))
+    return headers.pictures(_objects(spark, sf_dir), images, "l_orderkey").drop("node")
+
+
+def table_metrics(spark, sf_dir):
+    p, s, n = c("l_partkey"), c("l_suppkey"), c("l_linenumber")
+    cells = table(spark, sf_dir, "lineitem").select(c("l_orderkey"), (n % 2).alias("table"), ((n - 1) / 4).cast("long").alias("row"), F.when(p % 3 > 0, p % 3).alias("row_span"), (1 + s % 2).alias("col_span"), F.when(s % 3 > 0, c("l_quantity").cast("double") - 10).alias("height"))
+    tables = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), F.explode(F.array(F.lit(0), F.lit(1))).alias("table"), F.element_at(F.array(F.lit(""), F.lit(" cell"), F.lit("0"), F.lit("Split")), (c("o_custkey") % 4).cast("int") + 1).alias("page_break"), F.when(c("o_orderkey") % 3 > 0, c("o_orderkey") % 5).alias("split"))
+    found = headers.table_metrics(cells, tables, "l_orderkey", "table")
+    return found.withColumn("row_heights", F.array_join(F.transform("row_heights", lambda h: h.cast("long")), ",", "-"))
+
+
+QUERIES = {f.__name__: f for f in (reconciled, audit_against, sample_inventory, issue_order, name_keys, artifact_paths, section_order, font_dictionary, character_styles, border_fills, link_targets, object_placements, picture_blocks, table_metrics)}
 
 _LINES = """l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity AS q, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS i FROM lineitem)"""
 _FONTS = f"""{_LINES}, g AS (SELECT k, i, ['HANGUL', 'LATIN', 'OTHER', 'HANGUL'][p % 4 + 1] AS lang, (s % 3)::VARCHAR AS id, CASE WHEN p % 10 = 0 THEN '' ELSE 'F&' || p % 50 END AS face FROM l),
@@ -159,4 +187,14 @@ ORACLES = {
     "link_targets": rf"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\s[^<>]*>.*?</a\s*>') AS anchors FROM pages), u AS (SELECT page_id, url, unnest(anchors) AS anchor, unnest(range(len(anchors))) AS pos FROM a),
         h AS (SELECT page_id, pos, anchor, regexp_extract(anchor, 'href="([^"]*)"', 1) AS ref, lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)', 1)) || '://' || lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)', 2)) AS site FROM u)
         SELECT page_id, pos, CASE WHEN regexp_matches(ref, '^[a-z]+://[^/]+/') THEN {_ENCODED.format("ref")} ELSE site || {_ENCODED.format("ref")} END AS url, substr(trim(replace(replace(replace(replace(replace(regexp_replace(anchor, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')), 1, 120) AS text FROM h""",
+    "object_placements": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q, l_partkey % 4 > 0 AS pos FROM lineitem)
+        SELECT l_orderkey, pos AND p % 2 = 1 AS inline, false AS affects_spacing, pos AND p % 3 = 1 AS flows, pos AND s % 2 = 1 AS overlap, false AS keep, s % 2 = 1 AS protected, CASE WHEN pos AND p % 3 = 0 THEN 'paper' ELSE 'column' END AS horz, CASE WHEN pos AND s % 3 = 1 THEN 'page' ELSE 'para' END AS vert, CASE WHEN pos AND s % 3 = 1 THEN 'right' ELSE 'left' END AS across, 'top' AS down,
+            CASE WHEN pos THEN q ELSE s END AS x, CASE WHEN pos THEN -q ELSE -p END AS y, n::BIGINT AS "order", (p % 9)::DOUBLE AS margin_left, 0::DOUBLE AS margin_right FROM l""",
+    "picture_blocks": """WITH l AS (SELECT l_orderkey, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q, s % 4 > 1 AND p % 3 > 0 AS cur FROM lineitem)
+        SELECT l_orderkey, 'image' || s % 5 AS ref, 'data:' || s % 5 AS source, CASE WHEN cur THEN s % 4 - 1 ELSE q END::DOUBLE AS width, CASE WHEN cur THEN p % 3 ELSE q + 1 END::DOUBLE AS height FROM l JOIN orders ON o_orderkey = l_orderkey WHERE s % 5 <> 1 AND s % 5 <= o_custkey % 5""",
+    "table_metrics": """WITH c AS (SELECT l_orderkey AS k, l_linenumber % 2 AS t, (l_linenumber - 1) // 4 AS r, count(*) AS n, count(*) FILTER (l_partkey % 3 = 2 OR l_suppkey % 2 = 1) AS m, max(l_quantity - 10) FILTER (l_suppkey % 3 > 0 AND l_quantity > 10) AS h FROM lineitem GROUP BY 1, 2, 3),
+        w AS (SELECT k, t, count(*) AS rows, sum(n) AS cells, sum(m) AS merged, string_agg(coalesce(h::BIGINT::VARCHAR, '-'), ',' ORDER BY r) AS hs FROM c GROUP BY 1, 2),
+        o AS (SELECT o_orderkey AS k, unnest([0, 1]) AS t, ['', 'CELL', '', 'SPLIT'][o_custkey % 4 + 1] AS said, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 5 ELSE 0 END AS split FROM orders),
+        p AS (SELECT *, CASE WHEN said <> '' THEN said ELSE ['NONE', 'CELL', 'SPLIT', 'RESERVED', 'NONE'][split + 1] END AS policy FROM o)
+        SELECT k AS l_orderkey, t AS "table", coalesce(rows, 0) AS rows, coalesce(cells, 0) AS cells, coalesce(merged, 0) AS merged, coalesce(hs, '') AS row_heights, policy, split > 0 OR policy <> 'NONE' AS breaks FROM p LEFT JOIN w USING (k, t)""",
 }

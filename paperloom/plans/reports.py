@@ -136,7 +136,7 @@ def keyword_hits(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.split("text", " ")[0]).alias("word"))
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[ \\t\\n\\r]+")).alias("word"))
     counted = words.where("word <> ''").groupBy("word", "doc_id").count().groupBy("word").agg(F.count("*").alias("docs"), F.sum("count").alias("hits"))
-    return counted.join(items, "word").select("item_id", "docs", "hits")
+    return items.join(counted, "word", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 QUERIES = {f.__name__: f for f in (audit_join, audit_missing, guard_issues, issue_priority, doc_status, structural, worst_documents, verdicts, verdict_counts, visual_top, freshness_hours, type_histogram, top_values, source_languages, inventory, change_detect, pixel_diff, keyword_hits)}
@@ -169,5 +169,5 @@ ORACLES = {
     "change_detect": r"SELECT sha256(lower(regexp_replace(text, '[ \n\t\r]+', '', 'g'))) AS digest, count(*) AS docs, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1 HAVING count(*) > 1",
     "pixel_diff": """SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * 127.5)) / len(a.embedding), 6) AS diff FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "keyword_hits": r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[ \t\n\r]+')) AS word FROM documents), c AS (SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM w WHERE word <> '' GROUP BY 1)
-        SELECT item_id, docs, hits FROM benchmark JOIN c ON word = lower(string_split(text, ' ')[1])""",
+        SELECT item_id, coalesce(docs, 0) AS docs, coalesce(hits, 0) AS hits FROM benchmark LEFT JOIN c ON word = lower(string_split(text, ' ')[1])""",
 }

@@ -29,7 +29,7 @@ def style_runs(spark, sf_dir):
 
 
 def merge_turns(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    turns = table(spark, sf_dir, "conversations")
     merged = runs.numbered_runs(turns, "conv_id", ["turn", "text"], ["role"])
     joined = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return merged.groupBy("conv_id", "run_no", "role").agg(F.concat_ws("\n", F.transform(joined, lambda x: x["text"])).alias("text"))
@@ -148,7 +148,7 @@ ORACLES = {
     "row_heights": "SELECT l_orderkey, l_linenumber, max(greatest(l_quantity, l_discount * 1000)) FILTER (greatest(l_quantity, l_discount * 1000) > 0) AS height FROM lineitem GROUP BY 1, 2",
     "style_runs": """WITH s AS (SELECT doc_id, text, unnest(range(0, n_chars + 1, 200)) AS place FROM documents)
         SELECT doc_id, place // 200 AS run_no, (place // 200) % 5 AS style, substr(text, place + 1, 200) AS slice FROM s WHERE length(substr(text, place + 1, 200)) > 0""",
-    "merge_turns": """WITH m AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR role IS NOT DISTINCT FROM lag(role) OVER w THEN 0 ELSE 1 END AS changed FROM conversations WHERE conv_id IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+    "merge_turns": """WITH m AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR role IS NOT DISTINCT FROM lag(role) OVER w THEN 0 ELSE 1 END AS changed FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
         n AS (SELECT *, sum(changed) OVER (PARTITION BY conv_id ORDER BY turn, text)::BIGINT AS run_no FROM m)
         SELECT conv_id, run_no, role, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM n GROUP BY 1, 2, 3""",
     "merge_event_runs": f"WITH {_RUNS} SELECT user_id, run_no, event_type, count(*) AS n, round(sum(value), 4) AS value FROM numbered GROUP BY 1, 2, 3",

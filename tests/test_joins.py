@@ -143,6 +143,25 @@ def test_dictionaries_of_a_header(spark):
     assert [tuple(x) for x in headers.border_fills(tree, "k").collect()] == [(1, 1, "SOLID", "NONE", "NONE", "NONE", "#fff")]
 
 
+OBJECTS = """<pic zOrder="3" textWrap="x"><pos treatAsChar="1" vertOffset="4294966036" horzOffset="75" vertRelTo="Paper"/><offset x="9" y="9"/><curSz width="0" height="5"/><orgSz width="10" height="20"/><y><img binaryItemIDRef="a"/></y><outMargin left="5"/></pic>
+<pic><offset x="-3" y="junk"/><curSz width="7" height="8"/><img binaryItemIDRef="b"/></pic><pic><img/></pic><ole><pos/></ole>"""
+
+
+def test_placed_objects_and_pictures(spark):
+    tree = headers.described(nodes.parsed(spark.createDataFrame([(1, OBJECTS), (2, None)], "k long, xml string"), "k", "xml"), "k").persist()
+    found = headers.placements(tree, "k", ["pic", "ole"]).orderBy("node").collect()
+    assert [(x.inline, x.vert, x.x, x.y, x.order, x.margin_left) for x in found] == [(True, "paper", 75, -1260, 3.0, 5.0), (False, "para", -3, 0, 0.0, 0.0), (False, "para", 0, 0, 0.0, 0.0), (False, "para", 0, 0, 0.0, 0.0)]
+    images = spark.createDataFrame([(1, "a", "data:a"), (1, "b", ""), (1, "b", "data:b"), (1, None, "x"), (2, "a", "data:z")], "k long, ref string, source string")
+    assert [(x.ref, x.source, x.width, x.height) for x in headers.pictures(tree, images, "k").orderBy("ref").collect()] == [("a", "data:a", 10.0, 20.0), ("b", "data:b", 7.0, 8.0)]
+
+
+def test_table_metrics(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, 1, 1, 5.0), (1, 0, 0, 1, 2, None, None), (1, 0, 1, 0, None, 1, -1.0)], "k long, t long, row long, col long, row_span long, col_span long, height double")
+    tables = spark.createDataFrame([(1, 0, None, None), (1, 1, "0", 2), (2, 0, " cell ", 0), (None, 0, "", 9)], "k long, t long, page_break string, split long")
+    found = {(x.k, x.t): tuple(x)[2:] for x in headers.table_metrics(cells, tables, "k", "t").collect()}
+    assert found == {(1, 0): (2, 3, 1, [5.0, None], "NONE", False), (1, 1): (0, 0, 0, [], "SPLIT", True), (2, 0): (0, 0, 0, [], "CELL", True), (None, 0): (0, 0, 0, [], "NONE", True)}
+
+
 def test_first_that_exists(spark):
     rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x", None, "", "x", "y"]), (3, []), (4, None), (5, [None, "z", "c"])], "k long, tried array<string>")
     listing = spark.createDataFrame([("b",), ("c",), ("c",), (None,)], "path string")
