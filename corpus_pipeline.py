@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import jaccard, mixing, packing, substring, toxicity
-from paperloom.llm.store import save, table
+from paperloom.llm.store import drop, scope, table
 from paperloom.session import ship
 
 
@@ -54,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(ship(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = save(docs, name)
-    return docs
+    """The last stage's result. Tables of a stage go when its rows are written, and these when the next stage's are."""
+    docs, folder = table(ship(spark), sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scope(spark) as keep:
+            docs, after = keep(stage(spark, docs, sf_dir), name)
+        if folder:
+            drop(spark, folder)
+        folder = after
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -50,3 +50,21 @@ def test_stages(spark):
         before = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {p.doc_id for p in pieces} == set(before)
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    from pathlib import Path
+
+    from paperloom.llm import store
+
+    base = Path(store.shared_dir(spark).removeprefix("file:")) / "paperloom"
+    before = set(base.iterdir()) if base.exists() else set()
+    rows = corpus_pipeline.run(spark, SF)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(base.iterdir()) - before)
+    assert [n for n in left if n in {"toxicity", "ngram_jaccard", "substring_dedup"}] == [] and "mixing" in left
+    assert not {"grams", "counts", "shared", "labelled"} & set(left)
+    now = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SF)
+    one = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32").collect())
+    assert one(rows) == one(now)
