@@ -105,7 +105,7 @@ def kd_shards(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "d
         for n in goal:
             value, under, own = inner[n]
             # the text at the cut goes where it leaves less of a difference
-            tree[n] = (dim[n], cut[n][0], value if under + own / 2 <= rest[n] else value - 2.0**-54)
+            tree[n] = (dim[n], cut[n][0], value if under + own / 2 <= rest[n] else value - 2.0**-53)
         for n in level:
             first, s = wanted.pop(n)
             wanted[2 * n], wanted[2 * n + 1] = (first, s // 2), (first + s // 2, s - s // 2)
