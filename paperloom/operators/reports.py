@@ -240,6 +240,22 @@ def page_states(reports: DataFrame) -> DataFrame:
     return rows.withColumn("state", F.when(severe, "fail").when(F.size("count_issues") > 0, "warn").otherwise("ok"))
 
 
+def placed(rows: DataFrame, key: str, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place from 1 among those of their key in an order that leaves no ties.
+
+    Rows are sorted once over all tasks and saved; a place is the number of rows of
+    the key in tasks before plus those before it in its own, so no key is
+    a single task. What meets is a count for each key and task.
+    """
+    packed = rows.orderBy(F.col(key), *order).select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("id"))
+    packed = saved(packed, "placed").withColumn("task", F.shiftright("id", 33))
+    tasks = packed.groupBy("key", "task").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tasks = tasks.select(F.col("key").alias("of"), F.col("task").alias("in"), "first", before.alias("before"))
+    met = packed.join(tasks, packed["key"].eqNullSafe(tasks["of"]) & (packed["task"] == tasks["in"]))
+    return met.select("row.*", (F.col("before") + F.col("id") - F.col("first") + 1).alias(name))
+
+
 def korean_order(*columns: Column) -> list[Column]:
     """An order of texts as Korean dictionaries have it, Hangul before Latin letters; null counts as empty."""
     return [F.collate(F.coalesce(c, F.lit("")), "ko") for c in columns]

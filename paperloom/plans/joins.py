@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as t
@@ -48,7 +47,7 @@ def issue_order(spark, sf_dir):
     """Issues of each language in order: priority, then first words and source as Korean dictionaries sort them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.regexp_extract("text", r"^\S+ ?\S*", 0).alias("name"))
     order = [(c("doc_id") % 4).asc(), *reports.korean_order(c("name"), c("source")), c("doc_id").asc()]
-    return docs.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(*order)).alias("place"))
+    return reports.placed(docs, "lang", order).select("doc_id", "lang", c("place").cast("int").alias("place"))
 
 
 def name_keys(spark, sf_dir):

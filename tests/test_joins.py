@@ -221,3 +221,14 @@ def test_names_numbers_hashes(spark):
 def test_korean_order(spark):
     rows = spark.createDataFrame([(x,) for x in ["나", "a", "B", "가", "1", "é", None]], "x string")
     assert [r.x for r in rows.orderBy(*reports.korean_order(F.col("x"))).collect()] == [None, "1", "가", "나", "a", "B", "é"]
+
+
+def test_places_of_a_hot_key(spark):
+    rows = [(k, "hot" if k % 3 else None if k % 2 else f"k{k % 5}", k * 7919 % 1009, "x") for k in range(1500)]
+    df = spark.createDataFrame(rows, "n long, key string, o long, row string").repartition(6)
+    found = reports.placed(df, "key", [F.col("o").desc(), F.col("n")]).collect()
+    wanted = {}
+    for n, key, _, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        wanted.setdefault(key, []).append(n)
+    assert {(x.key, x.place): x.n for x in found} == {(k, i + 1): n for k, ns in wanted.items() for i, n in enumerate(ns)} and found[0].row == "x"
+    assert reports.placed(df.limit(0), "key", [F.col("n")]).count() == 0
