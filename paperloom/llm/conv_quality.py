@@ -3,7 +3,8 @@
 Bytes become learned vectors; FILTERS learned filters see WIDTH bytes at every
 STRIDE-th place. A document is cut into chunks of BLOCKS blocks of places which
 overlap by one block and together cover all of it. Of each chunk every filter
-keeps its largest answer; a document is the mean, the largest and the least of
+keeps its largest answer, and the least of its blocks' largest ones, which tells
+even texts from those that repeat themselves; a document is the mean, the largest and the least of
 its chunks' answers and the logarithm of its length, from which a small layer makes one probability. What lies
 beyond a text is a symbol of its own, so the shortest text has a chunk too.
 
@@ -49,6 +50,12 @@ def length(size: np.ndarray) -> np.ndarray:
     return (np.log1p(size) / 8).astype(np.float32)
 
 
+def _chunks(blocks: int) -> np.ndarray:
+    """The blocks of each chunk of a document of so many; the last one stands in for those that it has not."""
+    many = max(1, -(-(blocks - BLOCKS) // (BLOCKS - 1)) + 1)
+    return np.minimum((BLOCKS - 1) * np.arange(many)[:, None] + np.arange(BLOCKS), blocks - 1)
+
+
 class Network:
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
@@ -56,7 +63,7 @@ class Network:
         self.byte = f(OUTSIDE + 1, DEEP, scale=0.5)
         self.filters = f(WIDTH * DEEP, FILTERS, scale=(WIDTH * DEEP) ** -0.5)
         self.bias = np.zeros(FILTERS, np.float32)
-        self.hidden = f(3 * FILTERS + 1, UNITS, scale=(3 * FILTERS) ** -0.5)
+        self.hidden = f(6 * FILTERS + 1, UNITS, scale=(6 * FILTERS) ** -0.5)
         self.hidden_bias = np.zeros(UNITS, np.float32)
         self.out = f(UNITS, scale=UNITS**-0.5)
         self.out_bias = np.zeros(1, np.float32)
@@ -72,10 +79,9 @@ class Network:
         return np.lib.stride_tricks.as_strided(x, (n, WIDTH * DEEP), (step, 4)) @ self.filters
 
     def chunked(self, blocks: np.ndarray) -> np.ndarray:
-        """Largest answers of a document's chunks from those of its blocks."""
-        many = max(1, -(-(len(blocks) - BLOCKS) // (BLOCKS - 1)) + 1)
-        at = np.minimum((BLOCKS - 1) * np.arange(many)[:, None] + np.arange(BLOCKS), len(blocks) - 1)
-        return np.maximum(blocks[at].max(1) + self.bias, 0)
+        """What a document's chunks keep of the largest answers of its blocks."""
+        held = blocks[_chunks(len(blocks))] + self.bias
+        return np.maximum(np.concatenate((held.max(1), held.min(1)), 1), 0)
 
     def probability(self, chunks: list[np.ndarray], size: np.ndarray) -> np.ndarray:
         x = np.array([np.concatenate((c.mean(0), c.max(0), c.min(0))) for c in chunks], np.float32)
@@ -126,16 +132,20 @@ class Network:
             at += len(t)
         flat, first = symbols(np.concatenate(texts) if texts else np.zeros(0, np.uint8), parts)
         y = self.answers(flat)
-        places, owner = [], []
+        places, of, owner, done = [], [], [], 0
         for i, (a, b) in enumerate(zip(first, first[1:] - WIDTH // STRIDE)):
-            step, long = (BLOCKS - 1) * PLACES, BLOCKS * PLACES
-            many = max(1, -(-(-(-(b - a) // PLACES) - BLOCKS) // (BLOCKS - 1)) + 1)
-            places.append(np.minimum(a + step * np.arange(many)[:, None] + np.arange(long), b - 1))
-            owner += [i] * many
-        places, owner = np.concatenate(places), np.array(owner)
+            blocks = -(-(b - a) // PLACES)
+            places.append(np.minimum(a + PLACES * np.arange(blocks)[:, None] + np.arange(PLACES), b - 1))
+            of.append(_chunks(blocks) + done)
+            owner += [i] * len(of[-1])
+            done += blocks
+        places, of, owner = np.concatenate(places), np.concatenate(of), np.array(owner)
         seen = y[places]
-        where = np.take_along_axis(places, seen.argmax(1), 1)  # chunks x filters
-        pool = seen.max(1) + self.bias
+        largest, place = seen.max(1), np.take_along_axis(places, seen.argmax(1), 1)  # blocks x filters
+        held = largest[of]  # chunks x blocks x filters
+        picks = [np.take_along_axis(of, k, 1) for k in (held.argmax(1), held.argmin(1))]
+        where = np.concatenate([np.take_along_axis(place, p, 0) for p in picks], 1)  # chunks x filters, twice
+        pool = np.concatenate((held.max(1), held.min(1)), 1) + np.tile(self.bias, 2)
         live = pool > 0
         pool = pool * live
         starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -148,11 +158,13 @@ class Network:
         dz = ((p - label) / len(label)).astype(np.float32)
         du = dz[:, None] * self.out * (u > 0)
         dx = du @ self.hidden.T
-        dpool = dx[owner, :FILTERS] / many[owner][:, None]
+        wide = 2 * FILTERS
+        dpool = dx[owner, :wide] / many[owner][:, None]
         for k, end in enumerate(ends, 1):
             equal = (pool == end[owner]).astype(np.float32)
-            dpool += equal * (dx[:, k * FILTERS : (k + 1) * FILTERS] / np.add.reduceat(equal, starts))[owner]
+            dpool += equal * (dx[:, k * wide : (k + 1) * wide] / np.add.reduceat(equal, starts))[owner]
         dpool *= live
+        where, dpool = (np.concatenate((x[:, :FILTERS], x[:, FILTERS:])) for x in (where, dpool))
         window = flat[where[:, :, None] * STRIDE + np.arange(WIDTH)]  # chunks x filters x bytes
         felt = self.byte[window].reshape(*where.shape, -1)
         dfilters = np.einsum("cfk,cf->kf", felt, dpool, optimize=True)
