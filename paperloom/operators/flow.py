@@ -13,6 +13,17 @@ from pyspark.sql import types as T
 from paperloom.functions import text as t
 
 
+def spare(rows: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of rows has, whatever its case."""
+    held, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a line, empty ones included: (key, line_no from 0, line)."""
     return docs.select(key, F.posexplode(t.lines(F.col(text))).alias("line_no", "line"))
@@ -20,10 +31,10 @@ def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def cap_blank_runs(rows: DataFrame, key: str, order: str, text: str, keep: int = 2) -> DataFrame:
     """Of each run of blank rows the first keep."""
-    blank = F.trim(text) == ""
-    island = F.sum(F.when(blank, 0).otherwise(1)).over(W.partitionBy(key).orderBy(order))
-    rank = F.sum(F.when(blank, 1).otherwise(0)).over(W.partitionBy(key, "_island").orderBy(order))
-    return rows.withColumn("_island", island).withColumn("_rank", rank).where(~blank | (F.col("_rank") <= keep)).drop("_island", "_rank")
+    blank, (island, rank) = F.trim(text) == "", spare(rows, "island", "rank")
+    solid = F.sum(F.when(blank, 0).otherwise(1)).over(W.partitionBy(key).orderBy(order))
+    blanks = F.sum(F.when(blank, 1).otherwise(0)).over(W.partitionBy(key, island).orderBy(order))
+    return rows.withColumn(island, solid).withColumn(rank, blanks).where(~blank | (F.col(rank) <= keep)).drop(island, rank)
 
 
 def line_weight(text: Column) -> Column:
@@ -189,17 +200,18 @@ def list_markers(rows: DataFrame, key: str, order: str, kind: str, list_id: str,
     the numbers of all levels, ^N for them and a point, ^^ for ^; without one
     the number of the level and a point.
     """
-    group = F.to_json(F.struct(key, kind, list_id))
-    placed = rows.withColumn("_group", group).withColumn("_level", F.greatest(F.lit(1), F.coalesce(level, F.lit(1))).cast("int")).withColumn("_start", F.greatest(F.lit(1), F.coalesce(start, F.lit(1))).cast("long"))
+    group, value, joined = spare(rows, "group", "value", "joined")
+    placed = rows.withColumn(group, F.struct(key, kind, list_id))
+    by = [F.col(order), F.greatest(F.lit(1), F.coalesce(level, F.lit(1))).cast("int"), F.greatest(F.lit(1), F.coalesce(start, F.lit(1))).cast("long"), F.col(form)]
 
     def step(state, _, level, start, form):
         counters = [*state[:level], *[None] * (level - len(state))]
         counters[-1] = max(start, (counters[-1] or start - 1) + 1)
         return counters, [(counters[-1], ".".join("" if c is None else str(c) for c in counters))]
 
-    made = streamed(placed, "_group", [F.col(c) for c in (order, "_level", "_start", form)], [], step, {"_value": "long", "_joined": "string"})
-    said, plain = F.trim(F.coalesce(form, F.lit(""))), F.concat(F.col("_value").cast("string"), F.lit("."))
-    filled = F.replace(F.replace(F.replace(said, F.lit("^N"), F.concat("_joined", F.lit("."))), F.lit("^n"), F.col("_joined")), F.lit("^^"), F.lit("^"))
+    made = streamed(placed, group, by, [], step, {value: "long", joined: "string"})
+    said, plain = F.trim(F.coalesce(form, F.lit(""))), F.concat(F.col(value).cast("string"), F.lit("."))
+    filled = F.replace(F.replace(F.replace(said, F.lit("^N"), F.concat(joined, F.lit("."))), F.lit("^n"), F.col(joined)), F.lit("^^"), F.lit("^"))
     filled = F.coalesce(F.nullif(F.trim(filled), F.lit("")), plain)
     return made.withColumn("marker", F.when(F.col(kind) == "bullet", F.coalesce(F.nullif(said, F.lit("")), F.lit("•"))).otherwise(filled)).select(*rows.columns, "marker")
 
@@ -207,7 +219,8 @@ def list_markers(rows: DataFrame, key: str, order: str, kind: str, list_id: str,
 def safe_breaks(cells: DataFrame, key: str, row: str, span: str) -> DataFrame:
     """Rows after which no cell reaches on: (key, row)."""
     reach = F.max(F.col(row) + F.col(span) - 1).over(W.partitionBy(key).orderBy(row).rangeBetween(W.unboundedPreceding, 0))
-    return cells.withColumn("_reach", reach).where(F.col("_reach") <= F.col(row)).select(key, row).distinct()
+    (name,) = spare(cells, "reach")
+    return cells.withColumn(name, reach).where(F.col(name) <= F.col(row)).select(key, row).distinct()
 
 
 def on_pages(pages: DataFrame, areas: list[tuple[str, str]], page: str = "page") -> DataFrame:
@@ -215,10 +228,12 @@ def on_pages(pages: DataFrame, areas: list[tuple[str, str]], page: str = "page")
     from paperloom.functions.units import in_scope
 
     named = F.array(*[F.struct(F.lit(n).alias("area"), F.lit(s).alias("scope")) for n, s in areas])
-    return pages.withColumn("_a", F.explode(named)).select(*pages.columns, "_a.*").where(in_scope(F.col("scope"), F.col(page)))
+    (area,) = spare(pages, "areas")
+    return pages.withColumn(area, F.explode(named)).where(in_scope(F.col(f"{area}.scope"), F.col(page))).select(*pages.columns, f"{area}.*")
 
 
 def first_by_priority(found: DataFrame, key: list[str], priority: dict[str, int], scope: str = "scope") -> DataFrame:
     """The row of each key whose scope comes first."""
     rank = F.coalesce(*[F.when(F.col(scope) == s, r) for s, r in priority.items()], F.lit(len(priority)))
-    return found.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(rank, *[c for c in found.columns if c not in key]))).where("_n = 1").drop("_n")
+    (n,) = spare(found, "place")
+    return found.withColumn(n, F.row_number().over(W.partitionBy(*key).orderBy(rank, *[c for c in found.columns if c not in key]))).where(F.col(n) == 1).drop(n)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.operators.flow import streamed
+from paperloom.operators.flow import spare, streamed
 from paperloom.sources.tables import saved
 
 
@@ -17,15 +17,17 @@ def overlaid(*layers: Column) -> Column:
 
 def histogram_label(rows: DataFrame, key: list[str], value: str, label: str) -> DataFrame:
     """For each key its values with their counts, most frequent first: 'a(3), b(1)'."""
-    counts = rows.groupBy(*key, value).agg(F.count("*").alias("_n"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col(value).cast("string").alias("v"))))
+    (n,) = spare(rows, "n")
+    counts = rows.groupBy(*key, value).agg(F.count("*").alias(n))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("n"), F.col(value).cast("string").alias("v"))))
     return counts.groupBy(*key).agg(F.concat_ws(", ", F.transform(ordered, lambda x: F.concat(x["v"], F.lit("("), (-x["n"]).cast("string"), F.lit(")")))).alias(label))
 
 
 def first_examples(rows: DataFrame, key: list[str], order: list[str], value: str, n: int, label: str) -> DataFrame:
     """For each key the first n values, joined by commas. Ranks first, so no more than n of a key are gathered."""
-    ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("_n") <= n)
-    return ranked.groupBy(*key).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(value).cast("string").alias("v")))), lambda x: x["v"])).alias(label))
+    (place,) = spare(rows, "place")
+    ranked = rows.withColumn(place, F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col(place) <= n)
+    return ranked.groupBy(*key).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(place, F.col(value).cast("string").alias("v")))), lambda x: x["v"])).alias(label))
 
 
 def top_by(rows: DataFrame, key: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -39,14 +41,15 @@ def rule_list(rules: dict[str, Column]) -> Column:
 
 def first_key_match(rows: DataFrame, row: str, keys: Column, others: DataFrame, other: str, other_keys: Column) -> DataFrame:
     """(row, other): the other that the first known key of each row leads to, else null. Of others with the same key the least counts. Keys are arrays of text; empty and null ones lead nowhere."""
-    index = others.select(other, F.explode(other_keys).alias("_key")).where("_key <> ''").groupBy("_key").agg(F.min(other).alias(other))
-    found = rows.select(row, F.posexplode(keys).alias("_n", "_key")).join(index, "_key").groupBy(row).agg(F.min_by(other, "_n").alias(other))
-    return rows.select(row).join(found, row, "left")
+    index = others.select(F.col(other).alias("other"), F.explode(other_keys).alias("key")).where("key <> ''").groupBy("key").agg(F.min("other").alias("other"))
+    found = rows.select(F.col(row).alias("row"), F.posexplode(keys).alias("n", "key")).join(index, "key").groupBy("row").agg(F.min_by("other", "n").alias("other"))
+    return rows.select(F.col(row).alias("row")).join(found, "row", "left").select(F.col("row").alias(row), F.col("other").alias(other))
 
 
 def last_by(rows: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:
     """Upsert: the last version of each key, with its first place."""
-    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_v"), F.min(order).alias("first_seen")).select(key, "_v.*", "first_seen")
+    (v,) = spare(rows, "version")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias(v), F.min(order).alias("first_seen")).select(key, f"{v}.*", "first_seen")
 
 
 def follow(edges: DataFrame, source: str, target: str, hops: int = 15) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperloom.operators.flow import spare
+
 
 def slice_by_starts(texts: DataFrame, starts: DataFrame, key: str, text: str, start: str, style: str) -> DataFrame:
     """The text between each start and the next, the first start moved to 0, empty slices left out: (key, run_no, style, slice).
@@ -26,27 +28,30 @@ def numbered_runs(rows: DataFrame, key: str, order: list[str], style: list[str])
     w = W.partitionBy(key).orderBy(*order)
     now = F.struct(*style)
     changed = F.when(F.row_number().over(w) == 1, 0).when(now.eqNullSafe(F.lag(now).over(w)), 0).otherwise(1)
-    return rows.withColumn("_changed", changed).withColumn("run_no", F.sum("_changed").over(w)).drop("_changed")
+    (name,) = spare(rows, "changed")
+    return rows.withColumn(name, changed).withColumn("run_no", F.sum(name).over(w)).drop(name)
 
 
 def longest_run(rows: DataFrame, key: str, order: list[str], style: str) -> DataFrame:
     """The longest run of each key, the first of equals: (key, style, length)."""
     runs = numbered_runs(rows, key, order, [style]).groupBy(key, "run_no", style).agg(F.count("*").alias("length"))
-    return runs.groupBy(key).agg(F.max_by(F.struct(style, "length"), F.struct("length", -F.col("run_no"))).alias("_b")).select(key, "_b.*")
+    return runs.groupBy(key).agg(F.max_by(F.struct(style, "length"), F.struct("length", -F.col("run_no"))).alias("longest run")).select(key, "`longest run`.*")
 
 
 def trim_blank_ends(rows: DataFrame, key: str, order: str, blank: Column) -> DataFrame:
     """Without the blank rows before the first and after the last other one."""
     w = W.partitionBy(key)
     place = F.when(~blank, F.col(order))
-    return rows.withColumns({"_a": F.min(place).over(w), "_b": F.max(place).over(w)}).where(F.col(order).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    first, last = spare(rows, "first", "last")
+    return rows.withColumns({first: F.min(place).over(w), last: F.max(place).over(w)}).where(F.col(order).between(F.col(first), F.col(last))).drop(first, last)
 
 
 def list_markers(rows: DataFrame, key: str, order: str, level: str, depth: int) -> DataFrame:
     """rows with marker: the counters of the levels down to the row's own, joined by dots. A level's counter starts anew below a shallower row; one not begun shows nothing."""
     w = W.partitionBy(key).orderBy(order)
-    for k in range(depth):
-        rows = rows.withColumn(f"_g{k}", F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(w))
-        rows = rows.withColumn(f"_c{k}", F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(W.partitionBy(key, f"_g{k}").orderBy(order)))
-    shown = [F.when(F.col(level) >= k, F.when(F.col(f"_c{k}") > 0, F.col(f"_c{k}").cast("string")).otherwise("")) for k in range(depth)]
-    return rows.withColumn("marker", F.concat_ws(".", *shown)).drop(*[f"_{x}{k}" for x in "gc" for k in range(depth)])
+    groups, counts = (spare(rows, *[f"{x}{k}" for k in range(depth)]) for x in ("group", "count"))
+    for k, (g, n) in enumerate(zip(groups, counts)):
+        rows = rows.withColumn(g, F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(w))
+        rows = rows.withColumn(n, F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(W.partitionBy(key, g).orderBy(order)))
+    shown = [F.when(F.col(level) >= k, F.when(F.col(n) > 0, F.col(n).cast("string")).otherwise("")) for k, n in enumerate(counts)]
+    return rows.withColumn("marker", F.concat_ws(".", *shown)).drop(*groups, *counts)

@@ -63,3 +63,20 @@ def test_folds_keep_columns_of_any_name(spark):
     assert [x.page for x in sorted(found, key=lambda x: x.k)] == [0, 0, 0, 1, 1, 1, 2, 2, 2] and all(x[n] == n for x in found for n in names)
     assert flow.paginate(rows, "t", "k", "weight", 30, carry=("weight",)).columns == ["t", "k", "weight", "page"]
     assert flow.layout_boxes(rows, "t", "k", "weight", 25, carry=tuple(names)).count() == 9
+
+
+def test_operators_take_columns_of_any_name(spark):
+    from paperloom.operators import reports, runs
+
+    names = ["island", "Rank", "reach", "areas", "place", "group", "value", "joined", "changed", "first", "last", "group0", "count0", "n", "version", "_place"]
+    rows = spark.createDataFrame([(1, k, "" if k in (0, 1, 2, 3, 9) else f"t{k // 3}", k % 2, 1 + k % 2) for k in range(10)], "t long, k long, x string, level int, span long").withColumns({n: F.lit(n) for n in names})
+    kept = lambda found: all(found.columns.count(n) == 1 for n in names) and all(r[n] == n for r in found.collect() for n in names)
+    assert flow.cap_blank_runs(rows, "t", "k", "x").count() == 8 and kept(flow.cap_blank_runs(rows, "t", "k", "x"))
+    assert kept(flow.on_pages(rows, [("a", "ODD")], "k")) and kept(flow.first_by_priority(flow.on_pages(rows, [("a", "ODD"), ("b", "BOTH")], "k"), ["t", "k"], {"ODD": 0}))
+    assert flow.safe_breaks(rows, "t", "k", "span").count() == 5
+    assert kept(runs.numbered_runs(rows, "t", ["k"], ["x"])) and kept(runs.trim_blank_ends(rows, "t", "k", F.col("x") == "")) and kept(runs.list_markers(rows, "t", "k", "level", 2))
+    assert runs.longest_run(rows, "t", ["k"], "x").collect()[0][:] == (1, "", 4)
+    forms = rows.withColumns({"kind": F.lit("number"), "list": F.lit(None).cast("string"), "start": F.lit(1), "form": F.lit("^n")})
+    assert kept(flow.list_markers(forms, "t", "k", "kind", "list", "level", "start", "form"))
+    assert reports.histogram_label(rows, ["t"], "place", "l").first()["l"] == "place(10)" and reports.first_examples(rows, ["t"], ["k"], "place", 2, "l").first()["l"] == "place,place"
+    assert reports.last_by(rows, "t", F.col("k"), ["x", "version"]).first()[:] == (1, "", "version", 0)
