@@ -86,21 +86,28 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def nfc(c: Column) -> Column:
-    """Composed characters (NFC). Only text beyond ASCII leaves the JVM, in Arrow batches."""
+def normal(c: Column, form: str = "NFC") -> Column:
+    """Characters in a normal form of Unicode. Only text beyond ASCII leaves the JVM, in Arrow batches."""
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("string")
-    def composed(x: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else normalize("NFC", v) for v in x.to_pylist()], pa.string())
+    def changed(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else normalize(form, v) for v in x.to_pylist()], pa.string())
 
     beyond = F.regexp_like(c, F.lit(r"[^\x00-\x7F]"))
-    return F.when(beyond, composed(F.when(beyond, c))).otherwise(c)
+    return F.when(beyond, changed(F.when(beyond, c))).otherwise(c)
+
+
+def file_slug(c: Column, other: str = "document") -> Column:
+    """Lower-case ASCII letters without accents, digits, points and lines; all else is a hyphen. other for nothing."""
+    bare = F.regexp_replace(normal(F.coalesce(c, F.lit("")), "NFKD"), r"[\x{0300}-\x{036F}]", "")
+    said = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "[^0-9A-Za-z._-]+", "-"), "^-+|-+$", ""), "-+", "-")
+    return F.coalesce(F.nullif(F.lower(said), F.lit("")), F.lit(other))
 
 
 def lookup_key(c: Column) -> Column:
     """What names are compared by: composed, trimmed, lower-case; null counts as empty."""
-    return F.lower(F.trim(nfc(F.coalesce(c, F.lit("")))))
+    return F.lower(F.trim(normal(F.coalesce(c, F.lit("")))))
 
 
 def number_or_text(c: Column) -> Column:
@@ -111,8 +118,10 @@ def number_or_text(c: Column) -> Column:
 
 def finite_number(c: Column) -> Column:
     """A finite number or null; blank text is 0."""
-    said = F.when(F.trim(c) == "", F.lit(0.0)).otherwise(F.trim(c).try_cast("double"))
-    return F.when(~F.isnan(said) & (F.abs(said) < float("inf")), said)
+    said = F.trim(c)
+    numeral = F.regexp_like(said, F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"))
+    number = F.when(said == "", F.lit(0.0)).when(numeral, said.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def hash_36(c: Column) -> Column:

@@ -81,6 +81,14 @@ def line_summary(lines: DataFrame, key: str, height: str, text_height: str, y: s
     return by.groupBy(F.col("key").alias(key)).agg(F.sum("n").alias("count"), F.sum("total").alias("total_height"), F.max("high").alias("max_height"), F.min("low_y").alias("min_y"), F.max("high_y").alias("max_y"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("flag", "n")))).alias("flags"))
 
 
+def line_heights(lines: DataFrame, key: str, heights: list[str], most: int = 14_400) -> DataFrame:
+    """(key, line_pixels, layout_pixels) of paragraphs: the mean and the sum of their lines' heights, each the largest of heights, above 0 and up to most units; 11 to 96 and 0 to 480 pixels. Paragraphs without such lines have no row."""
+    high = F.greatest(*[F.coalesce(F.col(h).cast("double"), F.lit(0.0)) for h in heights])
+    sums = lines.select(F.col(key).alias("key"), high.alias("high")).where((F.col("high") > 0) & (F.col("high") <= most)).groupBy("key").agg(F.sum("high").alias("total"), F.count("*").alias("n"))
+    clamp = lambda c, low, top: F.greatest(F.lit(low), F.least(F.lit(top), F.floor(c / 75 + 0.5))).cast("long")
+    return sums.select(F.col("key").alias(key), clamp(F.col("total") / F.col("n"), 11, 96).alias("line_pixels"), clamp(F.col("total"), 0, 480).alias("layout_pixels"))
+
+
 #: What text is made of beside a script's own characters.
 PLAIN = r"\x02\t\n\r\x20-\x7E\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}"
 HANGUL = r"\x{AC00}-\x{D7A3}"

@@ -112,7 +112,23 @@ def stored_binaries(spark, sf_dir):
     return diagnostics.binary_map(diagnostics.entries_under(entries, "l_orderkey", "BinData", "(?i)^(?:BIN|BinaryData)[0-9]+"), refs, "l_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (page_counters, document_counters, parsed_signals, line_summary, text_in_noise, audit_staleness, worst_pages, section_budgets, paginate_tables, stored_binaries)}
+def entries_by_path(spark, sf_dir):
+    """Suppliers' numbers as wanted paths among the lines of orders as entries: by path, else by name."""
+    n, p, s = c("l_linenumber"), c("l_partkey"), c("l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", n, p, s)
+    name = F.concat(_pick(["Sec", "BIN"], n), (p % 4).cast("string"))
+    entries = lines.select("l_orderkey", (n * 10_000_000 + p).cast("long").alias("id"), name.alias("name"), F.concat(_pick(["", "Body/"], p), name).alias("path"))
+    wanted = lines.select("l_orderkey", F.concat(_pick(["/", "\\", "x/", "BODY\\"], s), _pick(["sec", "bin"], p), (s % 4).cast("string")).alias("path")).distinct()
+    return diagnostics.entry_by_path(wanted, entries, "l_orderkey")
+
+
+def line_heights(spark, sf_dir):
+    """Pixels of orders as paragraphs, their lines as segments."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(c("l_suppkey") % 3 > 0, c("l_quantity") * 40).alias("size"), F.when(c("l_partkey") % 4 > 0, c("l_quantity") * 300).alias("text"), (c("l_partkey") % 2 * 900).alias("gap"))
+    return diagnostics.line_heights(lines, "l_orderkey", ["size", "text", "gap"])
+
+
+QUERIES = {f.__name__: f for f in (page_counters, document_counters, parsed_signals, line_summary, text_in_noise, audit_staleness, worst_pages, section_budgets, paginate_tables, stored_binaries, entries_by_path, line_heights)}
 
 _B = """b AS (SELECT l_orderkey AS k, (l_linenumber - 1) // 3 AS page, ['table', 'image', 'shape', 'textbox', 'equation', 'ole', 'paragraph', 'chart'][l_partkey % 8 + 1] AS kind, l_suppkey % 4 AS runs, l_partkey % 3 = 0 AS inline, l_suppkey % 2 AS heads, ['', 'CELL', ' '][l_suppkey % 3 + 1] AS brk, l_partkey % 5 > 1 AS explicit,
     l_suppkey % 3 > 1 AS overlap, l_partkey % 7 > 3 AS keep, ['', 'square', 'top-and-bottom'][l_partkey % 3 + 1] AS wrap, ['page', 'Column', 'para', ''][l_suppkey % 4 + 1] AS horz, ['Paper', 'paragraph', 'x'][l_partkey % 3 + 1] AS vert FROM lineitem)"""
@@ -166,4 +182,10 @@ ORACLES = {
         y AS (SELECT k, stream, name, lower(coalesce(nullif(x.e, ''), string_split(name, '.')[-1])) AS extension, x.r AS ref FROM m), z AS (SELECT *, regexp_matches(name, '\\.(png|jpg)$') OR extension IN ('png', 'jpg', 'bmp') AS image FROM y),
         b AS (SELECT k, stream AS ref, stream, name, extension, image FROM z UNION ALL SELECT k, ref, stream, name, extension, image FROM z WHERE ref > 0)
         SELECT k AS l_orderkey, ref, stream, name, extension, image FROM b QUALIFY row_number() OVER (PARTITION BY k, ref ORDER BY stream DESC, name DESC) = 1""",
+    "entries_by_path": r"""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, ['sec', 'bin'][l_linenumber % 2 + 1] || l_partkey % 4 AS name FROM lineitem),
+        w AS (SELECT DISTINCT k, ['/', '\', 'x/', 'BODY\'][s % 4 + 1] || ['sec', 'bin'][p % 2 + 1] || s % 4 AS path, ['', '', 'x/', 'body/'][s % 4 + 1] AS folder, ['sec', 'bin'][p % 2 + 1] || s % 4 AS name FROM l),
+        a AS (SELECT k, name, CASE p % 2 WHEN 0 THEN '' ELSE 'body/' END AS folder, max(n::BIGINT * 10000000 + p) AS id FROM l GROUP BY 1, 2, 3), b AS (SELECT k, name, min(n::BIGINT * 10000000 + p) AS id FROM l GROUP BY 1, 2)
+        SELECT w.k AS l_orderkey, path, coalesce(a.id, b.id) AS id FROM w LEFT JOIN a ON a.k = w.k AND a.name = w.name AND a.folder = w.folder LEFT JOIN b ON b.k = w.k AND b.name = w.name""",
+    "line_heights": """WITH l AS (SELECT l_orderkey AS k, greatest(CASE WHEN l_suppkey % 3 > 0 THEN l_quantity * 40 ELSE 0 END, CASE WHEN l_partkey % 4 > 0 THEN l_quantity * 300 ELSE 0 END, l_partkey % 2 * 900)::DOUBLE AS h FROM lineitem), s AS (SELECT k, sum(h) AS t, count(*) AS n FROM l WHERE h > 0 AND h <= 14400 GROUP BY 1)
+        SELECT k AS l_orderkey, greatest(11, least(96, floor(t / n / 75 + 0.5)))::BIGINT AS line_pixels, greatest(0, least(480, floor(t / 75 + 0.5)))::BIGINT AS layout_pixels FROM s""",
 }

@@ -58,6 +58,21 @@ def name_keys(spark, sf_dir):
     return given.select("doc_id", t.lookup_key(c("name")).alias("key"), t.extension(t.lookup_key(c("name"))).alias("ext"))
 
 
+def file_slugs(spark, sf_dir):
+    """Names of files from the first words of documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", t.file_slug(F.concat(F.regexp_extract("text", r"^\S+[ \t]*\S*", 0), F.when(c("doc_id") % 2 > 0, ".hwp ").otherwise("  --"))).alias("slug"))
+
+
+def typed_attributes(spark, sf_dir):
+    """Values of pages' attributes and of their addresses' last parts: numbers, and what is no number."""
+    pages = nodes.parsed(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+    values = nodes.node_table(pages, "page_id").select("page_id", F.explode(F.map_values(nodes.attributes(c("start")))).alias("value"))
+    parts = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("url", "[/?&=#]")).alias("value"))
+    typed = t.number_or_text(c("value"))
+    found = values.unionByName(parts).select("page_id", typed["number"].alias("number"), typed["text"].alias("text"), t.finite_number(c("value")).alias("finite"))
+    return found.groupBy("page_id").agg(F.count("number").alias("numbers"), F.count("text").alias("texts"), F.sum("number").alias("total"), F.count("finite").alias("finite"))
+
+
 def artifact_paths(spark, sf_dir):
     """The first place where the file of a part is, of four, among the files of suppliers."""
     p, s = c("p_partkey"), c("s_suppkey")
@@ -145,7 +160,7 @@ def table_metrics(spark, sf_dir):
     return found.withColumn("row_heights", F.array_join(F.transform("row_heights", lambda h: h.cast("long")), ",", "-"))
 
 
-QUERIES = {f.__name__: f for f in (reconciled, audit_against, sample_inventory, issue_order, name_keys, artifact_paths, section_order, font_dictionary, character_styles, border_fills, link_targets, object_placements, picture_blocks, table_metrics)}
+QUERIES = {f.__name__: f for f in (reconciled, audit_against, sample_inventory, issue_order, name_keys, file_slugs, typed_attributes, artifact_paths, section_order, font_dictionary, character_styles, border_fills, link_targets, object_placements, picture_blocks, table_metrics)}
 
 _LINES = """l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity AS q, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS i FROM lineitem)"""
 _FONTS = f"""{_LINES}, g AS (SELECT k, i, ['HANGUL', 'LATIN', 'OTHER', 'HANGUL'][p % 4 + 1] AS lang, (s % 3)::VARCHAR AS id, CASE WHEN p % 10 = 0 THEN '' ELSE 'F&' || p % 50 END AS face FROM l),
@@ -169,6 +184,11 @@ ORACLES = {
     "issue_order": r"""WITH d AS (SELECT doc_id, lang, source, regexp_extract(text, '^\S+ ?\S*') AS name FROM documents)
         SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 4, coalesce(name, '') COLLATE ko, coalesce(source, '') COLLATE ko, doc_id)::INT AS place FROM d""",
     "name_keys": r"""SELECT doc_id, coalesce(lower(nfc_normalize(regexp_extract(text, '^\S+'))) || '.hwp', '') AS key, CASE WHEN text IS NULL THEN '' ELSE 'hwp' END AS ext FROM documents""",
+    "file_slugs": r"""WITH n AS (SELECT doc_id, coalesce(strip_accents(regexp_extract(text, '^\S+[ \t]*\S*') || CASE WHEN doc_id % 2 > 0 THEN '.hwp ' ELSE '  --' END), '') AS name FROM documents)
+        SELECT doc_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(name, '[^0-9A-Za-z._-]+', '-', 'g'), '^-+|-+$', '', 'g'), '-+', '-', 'g')), ''), 'document') AS slug FROM n""",
+    "typed_attributes": rf"""WITH k AS (SELECT page_id, unnest(list_filter(regexp_extract_all(html, '<[^<>]+>'), lambda x: NOT regexp_matches(x, '^<[?!/]'))) AS tag FROM pages), a AS (SELECT page_id, unnest(regexp_extract_all(tag, '([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|''[^'']*'')', 2)) AS v FROM k),
+        v AS (SELECT page_id, v[2:-2] AS v FROM a UNION ALL SELECT page_id, unnest(string_split_regex(url, '[/?&=#]')) FROM pages), n AS (SELECT page_id, v, CASE WHEN regexp_full_match(v, '-?([0-9]+|[0-9]+\.[0-9]+|[0-9]+\.|\.[0-9]+)') THEN v::DOUBLE END AS x FROM v)
+        SELECT page_id, count(x) AS numbers, count(*) - count(x) AS texts, sum(x) AS total, count(x) + count(*) FILTER (x IS NULL AND trim(v) = '') + count(*) FILTER (x IS NULL AND trim(v) <> '' AND isfinite(try_cast(v AS DOUBLE))) AS finite FROM n GROUP BY 1""",
     "artifact_paths": """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN '/abs/' || p_size || '.png' ELSE 'out/' || p_size || '.png' END AS path, p_size FROM part),
         k AS (SELECT p_partkey, unnest(CASE WHEN path IS NULL OR path = '' THEN [] WHEN path[1] = '/' THEN [path, '/shots/' || p_size || '.png'] ELSE ['/root/' || path, '/root/reports/' || path, '/shots/' || p_size || '.png'] END) AS x, generate_subscripts(CASE WHEN path IS NULL OR path = '' THEN [] WHEN path[1] = '/' THEN [1, 2] ELSE [1, 2, 3] END, 1) AS n FROM p),
         e AS (SELECT DISTINCT ['/abs/', '/root/out/', '/root/reports/out/', '/shots/'][s_suppkey % 4 + 1] || s_suppkey % 50 || '.png' AS x FROM supplier),

@@ -199,11 +199,11 @@ def test_anchors(spark):
 
 
 def test_names_numbers_hashes(spark):
-    rows = spark.createDataFrame([(" Ábc ",), ("각",), (None,), ("X",), ("1.5",), ("-7",), (".5",), ("1e3",), ("",), ("Infinity",), ("한글 a",)], "x string")
+    rows = spark.createDataFrame([(" Ábc ",), ("각",), (None,), ("X",), ("1.5",), ("-7",), (".5",), ("1e3",), ("",), ("Infinity",), ("한글 a",), ("1d",), ("1e999",)], "x string")
     found = rows.select(t.lookup_key(F.col("x")).alias("k"), t.number_or_text(F.col("x")).alias("n"), t.finite_number(F.col("x")).alias("f"), t.hash_36(F.col("x")).alias("h")).collect()
     assert [r.k for r in found][:4] == ["ábc", "각", "", "x"]
     assert [(r.n.number, r.n.text) for r in found][3:9] == [(None, "X"), (1.5, None), (-7.0, None), (0.5, None), (None, "1e3"), (None, "")]
-    assert [r.f for r in found][3:10] == [None, 1.5, -7.0, 0.5, 1000.0, 0.0, None]
+    assert [r.f for r in found][3:10] == [None, 1.5, -7.0, 0.5, 1000.0, 0.0, None] and [r.f for r in found][-2:] == [None, None]
 
     def fnv(s):
         h = 2166136261
@@ -215,7 +215,9 @@ def test_names_numbers_hashes(spark):
             h //= 36
         return out
 
-    assert [r.h for r in found][3:] == [fnv(x) for x in ("X", "1.5", "-7", ".5", "1e3", "", "Infinity", "한글 a")]
+    assert [r.h for r in found][3:11] == [fnv(x) for x in ("X", "1.5", "-7", ".5", "1e3", "", "Infinity", "한글 a")]
+    slugs = spark.createDataFrame([("Ünï co_dé.HWP",), ("한글",), ("--a--b ",), (None,)], "x string").select(t.file_slug(F.col("x"))).collect()
+    assert [r[0] for r in slugs] == ["uni-co_de.hwp", "document", "a-b", "document"]
 
 
 def test_korean_order(spark):
