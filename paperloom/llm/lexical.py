@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.store import save
 from paperloom.llm.textcore import Words, kept, raw, spans
 
-#: Items of a block, and terms of its items together at most (an item alone may have more).
-ITEMS, ENTRIES = 1024, 1 << 20
+#: Items of a block, and cells of its item matrices: items times terms of all of them (an item alone may have more).
+ITEMS, CELLS = 1024, 1 << 22
 #: Documents of a tile, terms of a vocabulary tile.
 DOCS, TERMS = 512, 4096
 #: Salts of the first ranking.
@@ -227,7 +227,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, text: str = "text", d
     ignored, whatever their names. Terms are told apart by 64-bit hashes.
 
     Each block of items reads the documents twice, for the statistics of its
-    terms and for the scores; its size is bounded by ITEMS and ENTRIES.
+    terms and for the scores; its size is bounded by ITEMS and CELLS.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -263,10 +263,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, text: str = "text", d
 
 
 def _blocks(sizes) -> Iterator[list[int]]:
-    """Runs of items (item, n) of at most ITEMS items and ENTRIES terms, or of one item."""
+    """Runs of items (item, n terms) of at most ITEMS items and CELLS cells, or of one item."""
     block, room = [], 0
     for item, n in sizes:
-        if block and (len(block) == ITEMS or room + n > ENTRIES):
+        if block and (len(block) == ITEMS or (len(block) + 1) * (room + n) > CELLS):
             yield block
             block, room = [], 0
         block.append(item)

@@ -160,6 +160,14 @@ def test_vocabulary_tiles_stay_exact():
     assert total == dict(zip(zip(item, term), weight.tolist()))
 
 
+def test_blocks_bound_their_matrices(monkeypatch):
+    monkeypatch.setattr(lexical, "CELLS", 100)
+    sizes = [(k, n) for k, n in enumerate([5, 5, 5, 5, 5, 200, 1, 1, 30, 30])]
+    blocks = list(lexical._blocks(iter(sizes)))
+    assert [x for b in blocks for x in b] == list(range(10)) and [5] in blocks
+    assert all(len(b) == 1 or len(b) * sum(sizes[k][1] for k in b) <= 100 for b in blocks)
+
+
 def test_impacts_beyond_64_bits():
     tf, n = np.array([1, 5]), np.array([10, 1 << 40])
     said = lexical.impacts(tf, n, 1 << 30, 1 << 50)
