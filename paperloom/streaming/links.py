@@ -9,9 +9,9 @@ from paperloom.functions import text as t
 
 
 def page_stream(spark: SparkSession, sf_dir: str, name: str = "pages", files_a_batch: int = 8) -> DataFrame:
-    """A table's files as they arrive."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table's files as they arrive; the table is one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
 def observe(pages: DataFrame) -> DataFrame:
@@ -29,25 +29,24 @@ LATEST = "href string, page_id long, pos long, first_seen struct<page_id: long,
 
 
 def keep_latest(stream: DataFrame, to: str, limit: int = 100) -> DataFrame:
-    """Upserts each batch's links into the list of the latest: by href the last page wins, the newest `limit` stay.
+    """The list of the latest links: by href the last page wins, the newest `limit` stay, those of one page in the order in which they first came.
 
-    Batch n reads version n - 1 and writes version n, so a batch that runs
+    The stream's state holds every href seen, since one that fell off the list may
+    come again and keeps its first place. Batch n writes version n of the list, so a batch that runs
     again gives the same version, and a query that starts again from its
-    checkpoint goes on with the list it had.
+    checkpoint goes on with the state it had. Version -1 is the list before any batch.
     """
     spark = stream.sparkSession
+    place = F.struct("page_id", F.col("pos").cast("long").alias("pos")).alias("place")
+    found = stream.select("page_id", F.posexplode(t.hrefs(F.col("html"))).alias("pos", "href")).select("href", place)
+    seen = found.groupBy("href").agg(F.max("place").alias("last"), F.min("place").alias("first_seen"))
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        found = batch.select("page_id", F.posexplode(t.hrefs(F.col("html"))).alias("pos", "href"))
-        place = F.struct("page_id", F.col("pos").cast("long").alias("pos"))
-        new = found.select("href", place.alias("last"), place.alias("first_seen"))
-        if number:
-            old = batch.sparkSession.read.schema(LATEST).parquet(f"{to}/version={number - 1}")
-            new = new.unionByName(old.select("href", F.struct("page_id", "pos").alias("last"), "first_seen"))
-        kept = new.groupBy("href").agg(F.max("last").alias("last"), F.min("first_seen").alias("first_seen")).select("href", "last.*", "first_seen")
-        kept.orderBy(F.desc("page_id"), "first_seen").limit(limit).write.mode("overwrite").parquet(f"{to}/version={number}")
-
-    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{to}-state").trigger(availableNow=True).start().awaitTermination()
+    def write(every: DataFrame, number: int) -> None:
+        kept = every.select("href", "last.*", "first_seen").orderBy(F.desc("page_id"), "first_seen").limit(limit)
+        kept.write.mode("overwrite").parquet(f"{to}/version={number}")
+
+    spark.createDataFrame([], LATEST).write.mode("overwrite").parquet(f"{to}/version=-1")
+    seen.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{to}-state").trigger(availableNow=True).start().awaitTermination()
     every = spark.read.schema(f"{LATEST}, version int").parquet(to)
     newest = every.agg(F.max("version")).first()[0]
     return every.where(F.col("version") == F.lit(newest)).drop("version")

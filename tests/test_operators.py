@@ -172,3 +172,18 @@ def test_first_key_that_any_audit_has(spark):
     rows = spark.createDataFrame([(1, ["x", "a"]), (2, ["", None]), (3, ["b", "a"])], "r long, k array<string>")
     others = spark.createDataFrame([(7, ["a"]), (5, ["a", "c"]), (9, ["b"])], "o long, j array<string>")
     assert sorted(tuple(r) for r in reports.first_key_match(rows, "r", F.col("k"), others, "o", F.col("j")).collect()) == [(1, 5), (2, None), (3, 9)]
+
+
+def test_streams_read_tables_in_folders(spark, tmp_path):
+    """A link that fell off the list keeps its first place when it comes again, as in the SQL; files come one a batch."""
+    from paperloom.plans import live
+    from paperloom.streaming import links
+
+    hrefs = [(1, ["a", "b"]), (2, ["c", "d", "e"]), (3, ["f", "b", "a"])]
+    for k, found in hrefs:
+        rows = spark.createDataFrame([(k, "".join(f'<a href="{h}">' for h in found))], "page_id long, html string")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "pages.parquet"))
+    stream = links.page_stream(spark, str(tmp_path), files_a_batch=1)
+    assert sorted((r.href, r.page_id) for r in links.keep_latest(stream, str(tmp_path / "out"), 2).collect()) == [("a", 3), ("b", 3)]
+    assert sorted(map(tuple, live.stream_links(spark, str(tmp_path)).collect())) == sorted((k, h) for k, found in hrefs for h in found)
+    assert live.stream_latest_links(spark, str(tmp_path)).count() == 6
