@@ -40,9 +40,13 @@ def without_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
+#: Entities and what they stand for.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
+
+
 def named_entities(c: Column) -> Column:
     """The five named entities, the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+    for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
 

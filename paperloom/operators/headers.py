@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import codes
 from paperloom.operators import nodes
+from paperloom.sources import tables
 
 #: Attributes of a font reference in the order in which the main and the Latin font look for one.
 MAIN = ["hangul", "other", "latin", "hanja", "japanese", "symbol", "user"]
@@ -16,34 +17,38 @@ LATIN = ["latin", "hangul", "other", "hanja", "japanese", "symbol", "user"]
 
 def described(pages: DataFrame, key: str) -> DataFrame:
     """The node table of parsed headers with attributes as a map."""
-    return nodes.node_table(pages, key).withColumn("attributes", nodes.attributes(F.col("start"))).drop("start")
-
-
-def pivoted(tree: DataFrame, key: str, name: str | list[str], children: dict[str, tuple[str, str]], below: dict[str, tuple[str, str]]) -> DataFrame:
-    """(key, node, attributes, a column for each entry) of the elements of a name or some: the attribute of their first child of a name, or of the first element of a name anywhere below. Null where there is none."""
-    of = tree.where(F.col("name").isin(name)).select(key, "node", "last", "attributes")
-    first = lambda c: F.min_by("attributes", F.when(F.col("name") == c, F.col("inner")))
-
-    def found(rows, entries):
-        names = {c for c, _ in entries.values()}
-        gathered = rows.where(F.col("name").isin(*names)).groupBy(key, "node").agg(*[first(c).alias(f"of_{c}") for c in sorted(names)])
-        return gathered.select(key, "node", *[F.try_element_at(f"of_{c}", F.lit(a)).alias(n) for n, (c, a) in entries.items()])
-
-    out = of
-    if children:
-        out = out.join(found(tree.select(key, F.col("parent").alias("node"), F.col("node").alias("inner"), "name", "attributes").join(of.select(key, "node"), [key, "node"], "left_semi"), children), [key, "node"], "left")
-    if below:
-        wanted = tree.where(F.col("name").isin(*{c for c, _ in below.values()}))
-        pairs = nodes.within(wanted, of, key).select(key, F.col("node").alias("inner"), F.col("ancestor").alias("node"))
-        out = out.join(found(pairs.join(wanted.select(key, F.col("node").alias("inner"), "name", "attributes"), [key, "inner"]), below), [key, "node"], "left")
-    return out.drop("last")
+    tree = nodes.node_table(pages, key)
+    return tree if "attributes" in tree.columns else tree.withColumn("attributes", nodes.attributes(F.col("start"))).drop("start")
+
+
+def pivoted(tree: DataFrame, key: str, name: str | list[str], children: dict[str, tuple[str, str | None]], below: dict[str, tuple[str, str]]) -> DataFrame:
+    """(key, node, attributes, a column for each entry) of the elements of a name or some: the attribute of their first child of a name, or of the first element of a name anywhere below. Null where there is none; a child without attribute in its entry gives an empty text."""
+    own = F.col("name").isin(name)
+    of_children, of_below = ({c for c, _ in x.values()} for x in (children, below))
+    rows = tree.where(F.col("name").isin(*([name] if isinstance(name, str) else name), *of_children, *of_below))
+    later = W.partitionBy(key).orderBy(F.desc("node")).rowsBetween(W.unboundedPreceding, -1)
+    for k, c in enumerate(sorted(of_below)):
+        # numbers are in pre-order: the next element of the name is the first one below, or none is
+        next_one = F.last(F.when(F.col("name") == c, F.struct("node", F.col("attributes").alias("held"))), ignorenulls=True).over(later)
+        rows = rows.withColumn(f"below_{k}", next_one)
+    found = {n: F.when(F.col(f"below_{k}.node") <= F.col("last"), F.try_element_at(F.col(f"below_{k}.held"), F.lit(a))) for n, (c, a) in below.items() for k in [sorted(of_below).index(c)]}
+    # an element meets its children under its own number; it may be a child of another as well
+    itself = F.struct(F.col("node").alias("of"), F.lit(None).cast("int").alias("inner"), F.struct("attributes", *[v.alias(n) for n, v in found.items()]).alias("own"))
+    child = F.struct(F.col("parent").alias("of"), F.col("node").alias("inner"), F.lit(None).cast(rows.select(itself.own.alias("own")).schema["own"].dataType).alias("own"))
+    is_child = F.col("name").isin(*of_children) & F.col("parent").isNotNull() if of_children else F.lit(False)
+    told = rows.select(key, "name", "attributes", F.explode(F.array_compact(F.array(F.when(own, itself), F.when(is_child, child)))).alias("m"))
+    told = told.select(key, F.col("m.of").alias("node"), "m.inner", F.col("m.own").alias("own"), "name", *[F.when(F.col("m.inner").isNotNull() & (F.col("name") == c), F.struct("m.inner", (F.lit("") if a is None else F.try_element_at("attributes", F.lit(a))).alias("value"))).alias(n) for n, (c, a) in children.items()])
+    # the least number is the first child of the name, whatever it says
+    met = told.groupBy(key, "node").agg(F.first("own", ignorenulls=True).alias("own"), *[F.min(n).alias(n) for n in children])
+    return met.where("own is not null").select(key, "node", "own.*", *[F.col(f"{n}.value").alias(n) for n in children])
 
 
 def fonts(tree: DataFrame, key: str) -> DataFrame:
     """(key, lang, id, face): fonts by language, HANGUL where none is said, and number; the last of a number."""
-    faces = tree.where("name = 'fontface'").select(key, F.col("node").alias("parent"), F.upper(F.coalesce(F.nullif(F.try_element_at("attributes", F.lit("lang")), F.lit("")), F.lit("HANGUL"))).alias("lang"))
-    inner = tree.where("name = 'font'").select(key, "parent", "node", F.try_element_at("attributes", F.lit("id")).alias("id"), F.coalesce(F.try_element_at("attributes", F.lit("face")), F.lit("")).alias("face"))
-    return inner.join(faces, [key, "parent"]).where("id is not null").groupBy(key, "lang", "id").agg(F.max_by("face", "node").alias("face"))
+    is_face, of = F.col("name") == "fontface", lambda n: F.try_element_at("attributes", F.lit(n))
+    rows = tree.where(F.col("name").isin("fontface", "font")).select(key, F.when(is_face, F.col("node")).otherwise(F.col("parent")).alias("of"), F.when(is_face, F.upper(F.coalesce(F.nullif(of("lang"), F.lit("")), F.lit("HANGUL")))).alias("lang"), F.when(~is_face & of("id").isNotNull(), F.struct(of("id").alias("id"), "node", F.coalesce(of("face"), F.lit("")).alias("face"))).alias("font"))
+    met = rows.where("of is not null").groupBy(key, "of").agg(F.max("lang").alias("lang"), F.collect_list("font").alias("fonts")).where("lang is not null")
+    return met.select(key, "lang", F.inline("fonts")).groupBy(key, "lang", "id").agg(F.max_by("face", "node").alias("face"))
 
 
 def _first(attributes: Column, names: list[str]) -> Column:
@@ -61,11 +66,13 @@ def character_styles(tree: DataFrame, key: str) -> DataFrame:
     HANGUL, else OTHER, else LATIN fonts; the Latin one is told where it is
     another. Empty where no dictionary has it. Sizes are tenths of a point.
     """
-    styles = tree.where("name = 'charpr'").select(key, "node", "attributes")
+    held = tree.where(F.col("name").isin("charpr", "fontref", "bold", "italic", "fontface", "font"))
+    tree = tables.saved(held.select(key, "node", "parent", "name", "attributes"), "styles")
     flag = lambda n: F.coalesce(F.bool_or(F.col("name") == n), F.lit(False)).alias(n)
-    inner = tree.where(F.col("name").isin("fontref", "bold", "italic")).select(key, F.col("parent").alias("node"), F.col("node").alias("inner"), "name", F.col("attributes").alias("held"))
-    inner = inner.groupBy(key, "node").agg(F.min_by("held", F.when(F.col("name") == "fontref", F.col("inner"))).alias("refs"), flag("bold"), flag("italic"))
-    rows = styles.join(inner, [key, "node"], "left")
+    # a style meets what is in it under its own number
+    is_style = F.col("name") == "charpr"
+    rows = tree.where(F.col("name").isin("charpr", "fontref", "bold", "italic")).withColumn("of", F.explode(F.array_compact(F.array(F.when(is_style, F.col("node")), F.when(~is_style, F.col("parent"))))))
+    rows = rows.groupBy(key, F.col("of").alias("node")).agg(F.first(F.when(is_style, F.col("attributes")), ignorenulls=True).alias("attributes"), F.min_by("attributes", F.when(F.col("name") == "fontref", F.col("node"))).alias("refs"), flag("bold"), flag("italic")).where("attributes is not null")
     rows = rows.select(key, "node", _number(F.try_element_at("attributes", F.lit("id")), None).cast("long").alias("id"), _number(F.try_element_at("attributes", F.lit("height"))).alias("height"), _first(F.col("refs"), MAIN).alias("main"), _first(F.col("refs"), LATIN).alias("other"), F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("italic", F.lit(False)).alias("italic")).where("id is not null")
     known = fonts(tree, key).withColumn("face", F.nullif("face", F.lit("")))
 
@@ -101,9 +108,8 @@ def placements(tree: DataFrame, key: str, names: list[str]) -> DataFrame:
     """
     entries = {n: ("pos", a) for n, a in (("treat", "treatAsChar"), ("spacing", "affectLSpacing"), ("flow", "flowWithText"), ("over", "allowOverlap"), ("hold", "holdAnchorAndSO"), ("horz", "horzRelTo"), ("vert", "vertRelTo"), ("across", "horzAlign"), ("down", "vertAlign"), ("pos_x", "horzOffset"), ("pos_y", "vertOffset"))}
     entries |= {"x": ("offset", "x"), "y": ("offset", "y"), "protect": ("sz", "protect"), "left": ("outmargin", "left"), "right": ("outmargin", "right")}
-    placed = tree.where("name = 'pos'").select(key, F.col("parent").alias("node"), F.lit(True).alias("has_pos")).distinct()
-    rows = pivoted(tree, key, names, entries, {}).join(placed, [key, "node"], "left")
-    has = F.coalesce("has_pos", F.lit(False))
+    rows = pivoted(tree, key, names, entries | {"has_pos": ("pos", None)}, {})
+    has = F.col("has_pos").isNotNull()
     on = lambda c: F.coalesce(F.col(c) == "1", F.lit(False))
     return rows.select(
         key, "node", on("treat").alias("inline"), on("spacing").alias("affects_spacing"), on("flow").alias("flows"), on("over").alias("overlap"), on("hold").alias("keep"), on("protect").alias("protected"),

@@ -2,11 +2,13 @@
 
 A node and what is below it have the numbers node .. last, so an axis is a
 containment of intervals. Only the order of tags needs a stack; a small loop
-over the tags of each document keeps it, everything else is joins and windows.
+over the tags of each document keeps it, and names the tags in passing, which costs
+less there than expressions over arrays; everything else is joins and windows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,59 +24,131 @@ from paperloom.sources import tables
 TAG = "<[^<>]+>"
 NAME = r"^<\s*/?\s*(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)"
 ATTRIBUTE = r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*')"""
-_NODE = T.StructType([T.StructField(n, k) for n, k in (("tag", T.IntegerType()), ("node", T.IntegerType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("last", T.IntegerType()), ("closed", T.BooleanType()))])
-_ARROW = pa.struct([("tag", pa.int32()), ("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("last", pa.int32()), ("closed", pa.bool_())])
-
-
-def _stacked(kinds: list[int], names: list[str]) -> tuple[list[dict], list[int]]:
-    """Nodes of a list of tags, and the node that is open after each tag (-1: none)."""
-    nodes, stack, owners = [], [], []
-    for k, (kind, name) in enumerate(zip(kinds, names)):
-        if kind == 2:
-            while stack:
-                node = nodes[stack.pop()]
-                node["last"], node["closed"] = len(nodes) - 1, True
-                if names[node["tag"]] == name:
-                    break
-        elif kind:
-            n = len(nodes)
-            nodes.append({"tag": k, "node": n, "parent": stack[-1] if stack else None, "depth": len(stack) + 1, "last": n, "closed": kind == 3})
-            if kind == 1:
-                stack.append(n)
-        owners.append(stack[-1] if stack else -1)
-    for n in stack:
-        nodes[n]["last"] = len(nodes) - 1
-    return nodes, owners
-
-
-def parsed(docs: DataFrame, key: str, markup: str, void: list[str] = [], only: list[str] | None = None) -> DataFrame:  # noqa: B006
-    """(key, tags, texts, nodes, owners): each document's tags, what stands between them, its nodes and the open node after each tag.
+_TAG, _NAMED, _ATTRIBUTE = (re.compile(x, re.ASCII) for x in (TAG, NAME, ATTRIBUTE))
+_CLOSING, _END, _EMPTY = (re.compile(x, re.ASCII) for x in (r"<\s*/", r"<\s*/\s*[A-Za-z_][\w:.-]*\s*>\Z", r"/\s*>\Z"))
+_LEAST = [("node", T.IntegerType()), ("name", T.StringType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("last", T.IntegerType()), ("closed", T.BooleanType())]
+_HELD = {"start": T.StringType(), "attributes": T.MapType(T.StringType(), T.StringType())}
+#: How many characters of markup are worked on at a time.
+PART = 1 << 20
+
+
+def _kind(tag: str, void: set[str], only: set[str] | None) -> tuple[int, str]:
+    """What a tag is (0 nothing, 1 start, 2 end, 3 empty element) and its name."""
+    found = _NAMED.match(tag)
+    name = found[1].lower() if found else ""
+    if tag[1] in "?!" or not name or only and name not in only:
+        return 0, name
+    if _CLOSING.match(tag):
+        return (2 if _END.match(tag) else 0), name
+    return (3 if name in void or _EMPTY.search(tag) else 1), name
+
+
+def _valued(tag: str) -> dict[str, str]:
+    """As attributes() has them."""
+    out = {}
+    if "=" not in tag:
+        return out
+    for name, value in _ATTRIBUTE.findall(tag):
+        value = value[1:-1]
+        if "&" in value:
+            for entity, char in t.ENTITIES:
+                value = value.replace(entity, char)
+        out[name.rsplit(":", 1)[-1]] = value
+    return out
+
+
+def _lists(offsets: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def parsed(docs: DataFrame, key: str, markup: str, void: list[str] = [], only: list[str] | None = None, held: tuple[str, ...] = ("texts", "start"), told: list[str] | None = None) -> DataFrame:  # noqa: B006
+    """(key, nodes, texts, owners): each document's nodes, what stands between its tags and the open node after each tag (-1: none).
 
     An end tag closes what is open down to the nearest element of its name,
     all of it if there is none. What never ends reaches to the last node. Names
     are local and lower-case; elements of void names have no content; with
     only, tags of other names count for nothing. Null markup has no nodes.
+    held says what comes along: texts (with owners), and of each node its start tag or its attributes.
+    With told, nodes of other names are numbered but left out of nodes.
     """
-    name = lambda tag: F.lower(F.regexp_extract(tag, NAME, 1))
-    known = lambda tag: name(tag).isin(only) if only else name(tag) != ""
-    kind = lambda tag: F.when(F.regexp_like(tag, F.lit("^<[?!]")) | ~known(tag), 0).when(F.regexp_like(tag, F.lit(r"^<\s*/")), F.when(F.regexp_like(tag, F.lit(r"^<\s*/\s*[A-Za-z_][\w:.-]*\s*>$")), 2).otherwise(0)).when(F.regexp_like(tag, F.lit(r"/\s*>$")) | name(tag).isin(void), 3).otherwise(1)
-    rows = docs.select(F.col(key).alias("key"), F.regexp_extract_all(markup, F.lit(TAG), F.lit(0)).alias("tags"), F.split(F.col(markup), TAG, -1).alias("texts")).where("tags is not null")
-    rows = rows.select("key", "tags", "texts", F.transform("tags", kind).alias("kinds"), F.transform("tags", name).alias("names"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("nodes", T.ArrayType(_NODE)), T.StructField("owners", T.ArrayType(T.IntegerType()))])
+    fields = _LEAST + [(n, k) for n, k in _HELD.items() if n in held]
+    rows = docs.select(F.col(key).alias("key"), F.col(markup).alias("markup")).where("markup is not null")
+    schema = T.StructType([rows.schema["key"], T.StructField("nodes", T.ArrayType(T.StructType([T.StructField(n, k) for n, k in fields])))])
+    if "texts" in held:
+        schema = schema.add("texts", T.ArrayType(T.StringType())).add("owners", T.ArrayType(T.IntegerType()))
+    void, only, told = set(void), set(only) if only else None, set(told) if told else None
+
+    def work(keys: pa.Array, pages: list[str]) -> pa.RecordBatch:
+        seen: dict[str, tuple[int, str, dict | None]] = {}
+        columns = {n: [] for n, _ in fields if n != "attributes"}
+        node, name_of, parent, depth, last, closed = (columns[n] for n, _ in _LEAST)
+        starts, pairs, names, values = columns.get("start"), [0], [], []
+        texts, owners, ends, text_ends, owner_ends = [], [], [0], [0], [0]
+        for page in pages:
+            count, stack = 0, []  # of what is open: node, name, place among the told ones
+            for tag in _TAG.findall(page):
+                what = seen.get(tag)
+                if what is None:
+                    kind, name = _kind(tag, void, only)
+                    tells = kind in (1, 3) and (not told or name in told)
+                    what = seen[tag] = kind, name, (_valued(tag) if "attributes" in held else {}) if tells else None
+                kind, name, found = what
+                if kind == 2:
+                    while stack:
+                        _, opened, place = stack.pop()
+                        if place >= 0:
+                            last[place], closed[place] = count - 1, True
+                        if opened == name:
+                            break
+                elif kind:
+                    if found is not None:
+                        node.append(count)
+                        name_of.append(name)
+                        parent.append(stack[-1][0] if stack else None)
+                        depth.append(len(stack) + 1)
+                        last.append(count)
+                        closed.append(kind == 3)
+                        if starts is not None:
+                            starts.append(tag)
+                        names += found
+                        values += found.values()
+                        pairs.append(len(names))
+                    if kind == 1:
+                        stack.append((count, name, len(node) - 1 if found is not None else -1))
+                    count += 1
+                if "texts" in held:
+                    owners.append(stack[-1][0] if stack else -1)
+            for _, _, place in stack:
+                if place >= 0:
+                    last[place] = count - 1
+            ends.append(len(node))
+            if "texts" in held:
+                texts += _TAG.split(page)
+                text_ends.append(len(texts))
+                owner_ends.append(len(owners))
+        kinds = {"name": pa.string(), "start": pa.string(), "closed": pa.bool_()}
+        made = [pa.array(columns[n], kinds.get(n, pa.int32())) if n != "attributes" else pa.MapArray.from_arrays(pa.array(pairs, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string())) for n, _ in fields]
+        out = [keys, _lists(ends, pa.StructArray.from_arrays(made, [n for n, _ in fields]))]
+        if "texts" in held:
+            out += [_lists(text_ends, pa.array(texts, pa.string())), _lists(owner_ends, pa.array(owners, pa.int32()))]
+        return pa.RecordBatch.from_arrays(out, schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_stacked(k, n) for k, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            nodes, owners = zip(*made) if made else ([], [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.list_(_ARROW)), pa.array(owners, pa.list_(pa.int32()))], [*batch.schema.names, "nodes", "owners"])
+            at, size, pages = 0, 0, []
+            for k, page in enumerate(batch.column(1)):
+                pages.append(page.as_py())
+                size += len(pages[-1])
+                if size >= PART or k + 1 == batch.num_rows:
+                    yield work(batch.column(0).slice(at, len(pages)), pages)
+                    at, size, pages = k + 1, 0, []
 
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def node_table(pages: DataFrame, key: str) -> DataFrame:
-    """(key, node, name, parent, depth, last, closed, start): a row for each node of parsed documents; start is its tag. key tells documents apart."""
-    rows = pages.select(key, "tags", "names", F.explode("nodes").alias("n"))
-    return rows.select(key, "n.node", F.get("names", F.col("n.tag")).alias("name"), "n.parent", "n.depth", "n.last", "n.closed", F.get("tags", F.col("n.tag")).alias("start"))
+    """(key, node, name, parent, depth, last, closed, start): a row for each node of parsed documents; start is its tag, or there are attributes where these are held. key tells documents apart."""
+    return pages.select(key, F.inline("nodes"))
 
 
 def attributes(start: Column) -> Column:

@@ -116,8 +116,8 @@ def tall_rows(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", ((n - 1) / 2).cast("long").alias("row"), n, p, "l_suppkey", cell.alias("cell"))
     rows = lines.groupBy("l_orderkey", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(n, p, "l_suppkey", "cell"))), lambda x: x["cell"]), "").alias("cells"))
     tables = rows.groupBy("l_orderkey").agg(F.concat(F.lit("<hp:tbl>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "cells"))), lambda x: F.concat(F.lit("<hp:tr>"), x["cells"], F.lit("</hp:tr>"))), ""), F.lit("</hp:tbl>")).alias("xml"))
-    pages = nodes.parsed(tables, "l_orderkey", "xml")
-    tree = nodes.node_table(pages, "l_orderkey").withColumn("attributes", nodes.attributes(c("start")))
+    pages = nodes.parsed(tables, "l_orderkey", "xml", held=("texts", "attributes"))
+    tree = nodes.node_table(pages, "l_orderkey")
     texts = pages.select("l_orderkey", F.inline(F.arrays_zip(c("owners").alias("node"), F.slice("texts", 2, F.size("texts")).alias("text")))).where("node >= 0").groupBy("l_orderkey", "node").agg(F.sum(F.length("text")).alias("length"))
     found = nodes.row_summaries(tree, "l_orderkey", texts).withColumn("size_class", c("l_orderkey") % 3)
     ranked = reports.top_by(found, ["size_class"], [F.desc("max_height"), F.desc("text_length"), F.asc("l_orderkey"), F.asc("node")], 20)

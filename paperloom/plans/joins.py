@@ -97,7 +97,7 @@ def section_order(spark, sf_dir):
 _LANGS = ["HANGUL", "latin", "OTHER", ""]
 
 
-def _headers(spark, sf_dir):
+def _headers(spark, sf_dir, told):
     """A header for each order, an element of each sort for each line."""
     p, s, n = c("l_partkey"), c("l_suppkey"), c("l_linenumber")
     lang = F.element_at(F.array(*map(F.lit, _LANGS)), (p % 4).cast("int") + 1)
@@ -110,19 +110,19 @@ def _headers(spark, sf_dir):
         _text('<hc:fillBrush><hc:winBrush faceColor="#', p, '"/></hc:fillBrush></hh:borderFill>'),
     )
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(n, p, s, c("l_quantity"), c("l_returnflag"), line.alias("line")))), lambda x: x["line"]), "").alias("xml"))
-    return headers.described(nodes.parsed(lines, "l_orderkey", "xml"), "l_orderkey")
+    return headers.described(nodes.parsed(lines, "l_orderkey", "xml", held=("attributes",), told=told), "l_orderkey")
 
 
 def font_dictionary(spark, sf_dir):
-    return headers.fonts(_headers(spark, sf_dir), "l_orderkey")
+    return headers.fonts(_headers(spark, sf_dir, ["fontface", "font"]), "l_orderkey")
 
 
 def character_styles(spark, sf_dir):
-    return headers.character_styles(_headers(spark, sf_dir), "l_orderkey")
+    return headers.character_styles(_headers(spark, sf_dir, ["charpr", "fontref", "bold", "italic", "fontface", "font"]), "l_orderkey")
 
 
 def border_fills(spark, sf_dir):
-    return headers.border_fills(_headers(spark, sf_dir), "l_orderkey")
+    return headers.border_fills(_headers(spark, sf_dir, ["borderfill", "leftborder", "rightborder", "topborder", "bottomborder", "winbrush"]), "l_orderkey")
 
 
 def link_targets(spark, sf_dir):
@@ -132,7 +132,7 @@ def link_targets(spark, sf_dir):
     return links.select("page_id", "pos", urls.absolute(t.named_entities(urls.address(c("anchor"))), c("base")).alias("url"), said.alias("text"))
 
 
-def _objects(spark, sf_dir):
+def _objects(spark, sf_dir, told):
     """An object for each line of an order, as XML."""
     p, s, n, q = c("l_partkey"), c("l_suppkey"), c("l_linenumber"), c("l_quantity").cast("long")
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values)).cast("int") + 1)
@@ -140,16 +140,16 @@ def _objects(spark, sf_dir):
     sizes = F.concat(F.when(s % 4 > 0, _text('<hp:curSz width="', s % 4 - 1, '" height="', p % 3, '"/>')).otherwise(""), _text('<hp:orgSz width="', q, '" height="', q + 1, '"/>'))
     line = F.concat(_text('<hp:pic zOrder="', n, '">'), F.when(p % 4 > 0, pos).otherwise(_text('<hp:offset x="', s, '" y="-', p, '"/>')), sizes, _text('<hp:sz protect="', s % 2, '"/><hp:outMargin left="', p % 9, '"/><hp:x><hc:img binaryItemIDRef="image', s % 5, '"/></hp:x></hp:pic>'))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(n, p, s, q, line.alias("line")))), lambda x: x["line"]), "").alias("xml"))
-    return headers.described(nodes.parsed(lines, "l_orderkey", "xml"), "l_orderkey")
+    return headers.described(nodes.parsed(lines, "l_orderkey", "xml", held=("attributes",), told=told), "l_orderkey")
 
 
 def object_placements(spark, sf_dir):
-    return headers.placements(_objects(spark, sf_dir), "l_orderkey", ["pic"]).drop("node").withColumn("order", c("order").cast("long"))
+    return headers.placements(_objects(spark, sf_dir, ["pic", "pos", "offset", "sz", "outmargin"]), "l_orderkey", ["pic"]).drop("node").withColumn("order", c("order").cast("long"))
 
 
 def picture_blocks(spark, sf_dir):
     images = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(0), (c("o_custkey") % 5).cast("int"))).alias("k")).select("l_orderkey", _text("image", c("k")).alias("ref"), F.when(c("k") != 1, _text("data:", c("k"))).otherwise("").alias("source"))
-    return headers.pictures(_objects(spark, sf_dir), images, "l_orderkey").drop("node")
+    return headers.pictures(_objects(spark, sf_dir, ["pic", "cursz", "orgsz", "img"]), images, "l_orderkey").drop("node")
 
 
 def table_metrics(spark, sf_dir):

@@ -234,3 +234,13 @@ def test_places_of_a_hot_key(spark):
         wanted.setdefault(key, []).append(n)
     assert {(x.key, x.place): x.n for x in found} == {(k, i + 1): n for k, ns in wanted.items() for i, n in enumerate(ns)} and found[0].row == "x"
     assert reports.placed(df.limit(0), "key", [F.col("n")]).count() == 0
+
+
+def test_pivots_of_wanted_nodes_only(spark):
+    """Nodes told by name keep their numbers; a child counts for its parent only, what is below for all above, and what follows an element for none of them."""
+    xml = '<r><b id="1"><x><w c="in"/></x><s t="own"/><b id="2"><s t="deep"/></b></b><b id="3"><s/><s t="later"/></b><w c="after"/></r>'
+    rows = spark.createDataFrame([(7, xml)], "k long, xml string")
+    tree = headers.described(nodes.parsed(rows, "k", "xml", held=("attributes",), told=["b", "s", "w"]), "k")
+    assert [(r.node, r["name"], r.parent, r.last) for r in tree.orderBy("node").collect()] == [(1, "b", 0, 6), (3, "w", 2, 3), (4, "s", 1, 4), (5, "b", 1, 6), (6, "s", 5, 6), (7, "b", 0, 9), (8, "s", 7, 8), (9, "s", 7, 9), (10, "w", 0, 10)]
+    got = headers.pivoted(tree, "k", "b", {"t": ("s", "t"), "some": ("s", None)}, {"c": ("w", "c")}).orderBy("node").collect()
+    assert [(r.node, r.attributes["id"], r.t, r.some, r.c) for r in got] == [(1, "1", "own", "", "in"), (5, "2", "deep", "", None), (7, "3", None, "", None)]
