@@ -48,10 +48,11 @@ def trim_blank_ends(rows: DataFrame, key: str, order: str, blank: Column) -> Dat
 
 def list_markers(rows: DataFrame, key: str, order: str, level: str, depth: int) -> DataFrame:
     """rows with marker: the counters of the levels down to the row's own, joined by dots. A level's counter starts anew below a shallower row; one not begun shows nothing."""
-    w = W.partitionBy(key).orderBy(order)
-    groups, counts = (spare(rows, *[f"{x}{k}" for k in range(depth)]) for x in ("group", "count"))
-    for k, (g, n) in enumerate(zip(groups, counts)):
-        rows = rows.withColumn(g, F.sum(F.when(F.col(level) < k, 1).otherwise(0)).over(w))
-        rows = rows.withColumn(n, F.sum(F.when(F.col(level) == k, 1).otherwise(0)).over(W.partitionBy(key, g).orderBy(order)))
+    # all windows share one sort: a counter is how often its level came so far, less how often before the last shallower row
+    w, same = W.partitionBy(key).orderBy(order), W.partitionBy(key, order)
+    totals, counts = (spare(rows, *[f"{x}{k}" for k in range(depth)]) for x in ("total", "count"))
+    of = lambda k: F.when(F.col(level) == k, 1).otherwise(0)
+    rows = rows.withColumns({x: F.sum(of(k)).over(w) for k, x in enumerate(totals)}).withColumns({n: F.sum(of(k)).over(same) for k, n in enumerate(counts)})
+    rows = rows.withColumns({n: F.col(x) - F.coalesce(F.max(F.when(F.col(level) < k, F.col(x) - F.col(n))).over(w), F.lit(0)) for k, (x, n) in enumerate(zip(totals, counts))})
     shown = [F.when(F.col(level) >= k, F.when(F.col(n) > 0, F.col(n).cast("string")).otherwise("")) for k, n in enumerate(counts)]
-    return rows.withColumn("marker", F.concat_ws(".", *shown)).drop(*groups, *counts)
+    return rows.withColumn("marker", F.concat_ws(".", *shown)).drop(*totals, *counts)
