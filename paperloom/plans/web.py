@@ -65,8 +65,9 @@ def script_ratio(spark, sf_dir):
 
 def best_script_run(spark, sf_dir):
     """The longest run of letters in each document, the first of equals."""
-    runs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))).alias("pos", "run"))
-    return runs.groupBy("doc_id").agg(F.max_by("run", F.struct(F.length("run"), -F.col("pos"))).alias("run"))
+    runs = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0)), lambda run, pos: F.struct(F.length(run).alias("length"), (-pos).alias("pos"), run.alias("run")))
+    best = table(spark, sf_dir, "documents").select("doc_id", F.array_max(runs).alias("best")).where("best is not null")
+    return best.groupBy("doc_id").agg(F.max("best").alias("best")).select("doc_id", "best.run")
 
 
 def nonspace_score(spark, sf_dir):
