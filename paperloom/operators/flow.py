@@ -45,17 +45,19 @@ def line_weight(text: Column) -> Column:
 _KINDS = {"long": (T.LongType(), pa.int64()), "int": (T.IntegerType(), pa.int32()), "string": (T.StringType(), pa.string()), "double": (T.DoubleType(), pa.float64())}
 
 
-def streamed(rows: DataFrame, key: str, by: list[Column], start, step, names: dict[str, str], gathered: bool = False) -> DataFrame:
+def streamed(rows: DataFrame, key: str, by: list[Column], start, step, names: dict[str, str], gathered: bool = False, ordered: list[str] | None = None) -> DataFrame:
     """rows with the columns names that step makes of each group's rows in order.
 
     step(state, values of by) gives the next state and the rows that stand for
     this one, as tuples of the new columns; start is a group's first state. The
     rows of a group stream through one task, which holds a batch of them and the
     state; Python sees the values of by only. gathered says that a window over key has
-    brought the groups together already. Columns of rows may have any name
+    brought the groups together already, ordered the columns that it has sorted them
+    by within key, so that Spark need not sort them again. Columns of rows may have any name
     but those of names.
     """
     values = F.struct(*[c.alias(f"v{k}") for k, c in enumerate(by)])
+    rows = rows.sortWithinPartitions(key, *ordered) if ordered else rows
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(key).alias("key"), values.alias("by"))
     made = T.StructType([T.StructField(n, _KINDS[t][0]) for n, t in names.items()])
     schema = T.StructType([packed.schema["row"], T.StructField("made", made)])
@@ -77,7 +79,8 @@ def streamed(rows: DataFrame, key: str, by: list[Column], start, step, names: di
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), new], ["row", "made"])
 
     # by a hash of the key: a repartition by the key itself is left out of plans whose joins seem to have it done, and those joins may change while they run
-    found = (packed if gathered else packed.repartition(F.xxhash64("key"))).sortWithinPartitions("key", "by").mapInArrow(run, schema)
+    found = packed if gathered else packed.repartition(F.xxhash64("key"))
+    found = (found if ordered else found.sortWithinPartitions("key", "by")).mapInArrow(run, schema)
     return found.select("row.*", "made.*")
 
 
@@ -128,11 +131,17 @@ def place_blocks(rows: DataFrame, key: str, order: str, height: str, content: in
 
 def split_rows(rows: DataFrame, key: str, order: str, weight: str, budget: int) -> DataFrame:
     """Rows of a table in chunks of a budget, the first row repeated on top of later ones: (key, chunk, position, order, repeated)."""
-    chunks = paginate(rows, key, order, weight, budget).withColumnRenamed("page", "chunk")
-    head = rows.groupBy(key).agg(F.min(order).alias(order))
-    repeated = chunks.where("chunk > 0").select(key, "chunk").distinct().join(head, key).withColumn("repeated", F.lit(1))
-    both = chunks.select(key, "chunk", order, F.lit(0).alias("repeated")).unionByName(repeated.select(key, "chunk", F.col(order).cast("long").alias(order), "repeated"))
-    return both.withColumn("position", F.row_number().over(W.partitionBy(key, "chunk").orderBy(F.desc("repeated"), order)) - 1)
+    placed = rows.select(key, F.col(order).cast("long").alias(order), F.greatest(F.lit(1), F.col(weight)).cast("long").alias("_w")).withColumn("_head", F.min(order).over(W.partitionBy(key)))
+
+    def step(state, n, w, head):
+        chunk, used, at = state
+        if used and used + w > budget:
+            return (chunk + 1, w, 2), [(chunk + 1, 0, head, 1), (chunk + 1, 1, n, 0)]
+        return (chunk, used + w, at + 1), [(chunk, at, n, 0)]
+
+    names = {"chunk": "long", "position": "long", "_row": "long", "repeated": "int"}
+    made = streamed(placed.select(key, F.col(order).alias("_n"), "_w", "_head"), key, [F.col(c) for c in ("_n", "_w", "_head")], (0, 0, 0), step, names, gathered=True)
+    return made.select(key, "chunk", F.col("_row").alias(order), "repeated", F.col("position").cast("int").alias("position"))
 
 
 def table_chunks(rows: DataFrame, key: str, order: str, weight: str, span: str, budget: int, strict: bool = False, headers: int = 0) -> DataFrame:
@@ -146,8 +155,8 @@ def table_chunks(rows: DataFrame, key: str, order: str, weight: str, span: str,
     """
     by = W.partitionBy(key).orderBy(order, "_w", "_span")
     placed = rows.select(key, order, F.greatest(F.lit(1), F.col(weight)).cast("long").alias("_w"), F.col(span).cast("long").alias("_span")).withColumn("_n", F.row_number().over(by).cast("long") - 1)
-    reach = F.max(F.col("_n") + F.col("_span") - 1).over(W.partitionBy(key).orderBy("_n").rowsBetween(W.unboundedPreceding, 0))
-    placed = placed.withColumn("_safe", reach <= F.col("_n")).withColumn("_last", F.lead("_n").over(W.partitionBy(key).orderBy("_n")).isNull())
+    reach = F.max(F.col("_n") + F.col("_span") - 1).over(by.rowsBetween(W.unboundedPreceding, 0))
+    placed = placed.withColumn("_safe", reach <= F.col("_n")).withColumn("_last", F.lead("_n").over(by).isNull())
 
     def step(state, _, w, safe, last):
         chunk, first, held, at, total, cut = state or (0, 0, [], 0, 0, 0)
@@ -170,7 +179,7 @@ def table_chunks(rows: DataFrame, key: str, order: str, weight: str, span: str,
             chunk, first, held, at, total, cut, size = chunk + 1, first + size, held[size:], 0, 0, 0, 0
         return (chunk, first, held, at, total, cut), out
 
-    made = streamed(placed.select(key, "_n", "_w", "_safe", "_last"), key, [F.col(c) for c in ("_n", "_w", "_safe", "_last")], None, step, {"chunk": "long", "position": "long", "row": "long", "repeated": "int"}, gathered=True)
+    made = streamed(placed, key, [F.col(c) for c in ("_n", "_w", "_safe", "_last")], None, step, {"chunk": "long", "position": "long", "row": "long", "repeated": "int"}, gathered=True, ordered=[order, "_w", "_span"])
     return made.select(key, "chunk", "position", "row", "repeated")
 
 

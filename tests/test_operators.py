@@ -187,3 +187,28 @@ def test_streams_read_tables_in_folders(spark, tmp_path):
     assert sorted((r.href, r.page_id) for r in links.keep_latest(stream, str(tmp_path / "out"), 2).collect()) == [("a", 3), ("b", 3)]
     assert sorted(map(tuple, live.stream_links(spark, str(tmp_path)).collect())) == sorted((k, h) for k, found in hrefs for h in found)
     assert live.stream_latest_links(spark, str(tmp_path)).count() == 6
+
+
+def test_steps_sort_once(spark):
+    """Counters, chunks and repeated heads need one sort of their keys, and words or runs are no rows of their own where they aren't asked for."""
+    import io
+    from contextlib import redirect_stdout
+
+    from paperloom.operators import runs
+    from paperloom.plans import web
+
+    def plan(df):
+        with redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        return out.getvalue()
+
+    rows = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 2, 0), (1, 3, 1), (1, 4, 2)], "k long, n long, v int")
+    made = runs.list_markers(rows, "k", "n", "v", 3)
+    assert [(r.n, r.v, r.marker) for r in made.orderBy("n", "v").collect()] == [(1, 0, "1"), (2, 0, "2"), (2, 1, "2.1"), (3, 1, "2.2"), (4, 2, "2.2.1")]
+    assert plan(made).count("Sort [") == 1
+    chunks = flow.table_chunks(rows, "k", "n", "v", "n", 2, headers=1)
+    assert plan(chunks).count("Sort [") == 1
+    split = flow.split_rows(rows, "k", "n", "v", 2)
+    assert plan(split).count("MapInArrow") == 1
+    assert sorted(tuple(r[c] for c in ("chunk", "position", "n", "repeated")) for r in split.collect()) == [(0, 0, 1, 0), (0, 1, 2, 0), (1, 0, 1, 1), (1, 1, 2, 0), (1, 2, 3, 0), (2, 0, 1, 1), (2, 1, 4, 0)]
+    assert "Generate" not in plan(web.best_script_run(spark, "/root/testdata/sf0.001"))
