@@ -40,9 +40,15 @@ def column_widths(cells: DataFrame, key: str, row: str, col: str, span: str, wid
     """
     wide = F.greatest(F.lit(1), F.coalesce(F.col(span), F.lit(1))).cast("long")
     placed = cells.where(F.col(col).isNotNull()).select(F.col(key).alias("key"), F.col(row).cast("long").alias("row"), F.col(col).cast("long").alias("col"), wide.alias("span"), F.coalesce(F.col(width).cast("double"), F.lit(0.0)).alias("width"))
-    single = placed.where("span = 1 and width > 0").groupBy("key", "col").agg(F.max("width").alias("width")).select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("row"), "col", F.lit(1).cast("long").alias("span"), "width")
-    spread = placed.where("span > 1 and width > 0").select("key", F.lit(1).alias("kind"), "row", "col", "span", "width")
-    end = placed.groupBy("key").agg(F.max(F.col("col") + F.col("span")).alias("span")).select("key", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), "span", F.lit(0.0).alias("width"))
+    # each cell is read once: its width (of one column: the widest counts; of several: each counts) and how far it reaches
+    one = lambda kind, row, col, span, width, reach: F.struct(F.lit(kind).alias("kind"), row.cast("long").alias("row"), col.cast("long").alias("col"), span.cast("long").alias("span"), width.alias("said"), reach.alias("most"))
+    zero, none = F.lit(0), F.lit(None).cast("double")
+    single = F.when((F.col("span") == 1) & (F.col("width") > 0), one(0, zero, F.col("col"), F.lit(1), none, F.col("width")))
+    spread = F.when((F.col("span") > 1) & (F.col("width") > 0), one(1, F.col("row"), F.col("col"), F.col("span"), F.col("width"), F.lit(0.0)))
+    end = one(2, zero, zero, zero, none, (F.col("col") + F.col("span")).cast("double"))
+    met = placed.select("key", F.inline(F.array_compact(F.array(single, spread, end)))).groupBy("key", "kind", "row", "col", "span", "said").agg(F.max("most").alias("most"), F.count("*").alias("n"))
+    times = F.when(F.col("kind") == 1, F.col("n")).otherwise(1).cast("int")
+    met = met.select("key", "kind", "row", "col", F.when(F.col("kind") == 2, F.col("most").cast("long")).otherwise(F.col("span")).alias("span"), F.when(F.col("kind") == 1, F.col("said")).otherwise(F.col("most")).alias("width"), F.explode(F.array_repeat(F.lit(0), times)).alias("_again")).drop("_again")
 
     def step(state, kind, _, col, span, width):
         widths = state or {}
@@ -63,7 +69,7 @@ def column_widths(cells: DataFrame, key: str, row: str, col: str, span: str, wid
             return widths, [(c, widths.get(c, mean)) for c in range(span)]
         return widths, []
 
-    made = streamed(single.unionByName(spread).unionByName(end).withColumnRenamed("col", "at").withColumnRenamed("width", "said"), "key", [F.col(c) for c in ("kind", "row", "at", "span", "said")], None, step, {"col": "long", "width": "double"})
+    made = streamed(met.withColumnRenamed("col", "at").withColumnRenamed("width", "said"), "key", [F.col(c) for c in ("kind", "row", "at", "span", "said")], None, step, {"col": "long", "width": "double"})
     return made.select(F.col("key").alias(key), "col", "width")
 
 

@@ -80,3 +80,17 @@ def test_operators_take_columns_of_any_name(spark):
     assert kept(flow.list_markers(forms, "t", "k", "kind", "list", "level", "start", "form"))
     assert reports.histogram_label(rows, ["t"], "place", "l").first()["l"] == "place(10)" and reports.first_examples(rows, ["t"], ["k"], "place", 2, "l").first()["l"] == "place,place"
     assert reports.last_by(rows, "t", F.col("k"), ["x", "version"]).first()[:] == (1, "", "version", 0)
+
+
+def test_widths_read_their_cells_once(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from paperloom.operators import grids
+
+    rows = spark.createDataFrame([(1, 0, 1, 1, 4.0), (1, 0, 1, 1, 6.0), (1, 1, 1, 2, 9.0), (1, 1, 1, 2, 9.0), (1, 1, 2, 1, 0.0), (1, 2, 1, 1, 0.0)], "k long, r long, o long, s long, w double")
+    made = grids.column_widths(grids.place_cells(rows, "k", "r", "o", "s", "s"), "k", "r", "col", "s", "w")
+    with redirect_stdout(io.StringIO()) as out:
+        made.explain()
+    assert out.getvalue().count("MapInArrow") == 2  # places, widths
+    assert [(r.col, r.width) for r in made.where("col < 2").orderBy("col").collect()] == [(0, 4.0), (1, 6.0)]
