@@ -97,19 +97,29 @@ def section_order(spark, sf_dir):
 _LANGS = ["HANGUL", "latin", "OTHER", ""]
 
 
-def _headers(spark, sf_dir, told):
-    """A header for each order, an element of each sort for each line."""
-    p, s, n = c("l_partkey"), c("l_suppkey"), c("l_linenumber")
+def _in_order(spark, sf_dir, line, *columns):
+    """(l_orderkey, xml): an order's lines one after the other, each as line has it. What is grouped are the numbers that line is made of; the texts, many times as wide, are made after the shuffle."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", *columns).alias("row"))
+    rows = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return rows.select("l_orderkey", F.array_join(F.transform("rows", line), "").alias("xml"))
+
+
+def _header(row):
+    p, s, n = row["l_partkey"], row["l_suppkey"], row["l_linenumber"]
     lang = F.element_at(F.array(*map(F.lit, _LANGS)), (p % 4).cast("int") + 1)
     face = F.when(p % 10 == 0, "").otherwise(_text("F&amp;", p % 50))
     refs = F.concat(F.when(p % 5 > 0, _text(' hangul="', p % 3, '"')).otherwise(""), F.when(s % 5 > 0, _text(" latin='", s % 3, "'")).otherwise(""))
-    line = F.concat(
+    return F.concat(
         _text('<hh:fontface lang="', lang, '"><hh:font id="', s % 3, '" face="', face, '"/></hh:fontface>'),
-        _text('<hh:charPr id="', n, '" height="', (c("l_quantity") * 7).cast("long"), '"><hh:fontRef', refs, "/>"), F.when(c("l_returnflag") == "A", "<hh:bold/>").when(c("l_returnflag") == "R", "<hh:italic/>").otherwise(""), F.lit("</hh:charPr>"),
+        _text('<hh:charPr id="', n, '" height="', (row["l_quantity"] * 7).cast("long"), '"><hh:fontRef', refs, "/>"), F.when(row["l_returnflag"] == "A", "<hh:bold/>").when(row["l_returnflag"] == "R", "<hh:italic/>").otherwise(""), F.lit("</hh:charPr>"),
         _text('<hh:borderFill id="', n, '">'), F.when(p % 3 > 0, _text('<hh:leftBorder type="L', p % 3, '"/>')).otherwise(""), F.when(s % 2 > 0, _text('<hh:topBorder type="T', s % 4, '">')).otherwise(""), F.lit("</hh:topBorder>"[:0]),
         _text('<hc:fillBrush><hc:winBrush faceColor="#', p, '"/></hc:fillBrush></hh:borderFill>'),
     )
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(n, p, s, c("l_quantity"), c("l_returnflag"), line.alias("line")))), lambda x: x["line"]), "").alias("xml"))
+
+
+def _headers(spark, sf_dir, told):
+    """A header for each order, an element of each sort for each line."""
+    lines = _in_order(spark, sf_dir, _header, "l_quantity", "l_returnflag")
     return headers.described(nodes.parsed(lines, "l_orderkey", "xml", held=("attributes",), told=told), "l_orderkey")
 
 
@@ -132,14 +142,17 @@ def link_targets(spark, sf_dir):
     return links.select("page_id", "pos", urls.absolute(t.named_entities(urls.address(c("anchor"))), c("base")).alias("url"), said.alias("text"))
 
 
-def _objects(spark, sf_dir, told):
-    """An object for each line of an order, as XML."""
-    p, s, n, q = c("l_partkey"), c("l_suppkey"), c("l_linenumber"), c("l_quantity").cast("long")
+def _object(row):
+    p, s, n, q = row["l_partkey"], row["l_suppkey"], row["l_linenumber"], row["l_quantity"].cast("long")
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values)).cast("int") + 1)
     pos = _text('<hp:pos treatAsChar="', p % 2, '" allowOverlap="', s % 2, '" flowWithText="', p % 3, '" horzRelTo="', pick(["PAPER", "Column", "x"], p), '" vertRelTo="', pick(["PARA", "page", ""], s), '" horzAlign="', pick(["LEFT", "right", "odd"], s), '" vertOffset="', F.lit(4294967296) - q, '" horzOffset="', q, '"/>')
     sizes = F.concat(F.when(s % 4 > 0, _text('<hp:curSz width="', s % 4 - 1, '" height="', p % 3, '"/>')).otherwise(""), _text('<hp:orgSz width="', q, '" height="', q + 1, '"/>'))
-    line = F.concat(_text('<hp:pic zOrder="', n, '">'), F.when(p % 4 > 0, pos).otherwise(_text('<hp:offset x="', s, '" y="-', p, '"/>')), sizes, _text('<hp:sz protect="', s % 2, '"/><hp:outMargin left="', p % 9, '"/><hp:x><hc:img binaryItemIDRef="image', s % 5, '"/></hp:x></hp:pic>'))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(n, p, s, q, line.alias("line")))), lambda x: x["line"]), "").alias("xml"))
+    return F.concat(_text('<hp:pic zOrder="', n, '">'), F.when(p % 4 > 0, pos).otherwise(_text('<hp:offset x="', s, '" y="-', p, '"/>')), sizes, _text('<hp:sz protect="', s % 2, '"/><hp:outMargin left="', p % 9, '"/><hp:x><hc:img binaryItemIDRef="image', s % 5, '"/></hp:x></hp:pic>'))
+
+
+def _objects(spark, sf_dir, told):
+    """An object for each line of an order, as XML."""
+    lines = _in_order(spark, sf_dir, _object, "l_quantity")
     return headers.described(nodes.parsed(lines, "l_orderkey", "xml", held=("attributes",), told=told), "l_orderkey")
 
 

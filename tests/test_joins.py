@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as t
 from paperloom.functions import urls
 from paperloom.operators import headers, nodes, reports, runs
+from paperloom.plans import joins
 
 
 def test_reconcile_keeps_both_sides(spark):
@@ -244,3 +245,13 @@ def test_pivots_of_wanted_nodes_only(spark):
     assert [(r.node, r["name"], r.parent, r.last) for r in tree.orderBy("node").collect()] == [(1, "b", 0, 6), (3, "w", 2, 3), (4, "s", 1, 4), (5, "b", 1, 6), (6, "s", 5, 6), (7, "b", 0, 9), (8, "s", 7, 8), (9, "s", 7, 9), (10, "w", 0, 10)]
     got = headers.pivoted(tree, "k", "b", {"t": ("s", "t"), "some": ("s", None)}, {"c": ("w", "c")}).orderBy("node").collect()
     assert [(r.node, r.attributes["id"], r.t, r.some, r.c) for r in got] == [(1, "1", "own", "", "in"), (5, "2", "deep", "", None), (7, "3", None, "", None)]
+
+
+def _lines(df, word, plan="optimizedPlan"):
+    return [x for x in getattr(df._jdf.queryExecution(), plan)().toString().splitlines() if word in x]
+
+
+def test_markup_is_made_after_lines_are_grouped(spark):
+    for made in (joins._headers, joins._objects):
+        found = _lines(made(spark, "/root/testdata/sf0.001", None), "partial_collect_list", "executedPlan")
+        assert found and not any("<h" in x for x in found)
