@@ -36,11 +36,14 @@ def pivoted(tree: DataFrame, key: str, name: str | list[str], children: dict[str
     itself = F.struct(F.col("node").alias("of"), F.lit(None).cast("int").alias("inner"), F.struct("attributes", *[v.alias(n) for n, v in found.items()]).alias("own"))
     child = F.struct(F.col("parent").alias("of"), F.col("node").alias("inner"), F.lit(None).cast(rows.select(itself.own.alias("own")).schema["own"].dataType).alias("own"))
     is_child = F.col("name").isin(*of_children) & F.col("parent").isNotNull() if of_children else F.lit(False)
-    told = rows.select(key, "name", "attributes", F.explode(F.array_compact(F.array(F.when(own, itself), F.when(is_child, child)))).alias("m"))
-    told = told.select(key, F.col("m.of").alias("node"), "m.inner", F.col("m.own").alias("own"), "name", *[F.when(F.col("m.inner").isNotNull() & (F.col("name") == c), F.struct("m.inner", (F.lit("") if a is None else F.try_element_at("attributes", F.lit(a))).alias("value"))).alias(n) for n, (c, a) in children.items()])
+    # one struct for each name of a child, so that what is aggregated doesn't grow with the attributes asked for
+    asked = {c: [(n, a) for n, (of, a) in children.items() if of == c] for c in sorted(of_children)}
+    said = lambda c: F.struct(*[(F.lit("") if a is None else F.try_element_at("attributes", F.lit(a))).alias(n) for n, a in asked[c]])
+    told = rows.select(key, F.explode(F.array_compact(F.array(F.when(own, itself), F.when(is_child, child)))).alias("m"), *[F.when(F.col("name") == c, said(c)).alias(f"child_{k}") for k, c in enumerate(asked)])
+    told = told.select(key, F.col("m.of").alias("node"), F.col("m.inner").alias("inner"), F.col("m.own").alias("own"), *[f"child_{k}" for k in range(len(asked))])
     # the least number is the first child of the name, whatever it says
-    met = told.groupBy(key, "node").agg(F.first("own", ignorenulls=True).alias("own"), *[F.min(n).alias(n) for n in children])
-    return met.where("own is not null").select(key, "node", "own.*", *[F.col(f"{n}.value").alias(n) for n in children])
+    met = told.groupBy(key, "node").agg(F.first("own", ignorenulls=True).alias("own"), *[F.min_by(f"child_{k}", F.when(F.col(f"child_{k}").isNotNull(), F.col("inner"))).alias(f"child_{k}") for k in range(len(asked))])
+    return met.where("own is not null").select(key, "node", "own.*", *[F.col(f"child_{list(asked).index(c)}.{n}").alias(n) for n, (c, _) in children.items()])
 
 
 def fonts(tree: DataFrame, key: str) -> DataFrame:

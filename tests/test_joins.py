@@ -255,3 +255,10 @@ def test_markup_is_made_after_lines_are_grouped(spark):
     for made in (joins._headers, joins._objects):
         found = _lines(made(spark, "/root/testdata/sf0.001", None), "partial_collect_list", "executedPlan")
         assert found and not any("<h" in x for x in found)
+
+
+def test_one_aggregate_for_each_name_of_a_child(spark):
+    tree = headers.described(nodes.parsed(spark.createDataFrame([(1, "<pic><pos horzOffset='3'/><pos horzOffset='5' vertOffset='4'/><pic><sz protect='1'/></pic></pic>")], "k long, xml string"), "k", "xml", held=("attributes",)), "k")
+    rows = headers.placements(tree, "k", ["pic"])
+    assert [(x.x, x.y, x.protected) for x in rows.orderBy("node").collect()] == [(3, 0, False), (0, 0, True)]
+    assert all(x.count("min(") + x.count("min_by(") <= 4 for x in _lines(rows, "Aggregate ["))
