@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,12 @@ from paperloom.llm.textcore import kept, raw, spans
 
 END = 2
 #: Words after which a worker forgets those it hasn't met since the last time.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Text bytes taken at once.
 GROUP = 1 << 20
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Text bytes for a file; ids for an Arrow batch.
-FILE, BATCH = 64 << 20, 1 << 20
+FILE, BATCH = 32 << 20, 1 << 18
 #: How the files are laid out.
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
@@ -192,27 +193,27 @@ def encoded(column, file: str) -> Iterator[bytes]:
 
 
 def _encode(file: str):
-    def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            rest = [k for k, n in enumerate(names) if n != "text"]
-
-            def rows(lo, hi, parts, batch=batch, rest=rest, names=names):
-                sizes = np.array([len(p) // 4 for p in parts], np.int64)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32)))
-                return pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in rest), pa.array(sizes), tokens], [*(names[k] for k in rest), "n_tokens", "tokens"])
-
-            lo, parts, size = 0, [], 0
-            for ids in encoded(batch.column(names.index("text")), file):
-                parts.append(ids)
-                size += len(ids) // 4
-                if size >= BATCH:
-                    yield rows(lo, lo + len(parts), parts)
-                    lo, parts, size = lo + len(parts), [], 0
-            if parts:
-                yield rows(lo, lo + len(parts), parts)
-
-    return run
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names = batch.schema.names
+        rest = [k for k, n in enumerate(names) if n != "text"]
+
+        def rows(lo: int, parts: list[bytes]) -> pa.RecordBatch:
+            sizes = np.array([len(p) // 4 for p in parts], np.int64)
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            return pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, len(parts)) for k in rest), pa.array(sizes), tokens], [*(names[k] for k in rest), "n_tokens", "tokens"])
+
+        lo, parts, size = 0, [], 0
+        for ids in encoded(batch.column(names.index("text")), file):
+            parts.append(ids)
+            size += len(ids) // 4
+            if size >= BATCH:
+                yield rows(lo, parts)
+                lo, parts, size = lo + len(parts), [], 0
+        if parts:
+            yield rows(lo, parts)
+
+    # no name here holds a batch while the next one is read
+    return lambda batches: chain.from_iterable(map(work, batches))
 
 
 def write_tokens(docs: DataFrame, to: str, text: str = "text", doc_id: str = "doc_id", metadata: tuple[str, ...] = ("lang", "source"), file: str | None = None) -> None:

@@ -2,6 +2,7 @@
 
 import random
 import shutil
+import weakref
 import zlib
 from collections import Counter
 
@@ -550,3 +551,19 @@ def test_grams_of_a_long_text_in_parts(monkeypatch):
     said = model.evidence(short, at)
     monkeypatch.setattr(toxicity, "SPAN", 1)
     assert abs(model.evidence(short, at) - said).max() < 1e-9
+
+
+def test_a_batch_is_let_go_before_the_next_is_read():
+    held = []
+
+    def batches():
+        for k in range(3):
+            batch = pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["a b"]})
+            told = weakref.ref(batch)
+            yield batch
+            del batch
+            held.append(told() is not None)
+
+    for out in token_ids._encode(token_ids.vocabulary())(batches()):
+        del out
+    assert held == [False] * 3
