@@ -12,20 +12,20 @@ from paperloom.sources.tables import table
 KINDS = {"ul": "table", "li": "row", "a": "cell", "p": "paragraph", "h1": "paragraph", "div": "textbox", "nav": "textbox", "article": "textbox"}
 
 
-def _parsed(spark, sf_dir, only=None):
-    return nodes.parsed(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", VOID, only)
+def _parsed(spark, sf_dir, only=None, held=()):
+    return nodes.parsed(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", VOID, only, held)
 
 
-def _nodes(spark, sf_dir):
-    return nodes.node_table(_parsed(spark, sf_dir), "page_id")
+def _nodes(spark, sf_dir, held=()):
+    return nodes.node_table(_parsed(spark, sf_dir, held=held), "page_id")
 
 
 def node_table(spark, sf_dir):
-    return _nodes(spark, sf_dir).drop("start")
+    return _nodes(spark, sf_dir)
 
 
 def node_attributes(spark, sf_dir):
-    return _nodes(spark, sf_dir).select("page_id", "node", F.explode(nodes.attributes(F.col("start"))).alias("name", "value"))
+    return _nodes(spark, sf_dir, ("start",)).select("page_id", "node", F.explode(nodes.attributes(F.col("start"))).alias("name", "value"))
 
 
 def node_children(spark, sf_dir):
@@ -47,7 +47,7 @@ def block_walk(spark, sf_dir):
 
 
 def block_texts(spark, sf_dir):
-    found = nodes.block_texts(_parsed(spark, sf_dir, list(KINDS)), "page_id", KINDS)
+    found = nodes.block_texts(_parsed(spark, sf_dir, list(KINDS), ("texts",)), "page_id", KINDS)
     return found.select("page_id", "node", "kind", F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
 
 

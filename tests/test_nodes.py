@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from paperloom.operators import nodes
+from paperloom.plans import trees
 
 KINDS = {"table": "table", "tr": "row", "td": "cell", "p": "paragraph", "div": "textbox", "img": "image", "math": "equation"}
 
@@ -94,3 +95,9 @@ def test_blocks_in_cells_three_deep(spark):
 def test_no_pages(spark):
     pages = nodes.parsed(spark.createDataFrame([], "id long, html string"), "id", "html", only=list(KINDS))
     assert nodes.walk_blocks(pages, "id", KINDS).count() == nodes.block_texts(pages, "id", KINDS).count() == 0
+
+
+def test_queries_on_names_hold_no_tags_and_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    assert trees._parsed(spark, sf).columns == ["page_id", "nodes"]
+    assert "start" not in trees._nodes(spark, sf).columns and "start" in trees._nodes(spark, sf, ("start",)).columns
