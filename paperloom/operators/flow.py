@@ -153,8 +153,8 @@ def table_chunks(rows: DataFrame, key: str, order: str, weight: str, span: str,
     rows are repeated on top of chunks that start below them. The task holds the
     weights of one open chunk.
     """
-    by = W.partitionBy(key).orderBy(order, "_w", "_span")
-    placed = rows.select(key, order, F.greatest(F.lit(1), F.col(weight)).cast("long").alias("_w"), F.col(span).cast("long").alias("_span")).withColumn("_n", F.row_number().over(by).cast("long") - 1)
+    by = W.partitionBy("_key").orderBy("_order", "_w", "_span")
+    placed = rows.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.greatest(F.lit(1), F.col(weight)).cast("long").alias("_w"), F.col(span).cast("long").alias("_span")).withColumn("_n", F.row_number().over(by).cast("long") - 1)
     reach = F.max(F.col("_n") + F.col("_span") - 1).over(by.rowsBetween(W.unboundedPreceding, 0))
     placed = placed.withColumn("_safe", reach <= F.col("_n")).withColumn("_last", F.lead("_n").over(by).isNull())
 
@@ -179,8 +179,8 @@ def table_chunks(rows: DataFrame, key: str, order: str, weight: str, span: str,
             chunk, first, held, at, total, cut, size = chunk + 1, first + size, held[size:], 0, 0, 0, 0
         return (chunk, first, held, at, total, cut), out
 
-    made = streamed(placed, key, [F.col(c) for c in ("_n", "_w", "_safe", "_last")], None, step, {"chunk": "long", "position": "long", "row": "long", "repeated": "int"}, gathered=True, ordered=[order, "_w", "_span"])
-    return made.select(key, "chunk", "position", "row", "repeated")
+    made = streamed(placed, "_key", [F.col(c) for c in ("_n", "_w", "_safe", "_last")], None, step, {"chunk": "long", "position": "long", "row": "long", "repeated": "int"}, gathered=True, ordered=["_order", "_w", "_span"])
+    return made.select(F.col("_key").alias(key), "chunk", "position", "row", "repeated")
 
 
 def fragments(rows: DataFrame, key: str, order: str, weight: str, wanted: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as t
 from paperloom.functions import units
-from paperloom.operators import flow, reports, runs
+from paperloom.operators import diagnostics, flow, reports, runs
 from paperloom.sources import tables
 
 
@@ -212,3 +212,15 @@ def test_steps_sort_once(spark):
     assert plan(split).count("MapInArrow") == 1
     assert sorted(tuple(r[c] for c in ("chunk", "position", "n", "repeated")) for r in split.collect()) == [(0, 0, 1, 0), (0, 1, 2, 0), (1, 0, 1, 1), (1, 1, 2, 0), (1, 2, 3, 0), (2, 0, 1, 1), (2, 1, 4, 0)]
     assert "Generate" not in plan(web.best_script_run(spark, "/root/testdata/sf0.001"))
+
+
+def test_chunks_of_columns_of_any_name(spark):
+    """The fold's own names are free for keys and orders; a table breaks after its weight, blocks and chunks fill pages of 20."""
+    rows = spark.createDataFrame([(1, i, w, 1) for i, w in enumerate([3, 2, 2])], "_w long, row long, w long, s long")
+    assert sorted(map(tuple, flow.table_chunks(rows, "_w", "row", "w", "s", 4).select("chunk", "position", "row").collect())) == [(0, 0, 0), (0, 1, 1), (1, 0, 2)]
+    renamed = rows.toDF("row", "chunk", "w", "s")
+    assert sorted(tuple(r)[1:] for r in flow.table_chunks(renamed, "row", "chunk", "w", "s", 4).collect()) == [(0, 0, 0, 0), (0, 1, 1, 0), (1, 0, 2, 0)]
+    blocks = spark.createDataFrame([(1, 1, 9), (1, 2, 9), (1, 3, 9)], "doc long, block long, weight long")
+    cells = spark.createDataFrame([(1, 2, r, 9, 1) for r in range(3)], "doc long, block long, row long, weight long, span long")
+    found = diagnostics.paginate_blocks(blocks, cells, "doc", "block", "weight", "row", "weight", "span", 20)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 0, 0), (1, 2, 0, 1), (1, 2, 1, 2), (1, 3, 0, 2)]
