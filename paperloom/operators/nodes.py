@@ -9,7 +9,7 @@ less there than expressions over arrays; everything else is joins and windows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,8 @@ NAME = r"^<\s*/?\s*(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)"
 ATTRIBUTE = r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*')"""
 _TAG, _NAMED, _ATTRIBUTE = (re.compile(x, re.ASCII) for x in (TAG, NAME, ATTRIBUTE))
 _CLOSING, _END, _EMPTY = (re.compile(x, re.ASCII) for x in (r"<\s*/", r"<\s*/\s*[A-Za-z_][\w:.-]*\s*>\Z", r"/\s*>\Z"))
+_NUMBER, _HEXADECIMAL, _SPECIAL = (re.compile(x, re.ASCII) for x in (r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[fFdD]?", r"([+-]?0[xX](?:[\da-fA-F]+\.?|[\da-fA-F]*\.[\da-fA-F]+)[pP][+-]?\d+)[fFdD]?", "[+-]?(?:NaN|(?i:inf|infinity))|(?i:nan)"))
+_BLANKS = "".join(map(chr, range(33)))
 _LEAST = [("node", T.IntegerType()), ("name", T.StringType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("last", T.IntegerType()), ("closed", T.BooleanType())]
 _HELD = {"start": T.StringType(), "attributes": T.MapType(T.StringType(), T.StringType())}
 #: How many characters of markup are worked on at a time.
@@ -57,10 +59,44 @@ def _valued(tag: str) -> dict[str, str]:
     return out
 
 
+def _double(text: str | None) -> float | None:
+    """As try_cast of a text to double."""
+    text = (text or "").strip(_BLANKS)
+    found = _NUMBER.fullmatch(text)
+    if found or _SPECIAL.fullmatch(text):
+        return float(found[1] if found else text)
+    found = _HEXADECIMAL.fullmatch(text)
+    try:
+        return float.fromhex(found[1]) if found else None
+    except OverflowError:
+        return float("-inf" if text[0] == "-" else "inf")
+
+
+def _higher(a: float | None, b: float | None) -> float | None:
+    """As max: null is less, NaN more than any number."""
+    return b if a is None or b is not None and (b > a or b != b) else a
+
+
 def _lists(offsets: list[int], values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def _in_parts(work: Callable[[pa.Array, list[str]], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work(keys, pages) over batches of (key, markup), about PART characters at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size, pages = 0, 0, []
+            for k, page in enumerate(batch.column(1)):
+                pages.append(page.as_py())
+                size += len(pages[-1])
+                if size >= PART or k + 1 == batch.num_rows:
+                    yield work(batch.column(0).slice(at, len(pages)), pages)
+                    at, size, pages = k + 1, 0, []
+
+    return run
+
+
 def parsed(docs: DataFrame, key: str, markup: str, void: list[str] = [], only: list[str] | None = None, held: tuple[str, ...] = ("texts", "start"), told: list[str] | None = None) -> DataFrame:  # noqa: B006
     """(key, nodes, texts, owners): each document's nodes, what stands between its tags and the open node after each tag (-1: none).
 
@@ -133,17 +169,7 @@ def parsed(docs: DataFrame, key: str, markup: str, void: list[str] = [], only: l
             out += [_lists(text_ends, pa.array(texts, pa.string())), _lists(owner_ends, pa.array(owners, pa.int32()))]
         return pa.RecordBatch.from_arrays(out, schema.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, size, pages = 0, 0, []
-            for k, page in enumerate(batch.column(1)):
-                pages.append(page.as_py())
-                size += len(pages[-1])
-                if size >= PART or k + 1 == batch.num_rows:
-                    yield work(batch.column(0).slice(at, len(pages)), pages)
-                    at, size, pages = k + 1, 0, []
-
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(_in_parts(work), schema).withColumnRenamed("key", key)
 
 
 def node_table(pages: DataFrame, key: str) -> DataFrame:
@@ -207,20 +233,73 @@ def any_within(nodes: DataFrame, key: str, holds: Column) -> DataFrame:
     return flagged.join(ends, [key, "last"]).select(key, "node", (F.col("end") - F.col("upto") + F.col("flag") > 0).alias("holds"))
 
 
-def row_summaries(tree: DataFrame, key: str, texts: DataFrame, row: str = "tr", cell: str = "tc", size: str = "cellsz") -> DataFrame:
-    """(key, node, cells, max_height, paragraphs, text_length) of the rows of tables in XML: their cells, the greatest height among sizes below, and paragraphs and characters anywhere in them.
+def row_summaries(docs: DataFrame, key: str, markup: str, row: str = "tr", cell: str = "tc", size: str = "cellsz") -> DataFrame:
+    """(key, node, cells, max_height, paragraphs, text_length) of the rows of tables in XML that have cells: their cells, the greatest height among sizes below, and paragraphs and characters anywhere in them.
 
-    tree has attributes, texts (key, node, length) the characters that stand in each node itself.
+    Rows are summed up in the loop over a document's tags, an inner one into the
+    row around it, so nodes and texts are no rows to shuffle and a task holds the open
+    rows only. Nodes are numbered and closed as parsed() has them.
     """
-    rows = tree.where(F.col("name") == row)
-    cells = tree.where(F.col("name") == cell).groupBy(key, F.col("parent").alias("node")).agg(F.count("*").alias("cells"))
-    sizes = tree.where(F.col("name").isin(size, "p")).select(key, "node", "name", F.try_element_at("attributes", F.lit("height")).try_cast("double").alias("height"))
-    pairs = within(tree.select(key, "node"), rows, key).select(key, "node", F.col("ancestor").alias("row"))
-    below = pairs.join(sizes.join(texts, [key, "node"], "full_outer"), [key, "node"]).groupBy(key, F.col("row").alias("node")).agg(F.max(F.when(F.col("name") == size, F.col("height"))).alias("max_height"), F.count_if(F.col("name") == "p").alias("paragraphs"), F.sum("length").alias("inner"))
-    own = rows.select(key, "node").join(texts.withColumnRenamed("length", "own"), [key, "node"], "left")
-    found = own.join(cells, [key, "node"]).join(below, [key, "node"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return found.select(key, "node", "cells", zero(F.col("max_height")).cast("double").alias("max_height"), zero(F.col("paragraphs")).alias("paragraphs"), (zero(F.col("inner")) + zero(F.col("own"))).cast("long").alias("text_length"))
+    rows = docs.select(F.col(key).alias("key"), F.col(markup).alias("markup")).where("markup is not null")
+    kinds = {"node": (T.IntegerType(), pa.int32()), "cells": (T.LongType(), pa.int64()), "max_height": (T.DoubleType(), pa.float64()), "paragraphs": (T.LongType(), pa.int64()), "text_length": (T.LongType(), pa.int64())}
+    schema = T.StructType([rows.schema["key"], *[T.StructField(n, k) for n, (k, _) in kinds.items()]])
+
+    def work(keys: pa.Array, pages: list[str]) -> pa.RecordBatch:
+        seen: dict[str, tuple[int, str, float | None]] = {}
+        at, made = [], []
+
+        def close(open_rows: list[list], document: int) -> None:
+            found = open_rows.pop()
+            if found[1]:
+                at.append(document)
+                made.append((*found[:2], 0.0 if found[2] is None else found[2], *found[3:]))
+            if open_rows:
+                around = open_rows[-1]
+                around[2] = _higher(around[2], found[2])
+                around[3] += found[3]
+                around[4] += found[4]
+
+        for k, page in enumerate(pages):
+            count, end, stack, open_rows = 0, 0, [], []  # of what is open: names; node, cells, height, paragraphs and characters of rows
+            for match in _TAG.finditer(page):
+                tag = match[0]
+                if open_rows:
+                    open_rows[-1][4] += match.start() - end
+                end = match.end()
+                what = seen.get(tag)
+                if what is None:
+                    kind, name = _kind(tag, set(), None)
+                    what = seen[tag] = kind, name, _double(_valued(tag).get("height")) if name == size else None
+                kind, name, height = what
+                if kind == 2:
+                    while stack:
+                        opened = stack.pop()
+                        if opened == row:
+                            close(open_rows, k)
+                        if opened == name:
+                            break
+                elif kind:
+                    if open_rows:
+                        around = open_rows[-1]
+                        if name == cell:
+                            around[1] += stack[-1] == row
+                        elif name == size:
+                            around[2] = _higher(around[2], height)
+                        elif name == "p":
+                            around[3] += 1
+                    if kind == 1:
+                        stack.append(name)
+                        if name == row:
+                            open_rows.append([count, 0, None, 0, 0])
+                    count += 1
+            if open_rows:
+                open_rows[-1][4] += len(page) - end
+            while open_rows:
+                close(open_rows, k)
+        columns = list(zip(*made)) or [[] for _ in kinds]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *[pa.array(c, a) for c, (_, a) in zip(columns, kinds.values())]], schema.names)
+
+    return rows.mapInArrow(_in_parts(work), schema).withColumnRenamed("key", key)
 
 
 #: What stands for objects without text.

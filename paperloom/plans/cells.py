@@ -111,15 +111,13 @@ def visual_elements(spark, sf_dir):
 
 def tall_rows(spark, sf_dir):
     """The 20 tallest rows of each size class, of orders written as XML tables."""
-    p, n, q = c("l_partkey"), c("l_linenumber"), c("l_quantity").cast("long")
-    cell = F.concat(F.lit('<hp:tc><hp:p>'), F.repeat(F.lit("x"), (p % 5).cast("int")), F.lit('</hp:p><hp:cellSz height="'), (q * 100).cast("string"), F.lit('"/></hp:tc>'))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", ((n - 1) / 2).cast("long").alias("row"), n, p, "l_suppkey", cell.alias("cell"))
-    rows = lines.groupBy("l_orderkey", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(n, p, "l_suppkey", "cell"))), lambda x: x["cell"]), "").alias("cells"))
-    tables = rows.groupBy("l_orderkey").agg(F.concat(F.lit("<hp:tbl>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "cells"))), lambda x: F.concat(F.lit("<hp:tr>"), x["cells"], F.lit("</hp:tr>"))), ""), F.lit("</hp:tbl>")).alias("xml"))
-    pages = nodes.parsed(tables, "l_orderkey", "xml", held=("texts", "attributes"))
-    tree = nodes.node_table(pages, "l_orderkey")
-    texts = pages.select("l_orderkey", F.inline(F.arrays_zip(c("owners").alias("node"), F.slice("texts", 2, F.size("texts")).alias("text")))).where("node >= 0").groupBy("l_orderkey", "node").agg(F.sum(F.length("text")).alias("length"))
-    found = nodes.row_summaries(tree, "l_orderkey", texts).withColumn("size_class", c("l_orderkey") % 3)
+    line = F.struct(c("l_linenumber").alias("n"), c("l_partkey").alias("p"), "l_suppkey", c("l_quantity").cast("long").alias("q"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    row = lambda x: ((x["n"] - 1) / 2).cast("long")
+    cell = lambda x: F.concat(F.lit("<hp:tc><hp:p>"), F.repeat(F.lit("x"), F.coalesce(x["p"] % 5, F.lit(0)).cast("int")), F.lit('</hp:p><hp:cellSz height="'), F.coalesce((x["q"] * 100).cast("string"), F.lit("")), F.lit('"/></hp:tc>'))
+    head = lambda x, k: F.when(k == 0, "<hp:tr>").when(row(x).eqNullSafe(row(F.get("lines", k - 1))), "").otherwise("</hp:tr><hp:tr>")
+    tables = orders.select("l_orderkey", F.concat(F.lit("<hp:tbl>"), F.array_join(F.transform("lines", lambda x, k: F.concat(head(x, k), cell(x))), ""), F.lit("</hp:tr></hp:tbl>")).alias("xml"))
+    found = nodes.row_summaries(tables, "l_orderkey", "xml").withColumn("size_class", c("l_orderkey") % 3)
     ranked = reports.top_by(found, ["size_class"], [F.desc("max_height"), F.desc("text_length"), F.asc("l_orderkey"), F.asc("node")], 20)
     return ranked.select("size_class", "rank", "l_orderkey", "cells", "max_height", "paragraphs", "text_length")
 

@@ -101,3 +101,35 @@ def test_queries_on_names_hold_no_tags_and_texts(spark):
     sf = "/root/testdata/sf0.001"
     assert trees._parsed(spark, sf).columns == ["page_id", "nodes"]
     assert "start" not in trees._nodes(spark, sf).columns and "start" in trees._nodes(spark, sf, ("start",)).columns
+
+
+ROWS = """<a:tbl><a:tr x='1'>no<tc><p>ab</p><cellSz height="7"/><tbl><tr>in<tc/><TC><p/>c</TC><cellsz height=' 2e1 '></tr></tbl></tc><tc>d</tc></a:tr>
+<tr/><tr><p>none</p></tr><tr><tc><cellSz height='-5'/><cellSz height="x"/></tc></tr></tbl>out<tr><x><tc/></x><tc><cellSz height="NaN"/>e<tr><tc>never <!-- closed -->f"""
+
+
+def test_rows_are_summed_up_with_the_rows_inside(spark):
+    """Rows without cells are left out, and what an inner row has counts for the one around it, closed or not."""
+    docs = spark.createDataFrame([(1, ROWS), (2, None), (3, ""), (4, "<tc>x"), (5, "<tr>" * 3000 + "<tc>ab</tc><p/>")], "id long, xml string")
+    found = {(x.id, x.node): (x.cells, x.max_height, x.paragraphs, x.text_length) for x in nodes.row_summaries(docs, "id", "xml").collect()}
+    nan = found.pop((1, 19))
+    assert str(nan) == str((1, float("nan"), 0, 8))
+    assert found == {(1, 1): (2, 20.0, 2, 8), (1, 6): (2, 20.0, 1, 3), (1, 15): (1, -5.0, 0, 0), (1, 24): (1, 0.0, 0, 7), (5, 2999): (1, 0.0, 1, 2)}
+
+
+def test_heights_are_those_of_a_cast(spark):
+    said = ["1", " 7\t", "1e3", "5.", ".5", "2F", "1d", "0x1p3", "-0x1p9999", "+3", "1e999", "NaN", "-NaN", "nan", "+nan", "inf", "-Infinity", "x", "", "1_0", "１", "0x1", "1e", None]
+    cast = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").orderBy("i").select(F.col("x").try_cast("double")).collect()]
+    assert list(map(str, cast)) == [str(nodes._double(x)) for x in said]
+
+
+def test_tall_rows_shuffle_lines_once_and_no_nodes(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from paperloom.plans import cells
+
+    with redirect_stdout(io.StringIO()) as out:
+        cells.tall_rows(spark, "/root/testdata/sf0.001").explain()
+    plan = out.getvalue()
+    assert "Join" not in plan and "Generate" not in plan and plan.count("MapInArrow") == 1
+    assert plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
