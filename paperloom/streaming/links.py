@@ -9,9 +9,13 @@ from paperloom.functions import text as t
 
 
 def page_stream(spark: SparkSession, sf_dir: str, name: str = "pages", files_a_batch: int = 8) -> DataFrame:
-    """A table's files as they arrive; the table is one file or a folder of them."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    """A table's files as they arrive; the table is one file or a folder of them.
+
+    The name is written as a pattern, as a stream takes a plain path for a
+    folder's; partitions are found below the folder of tables.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("basePath", sf_dir).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def observe(pages: DataFrame) -> DataFrame:

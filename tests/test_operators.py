@@ -1,5 +1,7 @@
 """Operators on rows written by hand."""
 
+import shutil
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as t
@@ -224,3 +226,18 @@ def test_chunks_of_columns_of_any_name(spark):
     cells = spark.createDataFrame([(1, 2, r, 9, 1) for r in range(3)], "doc long, block long, row long, weight long, span long")
     found = diagnostics.paginate_blocks(blocks, cells, "doc", "block", "weight", "row", "weight", "span", 20)
     assert sorted(map(tuple, found.collect())) == [(1, 1, 0, 0), (1, 2, 0, 1), (1, 2, 1, 2), (1, 3, 0, 2)]
+
+
+def test_streams_read_tables_in_one_file_and_in_partitions(spark, tmp_path):
+    from paperloom.plans import live
+    from paperloom.streaming import links
+
+    rows = spark.createDataFrame([(1, '<a href="x"><a href="y">'), (2, '<a href="x">')], "page_id long, html string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "made").glob("*.parquet")), tmp_path / "one" / "pages.parquet")
+    assert sorted(map(tuple, live.stream_links(spark, str(tmp_path / "one")).collect())) == [(1, "x"), (1, "y"), (2, "x")]
+    assert [(r.href, r.page_id) for r in live.stream_latest_links(spark, str(tmp_path / "one")).orderBy("href").collect()] == [("x", 2), ("y", 1)]
+    rows.withColumn("day", F.col("page_id") + 6).write.partitionBy("day").parquet(str(tmp_path / "many" / "pages.parquet"))
+    found = links.run_to_files(links.page_stream(spark, str(tmp_path / "many"), files_a_batch=1).select("page_id", "day"), str(tmp_path / "out"))
+    assert sorted(map(tuple, found.collect())) == [(1, 7), (2, 8)]
